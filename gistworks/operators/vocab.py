@@ -61,18 +61,19 @@ def lookup_ids(
 ) -> DataFrame:
     """Token ids of several text columns, cut to ``max_len``, with one vocabulary join.
 
-    Rows are cut first, then shuffled whole by key, then exploded; the join and
-    the regrouping keep that partitioning, so tokens themselves never move.
+    Texts are cut first, then shuffled whole by key, then exploded; the join
+    and the regrouping keep that partitioning, so tokens themselves never move.
     """
+    cut = {s: F.array_join(F.slice(tokens(F.col(c)), 1, max_len), " ") for s, c in sides.items()}
 
-    def entries(side: str, column: str) -> Column:
-        cut = F.coalesce(F.slice(tokens(F.col(column)), 1, max_len), F.array())
+    def entries(side: str) -> Column:
+        words = F.when(F.col(side) != "", F.split(side, " ")).otherwise(F.array())
         return F.transform(
-            cut, lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("position"), t.alias("token"))
+            words, lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("position"), t.alias("token"))
         )
 
-    words = F.concat(*[entries(side, column) for side, column in sides.items()])
-    exploded = df.select(*keys, *sides.values()).repartition(*keys).select(*keys, F.inline_outer(words))
+    rows = df.select(*keys, *[c.alias(s) for s, c in cut.items()]).repartition(*keys)
+    exploded = rows.select(*keys, F.inline_outer(F.concat(*[entries(s) for s in sides])))
     known = broadcast_checked(vocab.select("token", "token_id"))
     found = exploded.join(known, "token", "left").withColumn(
         "entry", F.struct("position", F.coalesce("token_id", F.lit(UNK)).alias("token_id"))

@@ -261,18 +261,18 @@ def _causal_ids() -> str:
 
 
 def _causal_scores() -> str:
-    """Answers of the causal stand-in over pubmed's test split."""
+    """Answers of the causal stand-in over pubmed's validation split."""
     shown = {
         "prompts": _decoded(_PROMPT, 255),
         "marker": "SELECT coalesce(max(' ' || token), '') AS m FROM vocab WHERE token = 'summary'",
-        "full": f"SELECT id, text || m || ' {ANSWER_MARKER}' AS prompt FROM prompts, marker",
+        "answerable": f"SELECT id, text || m || ' {ANSWER_MARKER}' AS prompt FROM prompts, marker",
         "answers": f"""SELECT 'lead-pubmed' AS run_id, id, trim(string_split(prompt || ' ' || {_words('prompt', 1, GEN_MAX_LEN)},
-            '{ANSWER_MARKER}')[2], {_BLANKS}) AS prediction FROM full""",
+            '{ANSWER_MARKER}')[2], {_BLANKS}) AS prediction FROM answerable""",
     }
     fits = f"len({_tokens(_PROMPT + ' || summary')}) < 2048"
     scored = (
         "SELECT run_id, id, answers.prediction, summary AS reference FROM answers JOIN admitted USING (id) "
-        f"WHERE dataset = 'pubmed' AND split = 'test' AND {fits}"
+        f"WHERE dataset = 'pubmed' AND split = 'validation' AND {fits}"
     )
     return _run_means(("rouge1", "rouge2"), scored, shown)
 

@@ -426,6 +426,7 @@ def causal_run(v: Views) -> DataFrame:
         max_new_tokens=256,
         context=4096,
         shots=2,
+        split="validation",
         scoring=evaluate.Scoring(NGRAMS, use_stemmer=False),
     )
     return _scores(scores)
