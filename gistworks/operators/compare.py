@@ -12,11 +12,11 @@ MISSING = "{Summary missing}"
 def align_pairs(predictions: DataFrame, references: DataFrame, id: str = "id") -> DataFrame:
     """(run_id, id, prediction, reference) for every prediction with a reference.
 
-    The result is partitioned by id whichever join is chosen, so scoring needs
-    no further shuffle (``clustered=True``).
+    A plain keyed join: the planner picks its form by size, and a document with
+    very many predictions is split at run time.
     """
     keyed = references.select(id, F.col("summary").alias("reference"))
-    return predictions.select("run_id", id, "prediction").repartition(id).join(keyed, id)
+    return predictions.select("run_id", id, "prediction").join(keyed, id)
 
 
 def align_report(predictions: DataFrame, references: DataFrame, id: str = "id") -> DataFrame:
@@ -35,12 +35,10 @@ def align_report(predictions: DataFrame, references: DataFrame, id: str = "id")
 def side_by_side(pairs: DataFrame, predictions: DataFrame, runs: Sequence[str], run: str = "model") -> DataFrame:
     """The rows of ``pairs`` and one column per run, gaps spelled out.
 
-    Predictions are grouped by id after one shuffle on it, which the join reuses.
+    Predictions are reduced per id before and after one shuffle, which the join reuses.
     """
     per_id = (
         predictions.where(F.col(run).isin(list(runs)))
-        .select("id", run, "prediction")
-        .repartition("id")
         .groupBy("id")
         .agg(*[F.max(F.when(F.col(run) == r, F.col("prediction"))).alias(r) for r in runs])
     )

@@ -60,46 +60,48 @@ def rouge_counts(
     keys: Sequence[str] = ("id",),
     variants: Sequence[str] = VARIANTS,
     use_stemmer: bool = True,
-    clustered: bool = False,
 ) -> DataFrame:
-    """keys, pred_tokens, ref_tokens and the matches of each variant.
-
-    ``clustered`` says that rows are already partitioned by (a part of) the
-    keys, as after a keyed join, and need no shuffle.
-    """
+    """keys, pred_tokens, ref_tokens and the matches of each variant."""
     unknown = set(variants) - set(VARIANTS)
     if unknown:
         raise ValueError(f"unknown variants {sorted(unknown)}")
     grams = [v for v in variants if v in _NGRAM]
     sequences = [v for v in variants if v not in _NGRAM]
     rows = pairs.select(*keys, "prediction", "reference")
-    if grams and not clustered:
-        rows = rows.repartition(*keys)
-
     if use_stemmer or sequences:
-        measure = _measure(use_stemmer, "rougeL" in variants, "rougeLsum" in variants)
-        measured = measure(token_lines(F.col("prediction")), token_lines(F.col("reference")))
-        rows = rows.withColumn("m", measured)
-        source = "m." if use_stemmer else ""
-        sizes = [F.col("m.pred_tokens"), F.col("m.ref_tokens"), *[F.col(f"m.{v}") for v in sequences]]
-        if not grams:
-            return rows.select(*keys, *sizes)
-    else:
-        source, sizes = "", []
-
-    def split(side: str) -> Column:
-        text = F.col(source + side)
-        found = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)) if use_stemmer else tokens(text)
-        return F.coalesce(found, F.array())
-
-    rows = rows.select(*keys, *sizes, split("prediction").alias("p"), split("reference").alias("r"))
-    if not sizes:
-        rows = rows.withColumns(
-            {"pred_tokens": F.size("p").cast("long"), "ref_tokens": F.size("r").cast("long")}
-        )
+        rows = _measured(rows, keys, variants, use_stemmer)
+    if not grams:
+        return rows.select(*keys, "pred_tokens", "ref_tokens", *sequences)
+
+    # Python evaluation does not report how its rows are partitioned, so the
+    # shuffle comes after it; stems are separated by blanks, other texts are not.
+    rows = rows.repartition(*keys)
+    split = _split_tokens if use_stemmer else tokens
+    rows = rows.withColumns({n: F.coalesce(split(F.col(c)), F.array()) for n, c in _SIDES.items()})
+    if not (use_stemmer or sequences):
+        rows = rows.withColumns({f"{c}_tokens": F.size(n).cast("long") for n, c in (("p", "pred"), ("r", "ref"))})
     return _count_grams(rows, keys, grams, ["pred_tokens", "ref_tokens", *sequences])
 
 
+_SIDES = {"p": "prediction", "r": "reference"}
+
+
+def _split_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+
+
+def _measured(rows: DataFrame, keys: Sequence[str], variants: Sequence[str], use_stemmer: bool) -> DataFrame:
+    """Adds token counts and sequence matches; with the stemmer, texts become stems."""
+    measure = _measure(use_stemmer, "rougeL" in variants, "rougeLsum" in variants)
+    found = measure(token_lines(F.col("prediction")), token_lines(F.col("reference")))
+    source = "m." if use_stemmer else ""
+    return rows.withColumn("m", found).select(
+        *keys,
+        *[F.col(source + side) for side in _SIDES.values()],
+        *[F.col(f"m.{c}") for c in ("pred_tokens", "ref_tokens", "rougeL", "rougeLsum")],
+    )
+
+
 def _count_grams(rows: DataFrame, keys: Sequence[str], grams: Sequence[str], carried: Sequence[str]) -> DataFrame:
     """Clipped n-gram matches per key; a pair without n-grams stays, with no match."""
 
@@ -107,10 +109,11 @@ def _count_grams(rows: DataFrame, keys: Sequence[str], grams: Sequence[str], car
         parts = {"rouge1": F.col(side), "rouge2": bigrams(F.col(side))}
         return F.concat(*[parts[g] for g in grams])
 
+    # The place where the reference's n-grams begin is fixed before the explode,
+    # so that no array is copied into the exploded rows.
     sides = rows.select(*keys, *carried, grams_of("p").alias("p"), grams_of("r").alias("r"))
-    exploded = sides.select(
-        *keys, *carried, F.size("p").alias("split_at"), F.posexplode_outer(F.concat("p", "r")).alias("at", "gram")
-    )
+    both = sides.select(*keys, *carried, F.size("p").alias("split_at"), F.concat("p", "r").alias("grams"))
+    exploded = both.select(*keys, *carried, "split_at", F.posexplode_outer("grams").alias("at", "gram"))
     predicted = F.coalesce(F.col("at") < F.col("split_at"), F.lit(False)).cast("long")
     per_gram = exploded.groupBy(*keys, "gram").agg(
         F.sum(predicted).alias("in_pred"),
@@ -149,10 +152,9 @@ def rouge_scores(
     keys: Sequence[str] = ("id",),
     variants: Sequence[str] = VARIANTS,
     use_stemmer: bool = True,
-    clustered: bool = False,
 ) -> DataFrame:
     """keys and ``<variant>_precision``, ``_recall``, ``_f`` per pair."""
-    counts = rouge_counts(pairs, keys, variants, use_stemmer, clustered)
+    counts = rouge_counts(pairs, keys, variants, use_stemmer)
     scores = [c.alias(f"{v}_{name}") for v in variants for name, c in prf(v).items()]
     return counts.select(*keys, *scores)
 
@@ -162,8 +164,7 @@ def rouge_corpus(
     variants: Sequence[str] = VARIANTS,
     use_stemmer: bool = True,
     run: str = "run_id",
-    clustered: bool = False,
 ) -> DataFrame:
     """One F value per run and variant: the mean over the run's pairs."""
-    scores = rouge_scores(pairs, (run, "id"), variants, use_stemmer, clustered)
+    scores = rouge_scores(pairs, (run, "id"), variants, use_stemmer)
     return scores.groupBy(run).agg(*[F.avg(f"{v}_f").alias(v) for v in variants])

@@ -29,7 +29,7 @@ class Scoring:
 
     def score(self, predictions: DataFrame, references: DataFrame) -> DataFrame:
         aligned = align_pairs(predictions, references)
-        return rouge_corpus(aligned, self.variants, self.use_stemmer, clustered=True)
+        return rouge_corpus(aligned, self.variants, self.use_stemmer)
 
 
 def evaluate_run(

@@ -485,7 +485,7 @@ def rouge_stemmed(v: Views) -> DataFrame:
 
 @query
 def rouge_corpus(v: Views) -> DataFrame:
-    return _scores(rouge.rouge_corpus(_aligned(v), UNSTEMMED, False, clustered=True), UNSTEMMED)
+    return _scores(rouge.rouge_corpus(_aligned(v), UNSTEMMED, False), UNSTEMMED)
 
 
 @query
@@ -525,7 +525,7 @@ def masked_eval(v: Views) -> DataFrame:
     references = vocab.decode_ids(labels, words, "labels").withColumnRenamed("text", "summary")
     runs_ = v.pairs().select(F.lit("step").alias("run_id"), "id", "prediction")
     aligned = compare.align_pairs(runs_, references)
-    return _scores(rouge.rouge_corpus(aligned, NGRAMS, False, clustered=True))
+    return _scores(rouge.rouge_corpus(aligned, NGRAMS, False))
 
 
 # --- user hooks ------------------------------------------------------------
