@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gistworks.session import spread
 from gistworks.sources.corpus import CorpusSpec
 
 
@@ -34,7 +35,7 @@ class Views:
 
         names = F.array(*[F.lit(n) for n in ("arxiv", "pubmed", "govreport", "bigpatent")])
         return (
-            self.table("documents")
+            spread(self.table("documents"), "doc_id")
             .select("doc_id", "text", F.split("text", " ").alias("w"))
             .select(
                 key.alias("id"),
