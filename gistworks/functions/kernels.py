@@ -5,20 +5,42 @@ from __future__ import annotations
 from collections import Counter
 
 
-def _positions(tokens: list[str]) -> dict[str, int]:
-    """For each token a bit mask of the places it occurs at."""
+_LONG = 1024
+
+
+def _positions(tokens: list[str], wanted: set[str]) -> dict[str, int]:
+    """For each wanted token a bit mask of the places it occurs at."""
+    if len(tokens) > _LONG:
+        return _positions_of_long(tokens, wanted)
     masks: dict[str, int] = {}
-    for i, token in enumerate(tokens):
-        masks[token] = masks.get(token, 0) | (1 << i)
+    bit = 1
+    for token in tokens:
+        if token in wanted:
+            masks[token] = masks.get(token, 0) | bit
+        bit <<= 1
     return masks
 
 
+def _positions_of_long(tokens: list[str], wanted: set[str]) -> dict[str, int]:
+    """The same in time linear in the length: setting one bit of a long integer copies it."""
+    masks: dict[str, bytearray] = {}
+    width = len(tokens) // 8 + 1
+    for i, token in enumerate(tokens):
+        if token in wanted:
+            packed = masks.get(token)
+            if packed is None:
+                packed = masks[token] = bytearray(width)
+            packed[i >> 3] |= 1 << (i & 7)
+    return {token: int.from_bytes(packed, "little") for token, packed in masks.items()}
+
+
 def _lcs_rows(outer: list[str], masks: dict[str, int], full: int):
     """Bit-parallel LCS: after each outer token, the row in which a cleared bit is a step up."""
     row = full
     for token in outer:
-        match = row & masks.get(token, 0)
-        row = ((row + match) | (row - match)) & full
+        if token in masks:
+            match = row & masks[token]
+            row = ((row + match) | (row - match)) & full
         yield row
 
 
@@ -30,7 +52,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
         return 0
     full = (1 << len(b)) - 1
     row = full
-    for row in _lcs_rows(a, _positions(b), full):
+    for row in _lcs_rows(a, _positions(b, set(a)), full):
         pass
     return len(b) - row.bit_count()
 
@@ -61,7 +83,8 @@ def lcs_reference_places(reference: list[str], masks: dict[str, int], prediction
 
 def summary_lcs_hits(reference: list[list[str]], prediction: list[list[str]]) -> int:
     """Union-LCS hits over sentences, each token used at most as often as it occurs."""
-    masks = [_positions(sentence) for sentence in prediction]
+    wanted = {t for s in reference for t in s}
+    masks = [_positions(sentence, wanted) for sentence in prediction]
     left_ref = Counter(t for s in reference for t in s)
     left_pred = Counter(t for s in prediction for t in s)
     hits = 0

@@ -29,11 +29,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def token_lines(text: Column) -> Column:
-    """The tokens of ``text`` joined by blanks, line breaks kept."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9\n]+", " ")
-
-
 def token_count(text: Column) -> Column:
     return F.size(tokens(text)).cast("long")
 

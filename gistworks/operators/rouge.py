@@ -7,6 +7,7 @@ follow find their groups in place. Subsequence measures work row by row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gistworks.functions.kernels import lcs_length, summary_lcs_hits
 from gistworks.functions.porter import stem_token
-from gistworks.functions.text import TOKEN_PATTERN, bigrams, token_lines, tokens
+from gistworks.functions.text import TOKEN_PATTERN, bigrams, tokens
 
 VARIANTS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 _NGRAM = {"rouge1", "rouge2"}
@@ -23,8 +24,10 @@ _NGRAM = {"rouge1", "rouge2"}
 def _measure(stem: bool, longest: bool, summary: bool):
     """One Arrow pass for all that needs sequences: stems, LCS, summary LCS."""
 
+    token = re.compile(TOKEN_PATTERN)
+
     def lines(text: str) -> list[list[str]]:
-        split = [line.split() for line in text.split("\n")]
+        split = [token.findall(line) for line in text.split("\n")]
         if stem:
             split = [[stem_token(t) for t in line] for line in split]
         return [line for line in split if line]
@@ -76,7 +79,7 @@ def rouge_counts(
     # Python evaluation does not report how its rows are partitioned, so the
     # shuffle comes after it; stems are separated by blanks, other texts are not.
     rows = rows.repartition(*keys)
-    split = _split_tokens if use_stemmer else tokens
+    split = _split_stems if use_stemmer else tokens
     rows = rows.withColumns({n: F.coalesce(split(F.col(c)), F.array()) for n, c in _SIDES.items()})
     if not (use_stemmer or sequences):
         rows = rows.withColumns({f"{c}_tokens": F.size(n).cast("long") for n, c in (("p", "pred"), ("r", "ref"))})
@@ -86,14 +89,14 @@ def rouge_counts(
 _SIDES = {"p": "prediction", "r": "reference"}
 
 
-def _split_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+def _split_stems(text: Column) -> Column:
+    return F.when(text != "", F.split(text, " ")).otherwise(F.array())
 
 
 def _measured(rows: DataFrame, keys: Sequence[str], variants: Sequence[str], use_stemmer: bool) -> DataFrame:
     """Adds token counts and sequence matches; with the stemmer, texts become stems."""
     measure = _measure(use_stemmer, "rougeL" in variants, "rougeLsum" in variants)
-    found = measure(token_lines(F.col("prediction")), token_lines(F.col("reference")))
+    found = measure(F.lower("prediction"), F.lower("reference"))
     source = "m." if use_stemmer else ""
     return rows.withColumn("m", found).select(
         *keys,

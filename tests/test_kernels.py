@@ -4,6 +4,7 @@ from collections import Counter
 
 from hypothesis import given, strategies as st
 
+from gistworks.functions import kernels
 from gistworks.functions.kernels import lcs_length, lcs_reference_places, summary_lcs_hits
 from gistworks.functions.porter import stem, stem_token
 
@@ -51,6 +52,13 @@ def test_lcs_length(a, b):
     assert lcs_length(a, b) == table(a, b)[-1][-1] == lcs_length(b, a)
 
 
+def test_long_lists_give_the_same_masks():
+    tokens = [str(i * i % 7) for i in range(100)]
+    direct = kernels._positions(tokens, {"1", "2", "9"})
+    assert direct == kernels._positions_of_long(tokens, {"1", "2", "9"})
+    assert lcs_length(tokens * 30, tokens[::-1] + tokens * 30) == 3000
+
+
 @given(words, words)
 def test_places_follow_the_tie_rule(a, b):
     masks = {x: sum(1 << i for i, y in enumerate(b) if y == x) for x in set(b)}

@@ -17,13 +17,6 @@ def test_tokens_and_bigrams(spark):
     assert one(spark, tx.bigrams(tx.tokens(F.col("t"))), t="a") == []
 
 
-def test_token_lines_hold_the_same_tokens(spark):
-    t = "One, two\n\nthree-4\n"
-    lines = one(spark, tx.token_lines(F.col("t")), t=t)
-    assert lines.split() == one(spark, tx.tokens(F.col("t")), t=t)
-    assert [line.split() for line in lines.split("\n")] == [["one", "two"], [], ["three", "4"], []]
-
-
 def test_answer(spark):
     def answer(o):
         return one(spark, tx.extract_answer(F.col("o")), o=o)
