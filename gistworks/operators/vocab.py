@@ -35,11 +35,6 @@ def build_vocab(df: DataFrame, columns: tuple[str, ...] = ("text", "summary"), s
     return materialize(top.withColumn("token_id", numbered.cast("int")), "vocab")
 
 
-def _ids(entries: Column) -> Column:
-    """Token ids in position order from collected (position, id) pairs."""
-    return F.transform(F.array_sort(entries), lambda e: e["token_id"])
-
-
 def _close(ids: Column, max_len: int, add_eos: bool) -> Column:
     if not add_eos:
         return ids
@@ -63,24 +58,22 @@ def lookup_ids(
 
     Texts are cut first, then shuffled whole by key, then exploded; the join
     and the regrouping keep that partitioning, so tokens themselves never move.
+    A row's columns are exploded as one list and told apart by their lengths;
+    position and id travel as one number, which sorts by position.
     """
     cut = {s: F.array_join(F.slice(tokens(F.col(c)), 1, max_len), " ") for s, c in sides.items()}
-
-    def entries(side: str) -> Column:
-        words = F.when(F.col(side) != "", F.split(side, " ")).otherwise(F.array())
-        return F.transform(
-            words, lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("position"), t.alias("token"))
-        )
-
     rows = df.select(*keys, *[c.alias(s) for s, c in cut.items()]).repartition(*keys)
-    exploded = rows.select(*keys, F.inline_outer(F.concat(*[entries(s) for s in sides])))
-    known = broadcast_checked(vocab.select("token", "token_id"))
-    found = exploded.join(known, "token", "left").withColumn(
-        "entry", F.struct("position", F.coalesce("token_id", F.lit(UNK)).alias("token_id"))
-    )
-    return found.groupBy(*keys).agg(
-        *[_ids(F.collect_list(F.when(F.col("side") == s, F.col("entry")))).alias(s) for s in sides]
-    )
+    words = {s: F.when(F.col(s) != "", F.split(s, " ")).otherwise(F.array()) for s in sides}
+    sizes = [f"n_{s}" for s in sides]
+    split = rows.select(*keys, *[w.alias(s) for s, w in words.items()])
+    listed = split.select(*keys, *[F.size(s).alias(n) for s, n in zip(sides, sizes)], F.concat(*sides).alias("words"))
+    exploded = listed.select(*keys, *sizes, F.posexplode_outer("words").alias("position", "token"))
+    found = exploded.join(broadcast_checked(vocab.select("token", "token_id")), "token", "left")
+    entry = F.shiftleft(F.col("position").cast("long"), 32) + F.coalesce("token_id", F.lit(UNK))
+    grouped = found.groupBy(*keys, *sizes).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    ids = grouped.withColumn("ids", F.transform("entries", lambda e: (e % (1 << 32)).cast("int")))
+    starts = [sum((F.col(n) for n in sizes[:i]), F.lit(1)) for i in range(len(sizes))]
+    return ids.select(*keys, *[F.slice("ids", at, F.col(n)).alias(s) for s, n, at in zip(sides, sizes, starts)])
 
 
 def encode_fixed(
