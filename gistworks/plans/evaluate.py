@@ -49,7 +49,7 @@ def evaluate_run(
     """
     rows = get_split(corpus, split)
     encoded = encode_fixed(rows, vocab, enc_max_len).select("id", "input_ids")
-    inputs = decode_ids(encoded, vocab, "input_ids")
+    inputs = decode_ids(encoded, vocab, "input_ids", clustered=True)
     predicted = generate_batched(inputs, predictor, batch_size=batch_size)
     write_predictions(predicted.withColumn("run_id", F.lit(run_id)), f"{path}/predictions")
     stored = read_predictions(corpus.sparkSession, f"{path}/predictions")
@@ -81,7 +81,7 @@ def causal_run(
     prompted = rows.withColumn("text", prompt_prefix(F.col("text")))
     kept = rows.join(fits_context(prompted, context, shots).select("id"), "id", "left_semi") if shots else rows
     ids = causal_prompt_ids(kept, vocab, max_length, max_new_tokens)
-    prompts = decode_ids(ids, vocab, "input_ids").withColumn(
+    prompts = decode_ids(ids, vocab, "input_ids", clustered=True).withColumn(
         "text", F.concat("text", F.lit(f" {ANSWER_MARKER}"))
     )
     outputs = generate_batched(prompts, predictor)

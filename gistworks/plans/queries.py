@@ -349,7 +349,7 @@ def encode_pairs(v: Views) -> DataFrame:
 @query
 def decode_ids(v: Views) -> DataFrame:
     words = _vocab(v)
-    return vocab.decode_ids(vocab.encode_fixed(v.pairs(), words, ENC_MAX_LEN), words, "input_ids")
+    return vocab.decode_ids(vocab.encode_fixed(v.pairs(), words, ENC_MAX_LEN), words, "input_ids", clustered=True)
 
 
 def _masked_labels(v: Views, words: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def _masked_labels(v: Views, words: DataFrame) -> DataFrame:
 def unmask_labels(v: Views) -> DataFrame:
     words = _vocab(v)
     labels = _masked_labels(v, words).withColumn("labels", vocab.unmask(F.col("labels")))
-    return vocab.decode_ids(labels, words, "labels")
+    return vocab.decode_ids(labels, words, "labels", clustered=True)
 
 
 @query
@@ -522,7 +522,7 @@ def multi_metric_report(v: Views) -> DataFrame:
 def masked_eval(v: Views) -> DataFrame:
     words = _vocab(v)
     labels = _masked_labels(v, words).withColumn("labels", vocab.unmask(F.col("labels")))
-    references = vocab.decode_ids(labels, words, "labels").withColumnRenamed("text", "summary")
+    references = vocab.decode_ids(labels, words, "labels", clustered=True).withColumnRenamed("text", "summary")
     runs_ = v.pairs().select(F.lit("step").alias("run_id"), "id", "prediction")
     aligned = compare.align_pairs(runs_, references)
     return _scores(rouge.rouge_corpus(aligned, NGRAMS, False))

@@ -9,7 +9,7 @@ import __spark_entry__ as driver
 from tools.check import TABLES, canonical
 
 FOLDER = os.environ.get("GISTWORKS_TABLES", "/root/testdata/sf0.001")
-WITHOUT_SQL = {"rougeLsum", "rouge_stemmed"}
+WITHOUT_SQL = {"rouge_stemmed"}
 
 
 @pytest.fixture(scope="module")

@@ -77,6 +77,13 @@ def test_tokens_do_not_move(corpus, words, plan_of):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastHashJoin") == 1
 
 
+def test_decoding_what_was_encoded_shuffles_once(corpus, words, plan_of):
+    encoded = vocab.encode_fixed(corpus, words, 8)
+    again, once = (vocab.decode_ids(encoded, words, "input_ids", clustered=c) for c in (False, True))
+    assert plan_of(once).count("Exchange hashpartitioning") == 1 < plan_of(again).count("Exchange hashpartitioning")
+    assert sorted(once.collect()) == sorted(again.collect())
+
+
 def test_a_large_vocabulary_is_not_broadcast_by_mark(corpus, words, monkeypatch, spark):
     from gistworks.operators import joins
 
