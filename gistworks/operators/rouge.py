@@ -77,13 +77,18 @@ def rouge_counts(
         return rows.select(*keys, "pred_tokens", "ref_tokens", *sequences)
 
     # Python evaluation does not report how its rows are partitioned, so the
-    # shuffle comes after it; stems are separated by blanks, other texts are not.
-    rows = rows.repartition(*keys)
+    # shuffle comes after it. The keys travel as one column: a constant among
+    # them, such as the name of a single run, would otherwise be folded away
+    # from the shuffle but not from the grouping, which would then shuffle again.
+    key = F.struct(*keys).alias("key")
+    rows = rows.select(key, *[c for c in rows.columns if c not in keys]).repartition("key")
     split = _split_stems if use_stemmer else tokens
     rows = rows.withColumns({n: F.coalesce(split(F.col(c)), F.array()) for n, c in _SIDES.items()})
     if not (use_stemmer or sequences):
         rows = rows.withColumns({f"{c}_tokens": F.size(n).cast("long") for n, c in (("p", "pred"), ("r", "ref"))})
-    return _count_grams(rows, keys, grams, ["pred_tokens", "ref_tokens", *sequences])
+    carried = ["pred_tokens", "ref_tokens", *sequences]
+    counted = _count_grams(rows, grams, carried)
+    return counted.select(*[F.col(f"key.{k}") for k in keys], *carried, *grams)
 
 
 _SIDES = {"p": "prediction", "r": "reference"}
@@ -105,7 +110,7 @@ def _measured(rows: DataFrame, keys: Sequence[str], variants: Sequence[str], use
     )
 
 
-def _count_grams(rows: DataFrame, keys: Sequence[str], grams: Sequence[str], carried: Sequence[str]) -> DataFrame:
+def _count_grams(rows: DataFrame, grams: Sequence[str], carried: Sequence[str]) -> DataFrame:
     """Clipped n-gram matches per key; a pair without n-grams stays, with no match."""
 
     def grams_of(side: str) -> Column:
@@ -114,11 +119,11 @@ def _count_grams(rows: DataFrame, keys: Sequence[str], grams: Sequence[str], car
 
     # The place where the reference's n-grams begin is fixed before the explode,
     # so that no array is copied into the exploded rows.
-    sides = rows.select(*keys, *carried, grams_of("p").alias("p"), grams_of("r").alias("r"))
-    both = sides.select(*keys, *carried, F.size("p").alias("split_at"), F.concat("p", "r").alias("grams"))
-    exploded = both.select(*keys, *carried, "split_at", F.posexplode_outer("grams").alias("at", "gram"))
+    sides = rows.select("key", *carried, grams_of("p").alias("p"), grams_of("r").alias("r"))
+    both = sides.select("key", *carried, F.size("p").alias("split_at"), F.concat("p", "r").alias("grams"))
+    exploded = both.select("key", *carried, "split_at", F.posexplode_outer("grams").alias("at", "gram"))
     predicted = F.coalesce(F.col("at") < F.col("split_at"), F.lit(False)).cast("long")
-    per_gram = exploded.groupBy(*keys, "gram").agg(
+    per_gram = exploded.groupBy("key", "gram").agg(
         F.sum(predicted).alias("in_pred"),
         F.sum(1 - predicted).alias("in_ref"),
         *[F.max(c).alias(c) for c in carried],
@@ -128,7 +133,7 @@ def _count_grams(rows: DataFrame, keys: Sequence[str], grams: Sequence[str], car
     matched = F.when(F.col("gram").isNotNull(), F.least("in_pred", "in_ref")).otherwise(0)
     is_bigram = F.contains("gram", F.lit(" "))
     wanted = {"rouge1": ~is_bigram, "rouge2": is_bigram}
-    return per_gram.groupBy(*keys).agg(
+    return per_gram.groupBy("key").agg(
         *[F.max(c).alias(c) for c in carried],
         *[F.sum(F.when(wanted[g], matched).otherwise(0)).alias(g) for g in grams],
     )

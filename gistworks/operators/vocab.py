@@ -107,17 +107,13 @@ def encode_pairs(
     )
 
 
-def decode_ids(
-    df: DataFrame, vocab: DataFrame, column: str, keys: tuple[str, ...] = ("id",), clustered: bool = False
-) -> DataFrame:
+def decode_ids(df: DataFrame, vocab: DataFrame, column: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """(keys, text): reserved ids skipped, tokens joined by single blanks.
 
-    ``clustered`` says that rows lie together by key already, as the encoders
-    leave them, so that whole rows need not be shuffled again.
+    Rows that an encoder left partitioned by key are not shuffled again.
     """
     plain = F.filter(F.col(column), lambda x: x >= FIRST_FREE)
-    rows = df if clustered else df.repartition(*keys)
-    exploded = rows.select(*keys, F.posexplode_outer(plain).alias("position", "token_id"))
+    exploded = df.repartition(*keys).select(*keys, F.posexplode_outer(plain).alias("position", "token_id"))
     spelled = exploded.join(broadcast_checked(vocab.select("token_id", "token")), "token_id", "left")
     entry = F.when(F.col("token").isNotNull(), F.struct("position", "token"))
     words = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["token"])

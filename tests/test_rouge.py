@@ -98,6 +98,12 @@ def test_one_exchange_and_no_join(pairs, plan_of):
     assert "Exchange" not in plan_of(rouge.rouge_counts(pairs, variants=("rougeL",)))
 
 
+def test_a_constant_run_name_costs_no_shuffle(pairs, plan_of):
+    one_run = pairs.withColumn("run_id", F.lit("only"))
+    plan = plan_of(rouge.rouge_counts(one_run, ("run_id", "id"), use_stemmer=False))
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_corpus_value_is_the_mean(spark, pairs):
     keyed = pairs.withColumn("run_id", F.when(F.col("id") % 3 == 0, "b").otherwise("a"))
     got = {r["run_id"]: r for r in rouge.rouge_corpus(keyed).collect()}

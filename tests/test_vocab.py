@@ -78,10 +78,8 @@ def test_tokens_do_not_move(corpus, words, plan_of):
 
 
 def test_decoding_what_was_encoded_shuffles_once(corpus, words, plan_of):
-    encoded = vocab.encode_fixed(corpus, words, 8)
-    again, once = (vocab.decode_ids(encoded, words, "input_ids", clustered=c) for c in (False, True))
-    assert plan_of(once).count("Exchange hashpartitioning") == 1 < plan_of(again).count("Exchange hashpartitioning")
-    assert sorted(once.collect()) == sorted(again.collect())
+    decoded = vocab.decode_ids(vocab.encode_fixed(corpus, words, 8), words, "input_ids")
+    assert plan_of(decoded).count("Exchange hashpartitioning") == 1
 
 
 def test_a_large_vocabulary_is_not_broadcast_by_mark(corpus, words, monkeypatch, spark):
