@@ -77,18 +77,20 @@ def rouge_counts(
         return rows.select(*keys, "pred_tokens", "ref_tokens", *sequences)
 
     # Python evaluation does not report how its rows are partitioned, so the
-    # shuffle comes after it. The keys travel as one column: a constant among
+    # shuffle comes after it. Several keys travel as one column: a constant among
     # them, such as the name of a single run, would otherwise be folded away
     # from the shuffle but not from the grouping, which would then shuffle again.
-    key = F.struct(*keys).alias("key")
-    rows = rows.select(key, *[c for c in rows.columns if c not in keys]).repartition("key")
+    alone = len(keys) == 1
+    key = F.col(keys[0]) if alone else F.struct(*keys)
+    rows = rows.select(key.alias("key"), *[c for c in rows.columns if c not in keys]).repartition("key")
     split = _split_stems if use_stemmer else tokens
     rows = rows.withColumns({n: F.coalesce(split(F.col(c)), F.array()) for n, c in _SIDES.items()})
     if not (use_stemmer or sequences):
         rows = rows.withColumns({f"{c}_tokens": F.size(n).cast("long") for n, c in (("p", "pred"), ("r", "ref"))})
     carried = ["pred_tokens", "ref_tokens", *sequences]
     counted = _count_grams(rows, grams, carried)
-    return counted.select(*[F.col(f"key.{k}") for k in keys], *carried, *grams)
+    back = [F.col("key" if alone else f"key.{k}").alias(k) for k in keys]
+    return counted.select(*back, *carried, *grams)
 
 
 _SIDES = {"p": "prediction", "r": "reference"}
