@@ -50,7 +50,7 @@ def preview_head(df: DataFrame, n: int = 4, by: tuple[str, ...] = ("split",), id
     """The ``n`` rows of lowest id in each group of ``by``.
 
     Every task passes on at most ``n`` ids per group; the largest kept id of
-    each group returns as one small map.
+    each group returns as one small map. Meant for few groups, such as splits.
     """
     lowest = Window.partitionBy(*by).orderBy(id)
     bounds = (
@@ -80,6 +80,7 @@ def sample_one(df: DataFrame, seed: str, by: str = "dataset", id: str = "id") ->
 
     The row of the smallest hash of (id, seed); should two hashes agree, the
     lower id. Only the fixed-width hash is aggregated, with partial aggregation.
+    Meant for few groups, such as corpora.
     """
     digest = F.md5(F.concat(F.col(id).cast("string"), F.lit(seed)))
     rank = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")

@@ -7,9 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from gistworks.functions.text import (
-    ANSWER_MARKER, chat_messages, extract_answer, prompt_prefix, truncate_words,
-)
+from gistworks.functions.text import ANSWER_MARKER, chat_messages, extract_answer, prompt_prefix
 from gistworks.operators.admission import fits_context
 from gistworks.operators.compare import align_pairs
 from gistworks.operators.generate import PredictorFactory, generate_batched, generate_resumable
@@ -118,7 +116,3 @@ def lead_answer(budget: int) -> PredictorFactory:
         return predict
 
     return make
-
-
-def truncated(df: DataFrame, budget: int, column: str = "text") -> DataFrame:
-    return df.withColumn(column, truncate_words(F.col(column), budget))

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from gistworks.operators.leaderboard import best_checkpoint, leaderboard, rouge_avg, rouge_geo_mean
 from gistworks.sources import predlog, runs, sinks
