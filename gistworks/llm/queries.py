@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gistworks.llm import bpe
+from gistworks.llm import bpe, lm, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,8 +20,22 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(_table(spark, folder, "documents"), path, pattern, form="digest")
 
 
+def _fold(modulus: int):
+    """crc32 of the identifier as text, modulo; a null identifier has none."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"), shingle=3, distance=3)
+
+
+def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").withColumn("held_out", F.coalesce(_fold(7) == 2, F.lit(False)))
+    return lm.score(docs, ~F.col("held_out"), keep={"held_out": "held_out"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe}
+    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op10_lm": op10_lm}
 
 
 def oracle_sql() -> dict[str, str]:
