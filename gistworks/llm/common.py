@@ -160,3 +160,20 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
+
+
+# Labelled samples.
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id") -> DataFrame:
+    """(text, label) of at most ``limit`` labelled rows, those whose identifiers' hashes are smallest.
+
+    An identifier labelled more than once counts once, with its largest label;
+    null identifiers, labels and texts are left out. The bound on the sample
+    is what makes its identifiers safe to broadcast.
+    """
+    known = pick(labels, doc_id=label_id_col, label=label).where("doc_id is not null and label is not null")
+    known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    texts = pick(docs, doc_id=id_col, text=text_col).where("text is not null")
+    return texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
