@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gistworks.llm.common import Stored, binary, blocks, bucket_count, pack, pack_words, pick, prepare, task_number, unpack, unpack_words
+from gistworks.llm.common import Bucketed, blocks, bucket_count, pack, pack_words, pick, prepare, task_number, unpack, unpack_words
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -170,9 +170,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     buckets = bucket_count(texts, "text")
     # Kept: shipped once to each executor, a few MB by the vocabulary's size.
     ranks = spark.sparkContext.broadcast(read_ranks(path))
-    cut = Stored(
+    cut = Bucketed(
         texts.mapInArrow(_cut(pattern, buckets, kept), "kind string, block long, bucket int, start long, payload binary"),
-        "bpe", "kind",
+        "bpe", "block", buckets, "kind",
     )
     words = cut.read().where("kind = 'words'").select("bucket", "block", "start", "payload")
     shared = words.repartition("bucket").sortWithinPartitions("bucket")

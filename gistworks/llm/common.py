@@ -38,6 +38,23 @@ class Stored:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Bucketed(Stored):
+    """A stored table laid out by a key in ``n`` buckets, so that a later grouping by it moves only the other side."""
+
+    def __init__(self, df: DataFrame, label: str, key: str, n: int, *partition: str):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = scratch_path(self.spark, label)
+        self.name = f"scratch_{label.replace('-', '_')}_{self.path[-32:]}"
+        df.write.partitionBy(*partition).bucketBy(n, key).option("path", self.path).format("parquet").saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        super().drop()
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that no other column can clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))

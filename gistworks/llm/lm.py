@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gistworks.llm.common import Stored, binary, blocks, bucket_count, pack, pack_words, pick, prepare, task_number, unpack, unpack_words
+from gistworks.llm.common import Bucketed, Stored, binary, blocks, bucket_count, pack, pack_words, pick, prepare, task_number, unpack, unpack_words
 
 #: Weight of the unigram model in each state, in tokens.
 PRIOR = 500.0
@@ -232,7 +232,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     marked = docs.withColumn("__learn", F.coalesce(learn, F.lit(False)))
     texts = pick(marked, doc_id=id_col, text=text_col, learn="__learn", **(keep or {}))
     buckets = bucket_count(texts, "text")
-    cut = Stored(texts.mapInArrow(_cut(buckets), _CUT), "lm", "kind")
+    cut = Bucketed(texts.mapInArrow(_cut(buckets), _CUT), "lm", "block", buckets, "kind")
     asked = cut.read().where("kind != 'block'").select("kind", "bucket", "block", "start", "payload")
     order = ("kind", "bucket")
     sums = Stored(asked.repartition(*order).sortWithinPartitions(*order).mapInArrow(_sum, _SUMS), "lm-sums")
