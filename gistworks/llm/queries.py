@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gistworks.llm import bpe, lm, simhash
+from gistworks.llm import bpe, lm, quality, simhash, toxicity
+
+
+#: Scores from which a text counts as toxic.
+TOXIC = 0.7
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,13 +33,26 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), shingle=3, distance=3)
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.rate(docs, quality.fit(docs, _table(spark, folder, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").where(_fold(3) != 1)
+    scored = toxicity.with_score(docs, toxicity.fit(docs, labels)).drop("text")
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").withColumn("held_out", F.coalesce(_fold(7) == 2, F.lit(False)))
     return lm.score(docs, ~F.col("held_out"), keep={"held_out": "held_out"})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op10_lm": op10_lm}
+    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op7_quality": op7_quality, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
 
 
 def oracle_sql() -> dict[str, str]:
