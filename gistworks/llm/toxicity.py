@@ -32,7 +32,7 @@ SAMPLE = 12_000
 #: Features that may carry a weight, at most.
 CHOSEN = 1 << 14
 _SLOTS = 1 << 22
-_BEGINNINGS = (3, 4, 5, 6)
+_BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Groups that a text may mention; terms of one row may stand in for each other (fixed values).
 IDENTITIES = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -138,16 +138,17 @@ class Classifier:
         return dict(zip(self.slots.tolist(), self.weights.tolist()))
 
 
-def choose(x: Sparse, y: np.ndarray, most: int = CHOSEN, least: int = 4) -> np.ndarray:
-    """The slots whose presence says most about the label, by the chi-square of presence."""
+def choose(x: Sparse, y: np.ndarray, most: int = CHOSEN) -> np.ndarray:
+    """The slots whose presence speaks most for label 1, by the chi-square of presence; rare ones are left out."""
     n, ones = len(y), y.sum()
+    least = max(5, n / 1500)
     have = np.bincount(x.cols, minlength=x.shape[1]).astype(float)
     with_one = np.bincount(x.cols, y[x.rows], x.shape[1])
     expected = have * ones / n
     spread = expected * (1 - ones / n) * (1 - have / n) + 1e-9
-    score = np.where(have >= least, (with_one - expected) ** 2 / spread, 0)
+    score = np.where((have >= least) & (with_one > expected), (with_one - expected) ** 2 / spread, 0)
     chosen = np.argsort(-score, kind="stable")[:most]
-    return np.sort(chosen[score[chosen] > 6.6])
+    return np.sort(chosen[score[chosen] > 25])
 
 
 def fit_weights(x: Sparse, y: np.ndarray, pairs: Sparse, ridge: float = 0.05, fairness: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, float]:
