@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gistworks.llm import bpe, lm, quality, simhash, toxicity
+from gistworks.llm import bpe, chat, lm, quality, sharding, simhash, toxicity
 
 
 #: Scores from which a text counts as toxic.
@@ -33,11 +33,22 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), shingle=3, distance=3)
 
 
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(_table(spark, folder, "documents"), 40)
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return quality.rate(docs, quality.fit(docs, _table(spark, folder, "labels")))
 
 
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digest(chat.format_chats(turns.unionByName(own)))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     labels = _table(spark, folder, "labels").where(_fold(3) != 1)
@@ -52,8 +63,31 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op7_quality": op7_quality, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+
+
+_CHAT_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), marked AS (
+  SELECT *, lag(role, 1, 'start') OVER w AS before, lead(role) OVER w IS NULL AS last,
+    length(text) + length(regexp_replace(text, '[^\\\\<\\[]', '', 'g')) AS escaped,
+    CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+      ELSE 20 + length(role) + length(regexp_replace(role, '[^\\\\<\\[]', '', 'g')) END AS marks
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(escaped + marks)::BIGINT AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN before = 'start' WHEN 'user' THEN before IN ('start', 'system', 'assistant')
+    WHEN 'assistant' THEN before = 'user' ELSE false END AND (NOT last OR role = 'assistant')) AS valid
+FROM marked GROUP BY conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat": _CHAT_SQL}
