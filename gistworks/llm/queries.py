@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gistworks.llm import bpe, chat, lm, quality, sharding, simhash, toxicity
+from gistworks.llm import bpe, chat, lines, lm, quality, sharding, simhash, toxicity
 
 
 #: Scores from which a text counts as toxic.
@@ -37,6 +37,14 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(_table(spark, folder, "documents"), 40)
 
 
+def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    made = lines.with_kept(_table(spark, folder, "documents"))
+    return made.select(
+        F.col("row.doc_id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.concat_ws(" ", "removed").alias("removed_lines"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return quality.rate(docs, quality.fit(docs, _table(spark, folder, "labels")))
@@ -63,7 +71,7 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
 
 
 _CHAT_SQL = """
@@ -89,5 +97,42 @@ FROM marked GROUP BY conv_id
 """
 
 
+def _descend_sql(shards: int) -> str:
+    """Joins that go down the tree from ``keys`` level by level, as subqueries."""
+    at = "SELECT rid, k, 0 AS node FROM keys"
+    fan = -(-shards // sharding.SPANS[0])
+    for level, span, below in zip(sharding.LEVELS, sharding.SPANS, (*sharding.SPANS[1:], 1)):
+        count = -(-shards // span)
+        at = f"""
+          SELECT rid, any_value(k) AS k, arg_min(child, draw) AS node FROM (
+            SELECT rid, k, child, -ln((('0x' || substr(md5('{level}' || child || ':' || k), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
+              / (least({shards}, (child + 1) * {span}) - child * {span}) AS draw
+            FROM (SELECT rid, k, node * {fan} + unnest(range({fan})) AS child FROM ({at})) WHERE child < {count}
+          ) GROUP BY rid"""
+        fan = span // below
+    return at
+
+
+_SHARD_SQL = f"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), keys AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents
+), sized AS (
+  SELECT rid, doc_id, strlen(text) + 16 AS size,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM keys, crc_table
+), placed AS (
+  SELECT s.*, a.node AS shard, b.node AS grown_shard
+  FROM sized s JOIN ({_descend_sql(40)}) a USING (rid) JOIN ({_descend_sql(41)}) b USING (rid)
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": _CHAT_SQL}
+    return {"op4_sharding": _SHARD_SQL, "op8_chat": _CHAT_SQL}
