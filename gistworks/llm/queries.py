@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gistworks.llm import bpe, chat, lines, lm, quality, sharding, simhash, toxicity
+from gistworks.llm import bpe, chat, decontaminate, lines, lm, quality, sharding, simhash, toxicity
 
 
 #: Scores from which a text counts as toxic.
@@ -37,6 +37,13 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(_table(spark, folder, "documents"), 40)
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, _table(spark, folder, "benchmark")).where("size(leaks) > 0")
+    return found.select("doc_id", F.col("leaks.item_id").alias("item_ids"), F.array_max("leaks.common").alias("most_common"))
+
+
 def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
     made = lines.with_kept(_table(spark, folder, "documents"))
     return made.select(
@@ -71,7 +78,7 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
 
 
 _CHAT_SQL = """
