@@ -34,6 +34,8 @@ PRIOR = 500.0
 #: The end token; no word holds a line break.
 END = b"\n"
 _BITS = 56
+#: Bytes of text in a block: its bigrams take about twenty times as much memory while they are counted.
+BLOCK = 8 << 20
 
 
 def _codes(texts: list[bytes | None], known: dict[bytes, int]) -> tuple[list[np.ndarray], list[int]]:
@@ -93,7 +95,7 @@ _CUT = "kind string, block long, bucket int, start long, payload binary"
 def _cut(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = task_number()
-        for number, table in enumerate(blocks(batches, "text")):
+        for number, table in enumerate(blocks(batches, "text", BLOCK)):
             known = {END: 0}
             codes, counts = _codes([t for c in table.column("text").chunks for t in binary(c).to_pylist()], known)
             words, every, counts = list(known), np.concatenate(codes), np.array(counts, np.int64)
