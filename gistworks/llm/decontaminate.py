@@ -5,8 +5,8 @@ frequencies count every passage of the corpus. A randomised singular value
 decomposition finds the latent space: each task multiplies its passages with
 the same random test matrix and back (one pass, Y = A'A W), the sums are
 added up by blocks of terms, and the driver finishes the small factor. The
-benchmark's own passages are rows of the matrix too, weighing as much as the
-corpus together, so that the leading directions tell its items apart.
+benchmark's own passages are rows of the matrix too, weighing together as
+much as several corpora, so that the leading directions tell its items apart.
 
 A second pass projects the corpus windows, takes as candidates those whose
 cosine to a benchmark passage is high enough, and checks each against the
@@ -35,11 +35,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gistworks.llm.common import binary, pack, pick, prepare, unpack
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 24, 12
 SLOTS = 1 << 20
 #: Terms that more than this share of the passages hold weigh nothing.
 COMMON = 0.01
 RANK, EXTRA = 256, 16
+#: Weight of the benchmark's passages in the decomposition, in corpora.
+ITEM_WEIGHT = 8.0
 COSINE, SUBSEQUENCE, ANSWER = 0.3, 0.6, 0.6
 #: Benchmark text that is held against the corpus in one go, in bytes.
 ITEM_BYTES = 512 << 10
@@ -240,7 +242,7 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
         image = np.zeros_like(test)
     energy = sum(rows.column("norm").to_pylist())
     own = items.rows.astype(float)
-    image = image + max(energy, 1.0) / len(own) * (own.T @ (own @ test))
+    image = image + ITEM_WEIGHT * max(energy, 1.0) / len(own) * (own.T @ (own @ test))
     # Nystroem form of the decomposition of A'A from its image of the test matrix.
     shift = 1e-7 * np.linalg.norm(image)
     image = image + shift * test
