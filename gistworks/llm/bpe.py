@@ -148,7 +148,7 @@ def as_digest(ids: np.ndarray, table: TokenBytes) -> tuple:
 
 
 def as_ids(ids: np.ndarray, table: TokenBytes) -> tuple:
-    return ids.tolist(), table.decode(ids)
+    return ids.astype(np.int32), table.decode(ids)
 
 
 #: What may be made of each document's ids: columns and the function for one document.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gistworks.llm import bpe, chat, decontaminate, lines, lm, quality, sharding, simhash, toxicity
+from gistworks.llm import bpe, chat, decontaminate, lines, lm, quality, sharding, simhash, toxicity, wordpiece
 
 
 #: Scores from which a text counts as toxic.
@@ -29,6 +29,13 @@ def _fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = wordpiece.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return wordpiece.count_pieces(_table(spark, folder, "documents"), vocabulary)
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"), shingle=3, distance=3)
 
@@ -64,10 +71,14 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(own)))
 
 
+def train_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels that the toxicity classifier may learn from: all but one fold of three."""
+    return _table(spark, folder, "labels").where(_fold(3) != 1)
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    labels = _table(spark, folder, "labels").where(_fold(3) != 1)
-    scored = toxicity.with_score(docs, toxicity.fit(docs, labels)).drop("text")
+    scored = toxicity.with_score(docs, toxicity.fit(docs, train_labels(spark, folder))).drop("text")
     held_out = F.coalesce(_fold(3) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
@@ -78,7 +89,7 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+    return {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
 
 
 _CHAT_SQL = """

@@ -193,11 +193,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     texts = with_fingerprint(pick(docs, doc_id=id_col, text=text_col), "text", "fp", shingle).select("doc_id", "fp")
     found = Stored(texts, "fingerprints")
-    least = Stored(found.read().groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+    by_print = _smallest(found.read().groupBy("fp").agg(F.min("doc_id").alias("first")), "first", "component_id", distance)
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.read().join(by_print, "fp").select("doc_id", hexed, "component_id")
+
+
+def _smallest(prints: DataFrame, value: str, out: str, distance: int) -> DataFrame:
+    """(fp, out): the smallest ``value`` in each fingerprint's component."""
+    least = Stored(prints, "prints")
     labels = Stored(link_prints(least.read(), distance), "print-labels")
     named = least.read().join(labels.read().withColumnRenamed("node", "fp"), "fp", "left")
     named = named.withColumn("label", F.coalesce("label", "fp"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_print = named.join(smallest, "label").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return found.read().join(by_print, "fp").select("doc_id", hexed, "component_id")
+    smallest = named.groupBy("label").agg(F.min(value).alias(out))
+    return named.join(smallest, "label").select("fp", out)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest identifier (nulls last).
+
+    Rows that share it, repeated rows among them, are told apart by their
+    place in the stored table.
+    """
+    prepare(docs.sparkSession)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(row.alias("row"), F.monotonically_increasing_id().alias("place"), F.col(f"`{text_col}`").alias("text"))
+    rows = Stored(with_fingerprint(keyed, "text", "fp", shingle).drop("text"), "print-rows")
+    key = F.struct(F.col("row")[id_col].isNull().alias("none"), F.col("row")[id_col].alias("id"), F.col("place").alias("place"))
+    firsts = _smallest(rows.read().groupBy("fp").agg(F.min(key).alias("first")), "first", "kept", distance)
+    chosen = firsts.select("kept").distinct().select(F.col("kept.place").alias("place"))
+    return rows.read().join(chosen, "place", "left_semi").select("row.*")
