@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gistworks.llm.common import labelled_sample, prepare
+from gistworks.llm.common import Stored, labelled_sample, prepare
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 12_000
@@ -45,7 +45,8 @@ IDENTITIES = (
     ("disabled", "blind", "deaf", "elderly", "old", "young"),
 )
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
-_CACHE = 1 << 19
+#: Words whose slots or weights a task keeps at most before it starts anew.
+CACHE = 1 << 17
 
 
 def words_of(text: str | None) -> set[bytes]:
@@ -72,33 +73,65 @@ def counterfactuals(text: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def _counted(words: set[bytes]) -> dict[int, float]:
-    found: dict[int, float] = {}
-    for w in words:
-        for s in slots(w):
-            found[s] = found.get(s, 0.0) + 1.0
-    return found
+_ROW = "label int, slots array<int>, counts array<float>"
 
 
-def _difference(pair: tuple[str, str]) -> dict[int, float]:
-    a, b = (_counted(words_of(x)) for x in pair)
-    return {s: a.get(s, 0.0) - b.get(s, 0.0) for s in a.keys() | b.keys() if a.get(s, 0.0) != b.get(s, 0.0)}
+class Slots:
+    """A task's words and their slots, kept up to CACHE words; with ``chosen``, only slots among those."""
+
+    def __init__(self, chosen: np.ndarray | None = None):
+        self.known: dict[bytes, list[int]] = {}
+        self.chosen = None if chosen is None else set(chosen.tolist())
+
+    def counted(self, words: set[bytes]) -> dict[int, float]:
+        found: dict[int, float] = {}
+        for w in words:
+            own = self.known.get(w)
+            if own is None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                own = slots(w)
+                if self.chosen is not None:
+                    own = [s for s in own if s in self.chosen]
+                self.known[w] = own
+            for s in own:
+                found[s] = found.get(s, 0.0) + 1.0
+        return found
+
+    def difference(self, pair: tuple[str, str]) -> dict[int, float]:
+        a, b = (self.counted(words_of(x)) for x in pair)
+        return {s: a.get(s, 0.0) - b.get(s, 0.0) for s in a.keys() | b.keys() if a.get(s, 0.0) != b.get(s, 0.0)}
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that have each slot, and those of label 1 among them, in this task."""
+    table, have = Slots(), np.zeros((2, _SLOTS), np.int32)
+    for batch in batches:
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            found = np.fromiter(table.counted(words_of(text)), np.int64)
+            have[int(label > 0), found] += 1
+    some = np.flatnonzero(have.any(axis=0))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int32()), pa.array(have[:, some].sum(axis=0), pa.int64()), pa.array(have[1, some], pa.int64())], ["slot", "have", "ones"]
+    )
 
 
-_ROW = "label int, slots array<int>, counts array<float>"
+def _featurise(shipped):
+    """A row for each text, and one with a null label for each counterfactual difference; chosen slots only."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Slots(shipped.value)
+        for batch in batches:
+            out = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                out.append((label, table.counted(words_of(text))))
+                out += [(None, table.difference(p)) for p in counterfactuals(text)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in out], pa.int32()), pa.array([list(f) for _, f in out], pa.list_(pa.int32())), pa.array([list(f.values()) for _, f in out], pa.list_(pa.float32()))],
+                ["label", "slots", "counts"],
+            )
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and one with a null label for each counterfactual difference."""
-    for batch in batches:
-        out = []
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            out.append((label, _counted(words_of(text))))
-            out += [(None, _difference(p)) for p in counterfactuals(text)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in out], pa.int32()), pa.array([list(f) for _, f in out], pa.list_(pa.int32())), pa.array([list(f.values()) for _, f in out], pa.list_(pa.float32()))],
-            ["label", "slots", "counts"],
-        )
+    return run
 
 
 class Sparse:
@@ -108,18 +141,17 @@ class Sparse:
         self.rows, self.cols, self.values, self.shape = rows, cols, values, shape
 
     @classmethod
-    def of(cls, cols: list, values: list, width: int) -> Sparse:
-        sizes = np.array([len(c) for c in cols], np.int64)
-        flat = np.concatenate(cols).astype(np.int64) if len(cols) else np.zeros(0, np.int64)
-        held = np.concatenate(values).astype(float) if len(values) else np.zeros(0)
-        return cls(np.repeat(np.arange(len(sizes)), sizes), flat, held, (len(sizes), width))
-
-    def only(self, chosen: np.ndarray) -> Sparse:
-        place = np.full(self.shape[1], -1, np.int64)
-        place[chosen] = np.arange(len(chosen))
-        cols = place[self.cols]
-        keep = cols >= 0
-        return Sparse(self.rows[keep], cols[keep], self.values[keep], (self.shape[0], len(chosen)))
+    def of(cls, slots: pa.ChunkedArray, values: pa.ChunkedArray, chosen: np.ndarray) -> Sparse:
+        slots = slots.combine_chunks()
+        sizes = slots.value_lengths().to_numpy()
+        cols = np.searchsorted(chosen, slots.flatten().to_numpy())
+        return cls(np.repeat(np.arange(len(sizes)), sizes), cols, values.combine_chunks().flatten().to_numpy().astype(float), (len(sizes), len(chosen)))
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        place = np.full(self.shape[0], -1, np.int64)
+        place[rows] = np.arange(len(rows))
+        at = place[self.rows]
+        return Sparse(at[at >= 0], self.cols[at >= 0], self.values[at >= 0], (len(rows), self.shape[1]))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, self.values * w[self.cols], self.shape[0])
@@ -138,17 +170,18 @@ class Classifier:
         return dict(zip(self.slots.tolist(), self.weights.tolist()))
 
 
-def choose(x: Sparse, y: np.ndarray, most: int = CHOSEN) -> np.ndarray:
+def choose(sample: DataFrame, most: int = CHOSEN) -> np.ndarray:
     """The slots whose presence speaks most for label 1, by the chi-square of presence; rare ones are left out."""
-    n, ones = len(y), y.sum()
-    least = max(5, n / 1500)
-    have = np.bincount(x.cols, minlength=x.shape[1]).astype(float)
-    with_one = np.bincount(x.cols, y[x.rows], x.shape[1])
-    expected = have * ones / n
-    spread = expected * (1 - ones / n) * (1 - have / n) + 1e-9
-    score = np.where((have >= least) & (with_one > expected), (with_one - expected) ** 2 / spread, 0)
-    chosen = np.argsort(-score, kind="stable")[:most]
-    return np.sort(chosen[score[chosen] > 25])
+    n, ones = sample.agg(F.count("*"), F.sum((F.col("label") > 0).cast("long"))).first()
+    if not n or not ones or ones == n:
+        return np.zeros(0, np.int64)
+    found = sample.mapInArrow(_presence, "slot int, have long, ones long").groupBy("slot").agg(F.sum("have").alias("have"), F.sum("ones").alias("ones"))
+    expected = F.col("have") * (ones / n)
+    spread = expected * (1 - ones / n) * (1 - F.col("have") / n) + 1e-9
+    found = found.where((F.col("have") >= max(5, n / 1500)) & (F.col("ones") > expected))
+    found = found.withColumn("score", (F.col("ones") - expected) ** 2 / spread).where("score > 25")
+    best = found.orderBy(F.desc("score"), "slot").limit(most).select("slot").toPandas()
+    return np.sort(best["slot"].to_numpy(np.int64))
 
 
 def fit_weights(x: Sparse, y: np.ndarray, pairs: Sparse, ridge: float = 0.05, fairness: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, float]:
@@ -188,19 +221,15 @@ def fit_weights(x: Sparse, y: np.ndarray, pairs: Sparse, ridge: float = 0.05, fa
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", fairness: float = 1.0) -> Classifier:
     """The classifier, from at most ``sample`` labelled rows."""
     prepare(docs.sparkSession)
-    rows = labelled_sample(docs, labels, label, sample, id_col, text_col).mapInArrow(_featurise, _ROW).toArrow()
-    marks = np.array([-1 if v is None else v for v in rows.column("label").to_pylist()], np.int64)
-    cols = [c.values.to_numpy() for c in rows.column("slots").combine_chunks()] if len(marks) else []
-    held = [c.values.to_numpy() for c in rows.column("counts").combine_chunks()] if len(marks) else []
-    at = np.flatnonzero(marks >= 0)
-    y = (marks[at] > 0).astype(float)
-    if not len(y) or y.min() == y.max():
-        return Classifier(np.zeros(0, np.int64), np.zeros(0), -np.inf)
-    x = Sparse.of([cols[k] for k in at], [held[k] for k in at], _SLOTS)
-    pairs = np.flatnonzero(marks < 0)
-    swapped = Sparse.of([cols[k] for k in pairs], [held[k] for k in pairs], _SLOTS)
-    chosen = choose(x, y)
-    weights, bias = fit_weights(x.only(chosen), y, swapped.only(chosen), fairness=fairness)
+    rows = Stored(labelled_sample(docs, labels, label, sample, id_col, text_col), "toxic-sample")
+    chosen = choose(rows.read())
+    if not len(chosen):
+        return Classifier(chosen, np.zeros(0), -np.inf)
+    made = rows.read().mapInArrow(_featurise(docs.sparkSession.sparkContext.broadcast(chosen)), _ROW).toArrow()
+    marks = np.array([-1 if v is None else v for v in made.column("label").to_pylist()], np.int64)
+    x = Sparse.of(made.column("slots"), made.column("counts"), chosen)
+    at, pairs = np.flatnonzero(marks >= 0), np.flatnonzero(marks < 0)
+    weights, bias = fit_weights(x.take(at), (marks[at] > 0).astype(float), x.take(pairs), fairness=fairness)
     return Classifier(chosen, weights, bias)
 
 
@@ -222,7 +251,7 @@ def with_score(docs: DataFrame, model: Classifier, out_col: str = "score", text_
             for word in words_of(text):
                 add = adds.get(word)
                 if add is None:
-                    if len(adds) > _CACHE:
+                    if len(adds) > CACHE:
                         adds.clear()
                     add = adds[word] = sum(by_slot.get(s, 0.0) for s in slots(word))
                 total += add
