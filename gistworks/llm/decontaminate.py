@@ -38,7 +38,7 @@ from gistworks.llm.common import binary, pack, pick, prepare, unpack
 WINDOW, STRIDE = 24, 12
 SLOTS = 1 << 20
 #: Terms that more than this share of the passages hold weigh nothing.
-COMMON = 0.01
+COMMON = 0.005
 RANK, EXTRA = 256, 16
 #: Weight of the benchmark's passages in the decomposition, in corpora.
 ITEM_WEIGHT = 8.0
@@ -183,6 +183,21 @@ def _test_matrix(terms: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((terms, RANK + EXTRA), dtype=np.float32)
 
 
+def _group_sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``edges``: the k-th rows of all runs are added at once."""
+    sizes = np.diff(np.append(edges, len(values)))
+    out = values[edges].copy()
+    left = np.arange(len(edges))
+    for k in range(1, int(sizes.max(initial=0))):
+        left = left[sizes[left] > k]
+        if len(left) < 8:
+            for run in left.tolist():
+                out[run] += values[edges[run] + k : edges[run] + sizes[run]].sum(axis=0)
+            break
+        out[left] += values[edges[left] + k]
+    return out
+
+
 def _passage_weights(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
     sums = np.concatenate(([0.0], np.cumsum(value, dtype=np.float64)))
     return sums[end] - sums[start]
@@ -211,11 +226,11 @@ def _sketch(shipped):
                 term, value = place[slots[at]], weight[at] / size[row].astype(np.float32)
                 norm += float((value * value).sum())
                 edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                seen = np.add.reduceat(test[term] * value[:, None], edges, axis=0)
+                seen = _group_sums(test[term] * value[:, None], edges)
                 dense = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(row))))
                 order = np.argsort(term, kind="stable")
                 cuts = np.flatnonzero(np.concatenate(([True], np.diff(term[order]) != 0)))
-                out[term[order][cuts]] += np.add.reduceat(seen[dense[order]] * value[order, None], cuts, axis=0)
+                out[term[order][cuts]] += _group_sums(seen[dense[order]] * value[order, None], cuts)
         parts = [p.tobytes() for p in np.array_split(out, _DEAL)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(_DEAL), pa.int32()), pa.array(parts, pa.binary()), pa.array([norm] + [0.0] * (_DEAL - 1))], ["part", "body", "norm"]
@@ -303,7 +318,10 @@ class Searcher:
             seen = np.zeros((len(part), self.space.shape[1]), np.float32)
             if len(flat):
                 edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                seen[owner[edges]] = np.add.reduceat(self.space[self.place[slots[flat]]] * weight[flat, None], edges, axis=0)
+                seen[owner[edges]] = _group_sums(self.space[self.place[slots[flat]]] * weight[flat, None], edges)
+            # A cosine cannot exceed what the latent space holds of the window.
+            near = np.flatnonzero((seen * seen).sum(axis=1) >= COSINE**2 * size[part])
+            part, seen = part[near], seen[near]
             cosine = seen @ self.latent.T / np.sqrt(size[part])[:, None]
             for k, passage in np.argwhere(cosine >= COSINE):
                 yield int(rows[part[k]]), int(start[part[k]]), int(end[part[k]]), int(self.items.owner[passage])
