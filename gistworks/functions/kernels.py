@@ -3,40 +3,30 @@
 from __future__ import annotations
 
 from collections import Counter
-
-
-_LONG = 1024
+from math import isqrt
 
 
 def _positions(tokens: list[str], wanted: set[str]) -> dict[str, int]:
-    """For each wanted token a bit mask of the places it occurs at."""
-    if len(tokens) > _LONG:
-        return _positions_of_long(tokens, wanted)
-    masks: dict[str, int] = {}
-    bit = 1
-    for token in tokens:
-        if token in wanted:
-            masks[token] = masks.get(token, 0) | bit
-        bit <<= 1
-    return masks
+    """For each wanted token a bit mask of the places it occurs at.
 
-
-def _positions_of_long(tokens: list[str], wanted: set[str]) -> dict[str, int]:
-    """The same in time linear in the length: setting one bit of a long integer copies it."""
-    masks: dict[str, bytearray] = {}
-    width = len(tokens) // 8 + 1
+    Masks are built in bytes, as setting one bit of a long integer copies it.
+    """
+    places: dict[str, list[int]] = {}
     for i, token in enumerate(tokens):
         if token in wanted:
-            packed = masks.get(token)
-            if packed is None:
-                packed = masks[token] = bytearray(width)
+            places.setdefault(token, []).append(i)
+    masks = {}
+    for token, found in places.items():
+        packed = bytearray(found[-1] // 8 + 1)
+        for i in found:
             packed[i >> 3] |= 1 << (i & 7)
-    return {token: int.from_bytes(packed, "little") for token, packed in masks.items()}
+        masks[token] = int.from_bytes(packed, "little")
+    return masks
 
 
-def _lcs_rows(outer: list[str], masks: dict[str, int], full: int):
+def _lcs_rows(outer: list[str], masks: dict[str, int], full: int, row: int | None = None):
     """Bit-parallel LCS: after each outer token, the row in which a cleared bit is a step up."""
-    row = full
+    row = full if row is None else row
     for token in outer:
         if token in masks:
             match = row & masks[token]
@@ -62,19 +52,31 @@ def lcs_reference_places(reference: list[str], masks: dict[str, int], prediction
 
     Walking back from the end, a step that could drop either side drops the
     reference's token, unless only dropping the prediction's keeps the length.
+    One row in every root of the length is kept; those between are made again
+    when the walk comes to them, so memory grows with the power 1.5.
     """
     full = (1 << len(prediction)) - 1
-    rows = [full, *_lcs_rows(reference, masks, full)]
+    step = isqrt(len(reference)) + 1
+    kept = [full]
+    for i, row in enumerate(_lcs_rows(reference, masks, full), 1):
+        if i % step == 0:
+            kept.append(row)
     places: set[int] = set()
     i, j = len(reference), len(prediction)
+    at, rows = i + 1, []
     while i and j:
+        if i - 1 < at:
+            at = (i - 1) // step * step
+            first = kept[at // step]
+            rows = [first, *_lcs_rows(reference[at:i], masks, full, first)]
         if reference[i - 1] == prediction[j - 1]:
             i, j = i - 1, j - 1
             places.add(i)
             continue
         low = (1 << j) - 1
-        flat_here = rows[i] >> (j - 1) & 1
-        if flat_here and (rows[i - 1] & low).bit_count() > (rows[i] & low).bit_count():
+        here, before = rows[i - at], rows[i - at - 1]
+        flat_here = here >> (j - 1) & 1
+        if flat_here and (before & low).bit_count() > (here & low).bit_count():
             j -= 1
         else:
             i -= 1

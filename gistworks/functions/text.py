@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from gistworks.functions.tokenizer import RUNS, Tokenizer
+
 # The instruction put before a text, with and without its marker.
 INSTRUCTION = "You are an expert at summarization. Proceed to summarize the following text. "
 TEXT_MARKER = "TEXT: "
@@ -17,20 +19,16 @@ TOKENS_PER_MESSAGE = 4
 TOKENS_PER_PROMPT = 3
 CHAT_BUDGET = CONTEXT_TOKENS - NEW_TOKENS - TOKENS_PER_MESSAGE - TOKENS_PER_PROMPT - 1
 
-TOKEN_PATTERN = "[a-z0-9]+"
 _WHITESPACE = " \t\n\r\x0b\x0c"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased maximal runs of ``[a-z0-9]``.
-
-    Accented letters end a run, so "élève" gives "l", "ve".
-    """
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+    """Tokens by the default rule."""
+    return RUNS.tokens(text)
 
 
-def token_count(text: Column) -> Column:
-    return F.size(tokens(text)).cast("long")
+def token_count(text: Column, tokenizer: Tokenizer = RUNS) -> Column:
+    return tokenizer.count(text)
 
 
 def bigrams(toks: Column) -> Column:
@@ -50,21 +48,26 @@ def prompt_prefix(text: Column) -> Column:
     return F.concat(F.lit(INSTRUCTION + TEXT_MARKER), text)
 
 
-def truncate_words(text: Column, budget: int) -> Column:
-    """The first ``budget`` blank-separated words; shorter texts are unchanged."""
-    return F.substring_index(text, " ", budget)
+def truncate_tokens(text: Column, budget: int, tokenizer: Tokenizer = RUNS) -> Column:
+    """The text up to the end of its ``budget``-th token; shorter texts are unchanged."""
+    return tokenizer.cut(text, budget)
 
 
-def chat_messages(text: Column, budget: int = CHAT_BUDGET) -> Column:
-    """One system message holding the instruction and the text, cut to ``budget``."""
-    content = truncate_words(F.concat(F.lit(INSTRUCTION), text), budget)
+def chat_messages(text: Column, budget: int = CHAT_BUDGET, tokenizer: Tokenizer = RUNS) -> Column:
+    """One system message holding the instruction and the text, cut to ``budget`` tokens."""
+    content = truncate_tokens(F.concat(F.lit(INSTRUCTION), text), budget, tokenizer)
     return F.array(F.struct(F.lit("system").alias("role"), content.alias("content")))
 
 
 def reserve_suffix(ids: Column, suffix: Column) -> Column:
-    """Overwrite the last slots of ``ids`` with ``suffix``; the length stays."""
-    keep = F.greatest(F.size(ids) - F.size(suffix), F.lit(0))
-    return F.concat(F.slice(ids, F.lit(1), keep), suffix)
+    """Overwrite the last slots of ``ids`` with ``suffix``; the length stays.
+
+    Of a suffix longer than ``ids`` only the last slots fit.
+    """
+    size = F.size(ids)
+    fitting = F.least(F.size(suffix), size)
+    tail = F.slice(suffix, F.size(suffix) - fitting + 1, fitting)
+    return F.concat(F.slice(ids, F.lit(1), size - fitting), tail)
 
 
 def extract_answer(output: Column, marker: str = ANSWER_MARKER) -> Column:

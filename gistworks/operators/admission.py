@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gistworks.functions.text import tokens
+from gistworks.functions.tokenizer import RUNS, Tokenizer
 
 REASONS = ("null", "empty", "too_short_ratio", "too_long_ratio", "verbatim", "below_min")
 
@@ -53,12 +53,13 @@ def admission_audit(df: DataFrame, min_input_size: int = 0) -> DataFrame:
     )
 
 
-def fits_context(df: DataFrame, context: int, shots: int | bool | None = False) -> DataFrame:
+def fits_context(df: DataFrame, context: int, shots: int | bool | None = False, tokenizer: Tokenizer = RUNS, text: Column | None = None) -> DataFrame:
     """Rows whose text and summary together stay strictly below ``context / shots`` tokens.
 
-    Without a number of shots nothing is filtered.
+    Without a number of shots nothing is filtered. ``text`` is what is counted
+    in place of the text column, such as its prompt.
     """
     if not shots:
         return df
-    joined = F.concat("text", "summary")
-    return df.where(F.size(tokens(joined)) < int(context / shots))
+    joined = F.concat(F.col("text") if text is None else text, "summary")
+    return df.where(tokenizer.count(joined) < int(context / shots))

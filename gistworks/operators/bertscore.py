@@ -52,12 +52,13 @@ def _blocks(vectors: DataFrame, side: int, size: int) -> DataFrame:
     )
 
 
-def bertscore_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(pair_id, precision, recall, f) by greedy matching, pairs with both sides only.
+def bertscore_pairs(vectors: DataFrame, block: int = BLOCK, pairs: DataFrame | None = None) -> DataFrame:
+    """(pair_id, precision, recall, f) by greedy matching; a side without tokens scores 0.
 
     Blocks are joined, not tokens: an ordinary pair is one row with two small
     matrices. A pair of very long texts becomes many block rows, which skew
-    handling can spread; each returns one maximum per token.
+    handling can split; each returns one maximum per token. ``pairs`` lists
+    pair_ids that must appear even if no side has a token.
     """
     joined = _blocks(vectors, PREDICTION, block).join(_blocks(vectors, REFERENCE, block), "pair_id")
     best = joined.select(
@@ -77,8 +78,12 @@ def bertscore_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         F.avg(F.when(F.col("side") == PREDICTION, F.col("cosine"))).alias("precision"),
         F.avg(F.when(F.col("side") == REFERENCE, F.col("cosine"))).alias("recall"),
     )
+    known = vectors.select("pair_id").distinct()
+    if pairs is not None:
+        known = known.unionByName(pairs.select("pair_id")).distinct()
+    scored = known.join(means, "pair_id", "left").fillna(0.0, ["precision", "recall"])
     p, r = F.col("precision"), F.col("recall")
-    return means.withColumn("f", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
+    return scored.withColumn("f", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
 
 
 def bertscore_corpus(scores: DataFrame, run: str = "run_id") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from gistworks.session import materialize
+from gistworks.operators.joins import keys_of
+from gistworks.session import scratch_path
 
 # A factory is called once per task and returns the function that turns a
 # batch of texts into as many outputs; the model is loaded in between.
@@ -46,10 +47,16 @@ def generate_batched(
     df: DataFrame,
     predictor: PredictorFactory,
     text: str = "text",
-    keys: tuple[str, ...] = ("id",),
+    keys: Sequence[str] | None = None,
     batch_size: int = 32,
+    returns: str = "string",
 ) -> DataFrame:
-    """keys and prediction; an error of the predictor fails the job."""
+    """keys and prediction; an error of the predictor fails the job.
+
+    The column may hold texts or token ids: whatever a row has goes to the
+    predictor, whose outputs have the type ``returns``.
+    """
+    keys = tuple(keys_of(df, keys=keys))
 
     def run(frames):
         predict = predictor()
@@ -59,7 +66,7 @@ def generate_batched(
                 yield chunk[list(keys)].assign(prediction=outputs)
 
     rows = df.select(*keys, F.col(text).alias("source"))
-    return rows.mapInPandas(run, f"{_key_schema(df, keys)}, prediction string")
+    return rows.mapInPandas(run, f"{_key_schema(df, keys)}, prediction {returns}")
 
 
 def generate_attempts(
@@ -67,7 +74,7 @@ def generate_attempts(
     predictor: PredictorFactory,
     attempt: int,
     text: str = "text",
-    keys: tuple[str, ...] = ("id",),
+    keys: Sequence[str] | None = None,
     batch_size: int = 32,
 ) -> DataFrame:
     """keys, attempt, ok, output, error: a failing row is recorded, not fatal.
@@ -75,6 +82,7 @@ def generate_attempts(
     A batch that fails is tried again row by row, so that only the rows at
     fault are marked.
     """
+    keys = tuple(keys_of(df, keys=keys))
 
     def single(predict: Predict, source: str) -> tuple[bool, str | None, str | None]:
         try:
@@ -98,46 +106,66 @@ def generate_attempts(
     return rows.mapInPandas(run, f"{_key_schema(df, keys)}, {ATTEMPT_COLUMNS}")
 
 
-def failed_subset(df: DataFrame, attempts: DataFrame, attempt: int = 1, id: str = "id") -> DataFrame:
-    """Rows whose given attempt failed. Ids are made distinct before they move."""
-    failed = attempts.where(~F.col("ok") & (F.col("attempt") == attempt)).select(id).distinct()
-    return df.join(failed, id, "left_semi")
+def failed_subset(df: DataFrame, attempts: DataFrame, attempt: int = 1, keys: Sequence[str] | None = None) -> DataFrame:
+    """Rows whose given attempt failed. Keys are made distinct before they move."""
+    keys = keys_of(df, attempts, keys=keys)
+    failed = attempts.where(~F.col("ok") & (F.col("attempt") == attempt)).select(*keys).distinct()
+    return df.join(failed, keys, "left_semi")
 
 
-def pending_subset(df: DataFrame, attempts: DataFrame, id: str = "id") -> DataFrame:
+def pending_subset(df: DataFrame, attempts: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Rows that no attempt has answered yet."""
-    done = attempts.where("ok").select(id).distinct()
-    return df.join(done, id, "left_anti")
+    keys = keys_of(df, attempts, keys=keys)
+    done = attempts.where("ok").select(*keys).distinct()
+    return df.join(done, keys, "left_anti")
 
 
-def retry_merge(ids: DataFrame, attempts: DataFrame, id: str = "id") -> DataFrame:
-    """One row per id: a successful attempt before a failed one, the latest first.
+def retry_merge(rows: DataFrame, attempts: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """One row per key: a successful attempt before a failed one, the latest first.
 
-    Ids that were never tried stay with empty columns.
+    Keys that were never tried stay with empty columns.
     """
-    best = attempts.groupBy(id).agg(
+    keys = keys_of(rows, attempts, keys=keys)
+    best = attempts.groupBy(*keys).agg(
         F.max_by(F.struct("attempt", "ok", "output"), F.struct("ok", "attempt")).alias("best")
     )
-    return ids.select(id).join(best, id, "left").select(id, "best.*")
+    return rows.select(*keys).join(best, keys, "left").select(*keys, "best.*")
+
+
+def read_attempts(spark: SparkSession, log_path: str, schema: T.StructType) -> DataFrame | None:
+    """The attempts of an earlier run, if there are any at the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(log_path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(schema).parquet(log_path)
 
 
 def generate_resumable(
     df: DataFrame,
     predictors: list[PredictorFactory],
     text: str = "text",
-    id: str = "id",
+    keys: Sequence[str] | None = None,
     batch_size: int = 32,
+    log_path: str | None = None,
 ) -> DataFrame:
     """Run the predictors in turn, each over the rows still without output.
 
-    Every pass is stored before the next starts: no answer is computed twice,
-    and a lost executor costs at most its own share of the current pass.
+    Every pass is appended to the log at ``log_path`` (a new scratch table if
+    none is given) before the next starts: no answer is computed twice, and a
+    lost executor costs at most its own share of the current pass. An earlier
+    log at the path is read first, so that a job started again asks only what
+    is still open, and its passes count on from the attempts made.
     """
-    log = None
-    for attempt, predictor in enumerate(predictors, start=1):
-        todo = df if log is None else pending_subset(df, log, id)
-        done = materialize(generate_attempts(todo, predictor, attempt, text, (id,), batch_size), "attempt")
-        log = done if log is None else log.unionByName(done)
-    if log is None:
+    if not predictors:
         raise ValueError("no predictor given")
-    return retry_merge(df, log, id)
+    spark = df.sparkSession
+    keys = keys_of(df, keys=keys)
+    path = log_path or scratch_path(spark, "attempts")
+    schema = T.StructType([*(df.schema[k] for k in keys), *T.StructType.fromDDL(ATTEMPT_COLUMNS).fields])
+    log = read_attempts(spark, path, schema)
+    made = (log.agg(F.max("attempt")).first()[0] or 0) if log is not None else 0
+    for attempt, predictor in enumerate(predictors, start=made + 1):
+        todo = df if log is None else pending_subset(df, log, keys)
+        generate_attempts(todo, predictor, attempt, text, tuple(keys), batch_size).write.mode("append").parquet(path)
+        log = spark.read.schema(schema).parquet(path)
+    return retry_merge(df, log, keys)

@@ -1,21 +1,25 @@
 """Metrics by name, and the report over several of them.
 
-A metric is a function from its input rows to (run_id, variant, value) per
-pair. ROUGE reads (run_id, id, prediction, reference); BERTScore reads token
-vectors with a run_id column.
+A metric is a function from pairs (run_id, dataset and id or other keys,
+prediction, reference) to (run_id, variant, value) per pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gistworks.operators.bertscore import bertscore_pairs
+from gistworks.operators.bertscore import PREDICTION, REFERENCE, bertscore_pairs
+from gistworks.operators.joins import keys_of
 from gistworks.operators.rouge import VARIANTS, rouge_scores
 
 Metric = Callable[[DataFrame], DataFrame]
+#: Called once per task; turns a batch of texts into one (tokens x dimensions) array each.
+EncoderFactory = Callable[[], Callable[[list[str]], list[np.ndarray]]]
 
 
 def _to_rows(scores: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -26,19 +30,49 @@ def _to_rows(scores: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def rouge_metric(variants: Sequence[str] = VARIANTS, use_stemmer: bool = True) -> Metric:
     def score(pairs: DataFrame) -> DataFrame:
-        scores = rouge_scores(pairs, ("run_id", "id"), variants, use_stemmer)
+        scores = rouge_scores(pairs, ("run_id", *keys_of(pairs)), variants, use_stemmer)
         return _to_rows(scores, {v: f"{v}_f" for v in variants})
 
     return score
 
 
 def bertscore_metric(vectors: DataFrame) -> DataFrame:
+    """BERTScore over stored vectors: token rows with a run_id."""
     # A pair of another run is another pair.
     keyed = vectors.withColumn("pair_id", F.struct("run_id", "pair_id"))
     scores = bertscore_pairs(keyed).withColumn("run_id", F.col("pair_id.run_id"))
     return _to_rows(scores, {c: c for c in ("precision", "recall", "f")})
 
 
+def encoded_bertscore(encoder: EncoderFactory, batch_size: int = 32) -> Metric:
+    """BERTScore over texts: the encoder gives the vectors, a token a row."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder()
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                for side, column in ((PREDICTION, "prediction"), (REFERENCE, "reference")):
+                    arrays = encode([t or "" for t in part.column(column).to_pylist()])
+                    sizes = np.array([len(a) for a in arrays])
+                    rows = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                    places = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else sizes
+                    flat = [v for a in arrays for v in np.asarray(a, np.float32)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("pair_id").take(rows), pa.array(np.full(len(rows), side), pa.int32()), pa.array(places, pa.int64()), pa.array(flat, pa.list_(pa.float32()))],
+                        ["pair_id", "side", "pos", "v"],
+                    )
+
+    def score(pairs: DataFrame) -> DataFrame:
+        rows = pairs.select(F.struct("run_id", *keys_of(pairs)).alias("pair_id"), "prediction", "reference")
+        kind = rows.schema["pair_id"].dataType.simpleString()
+        made = rows.mapInArrow(vectors, f"pair_id {kind}, side int, pos long, v array<float>")
+        scores = bertscore_pairs(made, pairs=rows).withColumn("run_id", F.col("pair_id.run_id"))
+        return _to_rows(scores, {c: c for c in ("precision", "recall", "f")})
+
+    return score
+
+
 REGISTRY: dict[str, Metric] = {"rouge": rouge_metric(), "bertscore": bertscore_metric}
 
 
@@ -71,14 +105,14 @@ def python_metric(fn: Callable[[list[str], list[str]], list[float]], variant: st
     return score
 
 
-def multi_metric_report(metrics: dict[str, Metric], inputs: dict[str, DataFrame]) -> DataFrame:
+def multi_metric_report(metrics: dict[str, Metric], inputs: DataFrame | dict[str, DataFrame]) -> DataFrame:
     """(run_id, metric, variant, value): the mean of every metric over each run.
 
-    ``inputs`` gives the rows each metric reads.
+    ``inputs`` are the pairs that all metrics read, or the rows each one reads.
     """
     report = None
     for name, metric in metrics.items():
-        means = metric(inputs[name]).groupBy("run_id", "variant").agg(F.avg("value").alias("value"))
+        means = metric(inputs[name] if isinstance(inputs, dict) else inputs).groupBy("run_id", "variant").agg(F.avg("value").alias("value"))
         part = means.select("run_id", F.lit(name).alias("metric"), "variant", "value")
         report = part if report is None else report.unionByName(part)
     if report is None:

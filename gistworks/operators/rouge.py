@@ -2,12 +2,14 @@
 
 Rows are keyed; ``keys`` must identify a pair. N-gram overlap needs one
 shuffle, of whole rows by key before the explode: the two aggregations that
-follow find their groups in place. Subsequence measures work row by row.
+follow find their groups in place. Stems and subsequences are measured row by
+row in one Arrow pass, which then counts the n-grams too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -15,16 +17,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gistworks.functions.kernels import lcs_length, summary_lcs_hits
 from gistworks.functions.porter import stem_token
-from gistworks.functions.text import TOKEN_PATTERN, bigrams, tokens
+from gistworks.functions.text import bigrams, tokens
+from gistworks.functions.tokenizer import TOKEN_PATTERN
+from gistworks.operators.joins import keys_of
 
 VARIANTS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 _NGRAM = {"rouge1", "rouge2"}
 
 
-def _measure(stem: bool, longest: bool, summary: bool):
-    """One Arrow pass for all that needs sequences: stems, LCS, summary LCS."""
+def _clipped(prediction: list[str], reference: list[str], n: int) -> int:
+    """N-grams in common, each counted as often as in the side with fewer."""
+    grams = [Counter(zip(*(side[k:] for k in range(n)))) for side in (prediction, reference)]
+    return (grams[0] & grams[1]).total()
+
+
+def _measure(stem: bool, variants: Sequence[str]):
+    """One Arrow pass for all measures of a pair that needs stems or sequences."""
 
     token = re.compile(TOKEN_PATTERN)
+    of_sides = {
+        "rouge1": lambda p, r: _clipped(p, r, 1),
+        "rouge2": lambda p, r: _clipped(p, r, 2),
+        "rougeL": lcs_length,
+    }
 
     def lines(text: str) -> list[list[str]]:
         split = [token.findall(line) for line in text.split("\n")]
@@ -38,22 +53,14 @@ def _measure(stem: bool, longest: bool, summary: bool):
     def one(prediction: str | None, reference: str | None) -> tuple:
         p, r = lines(prediction or ""), lines(reference or "")
         fp, fr = flat(p), flat(r)
-        return (
-            " ".join(fp) if stem else None,
-            " ".join(fr) if stem else None,
-            len(fp),
-            len(fr),
-            lcs_length(fp, fr) if longest else 0,
-            summary_lcs_hits(r, p) if summary else 0,
-        )
-
-    @F.pandas_udf(
-        "prediction string, reference string, pred_tokens long, ref_tokens long, rougeL long, rougeLsum long"
-    )
+        hits = [summary_lcs_hits(r, p) if v == "rougeLsum" else of_sides[v](fp, fr) for v in variants]
+        return len(fp), len(fr), *hits
+
+    names = ["pred_tokens", "ref_tokens", *variants]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
     def measure(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
-        rows = [one(p, r) for p, r in zip(prediction, reference)]
-        names = ["prediction", "reference", "pred_tokens", "ref_tokens", "rougeL", "rougeLsum"]
-        return pd.DataFrame(rows, columns=names)
+        return pd.DataFrame([one(p, r) for p, r in zip(prediction, reference)], columns=names)
 
     return measure
 
@@ -68,50 +75,29 @@ def rouge_counts(
     unknown = set(variants) - set(VARIANTS)
     if unknown:
         raise ValueError(f"unknown variants {sorted(unknown)}")
-    grams = [v for v in variants if v in _NGRAM]
-    sequences = [v for v in variants if v not in _NGRAM]
-    rows = pairs.select(*keys, "prediction", "reference")
-    if use_stemmer or sequences:
-        rows = _measured(rows, keys, variants, use_stemmer)
-    if not grams:
-        return rows.select(*keys, "pred_tokens", "ref_tokens", *sequences)
-
-    # Python evaluation does not report how its rows are partitioned, so the
-    # shuffle comes after it. Several keys travel as one column: a constant among
-    # them, such as the name of a single run, would otherwise be folded away
-    # from the shuffle but not from the grouping, which would then shuffle again.
+    if use_stemmer or set(variants) - _NGRAM:
+        # Texts pass through Python anyway, so nothing is shuffled after.
+        measure = _measure(use_stemmer, tuple(variants))
+        found = pairs.select(*keys, measure(F.lower("prediction"), F.lower("reference")).alias("m"))
+        return found.select(*keys, "m.*")
+
+    # Several keys travel as one column: a constant among them, such as the name
+    # of a single run, would otherwise be folded away from the shuffle but not
+    # from the grouping, which would then shuffle again.
     alone = len(keys) == 1
     key = F.col(keys[0]) if alone else F.struct(*keys)
-    rows = rows.select(key.alias("key"), *[c for c in rows.columns if c not in keys]).repartition("key")
-    split = _split_stems if use_stemmer else tokens
-    rows = rows.withColumns({n: F.coalesce(split(F.col(c)), F.array()) for n, c in _SIDES.items()})
-    if not (use_stemmer or sequences):
-        rows = rows.withColumns({f"{c}_tokens": F.size(n).cast("long") for n, c in (("p", "pred"), ("r", "ref"))})
-    carried = ["pred_tokens", "ref_tokens", *sequences]
-    counted = _count_grams(rows, grams, carried)
+    rows = pairs.select(key.alias("key"), "prediction", "reference").repartition("key")
+    rows = rows.withColumns({n: F.coalesce(tokens(F.col(c)), F.array()) for n, c in _SIDES.items()})
+    rows = rows.withColumns({f"{c}_tokens": F.size(n).cast("long") for n, c in (("p", "pred"), ("r", "ref"))})
+    carried = ["pred_tokens", "ref_tokens"]
+    counted = _count_grams(rows, list(variants), carried)
     back = [F.col("key" if alone else f"key.{k}").alias(k) for k in keys]
-    return counted.select(*back, *carried, *grams)
+    return counted.select(*back, *carried, *variants)
 
 
 _SIDES = {"p": "prediction", "r": "reference"}
 
 
-def _split_stems(text: Column) -> Column:
-    return F.when(text != "", F.split(text, " ")).otherwise(F.array())
-
-
-def _measured(rows: DataFrame, keys: Sequence[str], variants: Sequence[str], use_stemmer: bool) -> DataFrame:
-    """Adds token counts and sequence matches; with the stemmer, texts become stems."""
-    measure = _measure(use_stemmer, "rougeL" in variants, "rougeLsum" in variants)
-    found = measure(F.lower("prediction"), F.lower("reference"))
-    source = "m." if use_stemmer else ""
-    return rows.withColumn("m", found).select(
-        *keys,
-        *[F.col(source + side) for side in _SIDES.values()],
-        *[F.col(f"m.{c}") for c in ("pred_tokens", "ref_tokens", "rougeL", "rougeLsum")],
-    )
-
-
 def _count_grams(rows: DataFrame, grams: Sequence[str], carried: Sequence[str]) -> DataFrame:
     """Clipped n-gram matches per key; a pair without n-grams stays, with no match."""
 
@@ -174,7 +160,8 @@ def rouge_corpus(
     variants: Sequence[str] = VARIANTS,
     use_stemmer: bool = True,
     run: str = "run_id",
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """One F value per run and variant: the mean over the run's pairs."""
-    scores = rouge_scores(pairs, (run, "id"), variants, use_stemmer)
+    scores = rouge_scores(pairs, (run, *keys_of(pairs, keys=keys)), variants, use_stemmer)
     return scores.groupBy(run).agg(*[F.avg(f"{v}_f").alias(v) for v in variants])

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gistworks.functions.text import ANSWER_MARKER, prompt_prefix, reserve_suffix, tokens
-from gistworks.operators.joins import broadcast_checked
+from gistworks.functions.text import ANSWER_MARKER, prompt_prefix, reserve_suffix
+from gistworks.functions.tokenizer import RUNS, Tokenizer
+from gistworks.operators.joins import is_small, keys_of
 from gistworks.operators.selection import kth_smallest
 from gistworks.session import materialize
 
@@ -15,7 +21,9 @@ FIRST_FREE = 3
 IGNORE = -100
 
 
-def build_vocab(df: DataFrame, columns: tuple[str, ...] = ("text", "summary"), size: int = 32000) -> DataFrame:
+def build_vocab(
+    df: DataFrame, columns: tuple[str, ...] = ("text", "summary"), size: int = 32000, tokenizer: Tokenizer = RUNS
+) -> DataFrame:
     """(token, n, token_id): the most frequent tokens, ties in token order.
 
     The counts are stored once. The size-th largest count is then found
@@ -23,7 +31,7 @@ def build_vocab(df: DataFrame, columns: tuple[str, ...] = ("text", "summary"), s
     the last one) reach the final top-n; ids are numbered over at most ``size``
     rows. Returns a stored table.
     """
-    spelled = F.explode(F.concat(*[F.coalesce(tokens(F.col(c)), F.array()) for c in columns]))
+    spelled = F.explode(F.concat(*[F.coalesce(tokenizer.tokens(F.col(c)), F.array()) for c in columns]))
     counts = materialize(
         df.select(spelled.alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")), "counts"
     )
@@ -52,72 +60,116 @@ def attention_mask(ids: Column, max_len: int) -> Column:
 
 
 def lookup_ids(
-    df: DataFrame, sides: dict[str, str], vocab: DataFrame, max_len: int, keys: tuple[str, ...] = ("id",)
+    df: DataFrame, sides: dict[str, str], vocab: DataFrame, max_len: int, keys: Sequence[str] | None = None, tokenizer: Tokenizer = RUNS
 ) -> DataFrame:
-    """Token ids of several text columns, cut to ``max_len``, with one vocabulary join.
+    """keys and the token ids of several text columns, cut to ``max_len``.
+
+    A vocabulary of bounded bytes is shipped, and the ids are looked up row by
+    row in one Arrow pass without a shuffle; a larger one is joined.
+    """
+    keys = keys_of(df, keys=keys)
+    cut = {s: F.slice(F.coalesce(tokenizer.tokens(F.col(c)), F.array().cast("array<string>")), 1, max_len) for s, c in sides.items()}
+    entries = vocab.select("token", "token_id")
+    if is_small(entries):
+        find = _finder(df.sparkSession.sparkContext.broadcast(entries.toArrow()))
+        return df.select(*keys, *[find(c).alias(s) for s, c in cut.items()])
+    return _join_ids(df.select(*keys, *[c.alias(s) for s, c in cut.items()]), list(sides), entries, keys)
+
 
-    Texts are cut first, then shuffled whole by key, then exploded; the join
-    and the regrouping keep that partitioning, so tokens themselves never move.
-    A row's columns are exploded as one list and told apart by their lengths;
-    position and id travel as one number, which sorts by position.
+def _finder(shipped):
+    @F.arrow_udf("array<int>")
+    def find(tokens: pa.Array) -> pa.Array:
+        table = shipped.value
+        at = pc.index_in(tokens.flatten(), value_set=table.column("token").combine_chunks())
+        ids = pc.fill_null(pc.take(table.column("token_id").combine_chunks(), at), UNK)
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pa.ListArray.from_arrays(offsets, ids.cast(pa.int32()))
+
+    return find
+
+
+def _join_ids(rows: DataFrame, sides: list[str], entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same by a join, for a vocabulary of any size.
+
+    Rows are numbered and stored, so that equal keys stay apart; position and
+    id travel as one number, which sorts by position.
     """
-    cut = {s: F.array_join(F.slice(tokens(F.col(c)), 1, max_len), " ") for s, c in sides.items()}
-    rows = df.select(*keys, *[c.alias(s) for s, c in cut.items()]).repartition(*keys)
-    words = {s: F.when(F.col(s) != "", F.split(s, " ")).otherwise(F.array()) for s in sides}
     sizes = [f"n_{s}" for s in sides]
-    split = rows.select(*keys, *[w.alias(s) for s, w in words.items()])
-    listed = split.select(*keys, *[F.size(s).alias(n) for s, n in zip(sides, sizes)], F.concat(*sides).alias("words"))
-    exploded = listed.select(*keys, *sizes, F.posexplode_outer("words").alias("position", "token"))
-    found = exploded.join(broadcast_checked(vocab.select("token", "token_id")), "token", "left")
+    stored = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    listed = stored.select("_row", F.posexplode(F.concat(*sides)).alias("position", "token"))
+    found = listed.join(entries, "token", "left")
     entry = F.shiftleft(F.col("position").cast("long"), 32) + F.coalesce("token_id", F.lit(UNK))
-    grouped = found.groupBy(*keys, *sizes).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    ids = grouped.withColumn("ids", F.transform("entries", lambda e: (e % (1 << 32)).cast("int")))
+    grouped = found.groupBy("_row").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    back = stored.select("_row", *keys, *[F.size(s).alias(n) for s, n in zip(sides, sizes)]).join(grouped, "_row", "left")
+    ids = back.withColumn("ids", F.transform(F.coalesce("entries", F.array().cast("array<long>")), lambda e: (e % (1 << 32)).cast("int")))
     starts = [sum((F.col(n) for n in sizes[:i]), F.lit(1)) for i in range(len(sizes))]
     return ids.select(*keys, *[F.slice("ids", at, F.col(n)).alias(s) for s, n, at in zip(sides, sizes, starts)])
 
 
 def encode_fixed(
-    df: DataFrame, vocab: DataFrame, max_len: int, column: str = "text", add_eos: bool = False
+    df: DataFrame, vocab: DataFrame, max_len: int, column: str = "text", add_eos: bool = False,
+    keys: Sequence[str] | None = None, tokenizer: Tokenizer = RUNS,
 ) -> DataFrame:
-    """(id, input_ids, attention_mask), cut to ``max_len`` and padded on the right."""
-    found = lookup_ids(df, {"ids": column}, vocab, max_len)
+    """(keys, input_ids, attention_mask), cut to ``max_len`` and padded on the right."""
+    found = lookup_ids(df, {"ids": column}, vocab, max_len, keys, tokenizer)
     ids = _close(F.col("ids"), max_len, add_eos)
     return found.select(
-        "id", pad_ids(ids, max_len).alias("input_ids"), attention_mask(ids, max_len).alias("attention_mask")
+        *keys_of(df, keys=keys), pad_ids(ids, max_len).alias("input_ids"), attention_mask(ids, max_len).alias("attention_mask")
     )
 
 
 def encode_pairs(
-    df: DataFrame, vocab: DataFrame, max_len: int, add_eos: bool = False, ignore_padding: bool = False
+    df: DataFrame, vocab: DataFrame, max_len: int, add_eos: bool = False, ignore_padding: bool = False,
+    keys: Sequence[str] | None = None, tokenizer: Tokenizer = RUNS,
 ) -> DataFrame:
     """Encoded text and summary; labels have the same width as the inputs.
 
     ``ignore_padding`` marks the padding of labels as positions to ignore.
     """
-    found = lookup_ids(df, {"text_ids": "text", "label_ids": "summary"}, vocab, max_len)
+    found = lookup_ids(df, {"text_ids": "text", "label_ids": "summary"}, vocab, max_len, keys, tokenizer)
     ids, label_ids = (_close(F.col(c), max_len, add_eos) for c in ("text_ids", "label_ids"))
     labels = pad_ids(label_ids, max_len)
     if ignore_padding:
         labels = F.transform(labels, lambda x: F.when(x == PAD, F.lit(IGNORE)).otherwise(x))
     return found.select(
-        "id",
+        *keys_of(df, keys=keys),
         pad_ids(ids, max_len).alias("input_ids"),
         attention_mask(ids, max_len).alias("attention_mask"),
         labels.alias("labels"),
     )
 
 
-def decode_ids(df: DataFrame, vocab: DataFrame, column: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(keys, text): reserved ids skipped, tokens joined by single blanks.
+def decode_ids(df: DataFrame, vocab: DataFrame, column: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """(keys, text): reserved and unknown ids skipped, tokens joined by single blanks.
 
-    Rows that an encoder left partitioned by key are not shuffled again.
+    Like encoding, one Arrow pass if the vocabulary is small in bytes, else a join.
     """
-    plain = F.filter(F.col(column), lambda x: x >= FIRST_FREE)
-    exploded = df.repartition(*keys).select(*keys, F.posexplode_outer(plain).alias("position", "token_id"))
-    spelled = exploded.join(broadcast_checked(vocab.select("token_id", "token")), "token_id", "left")
-    entry = F.when(F.col("token").isNotNull(), F.struct("position", "token"))
-    words = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["token"])
-    return spelled.groupBy(*keys).agg(F.array_join(words, " ").alias("text"))
+    keys = keys_of(df, keys=keys)
+    plain = F.filter(F.coalesce(F.col(column), F.array().cast("array<int>")), lambda x: x >= FIRST_FREE)
+    entries = vocab.select("token", "token_id")
+    if is_small(entries):
+        spell = _speller(df.sparkSession.sparkContext.broadcast(entries.toArrow()))
+        return df.select(*keys, spell(plain).alias("text"))
+    stored = materialize(df.select(*keys, plain.alias("ids"), F.monotonically_increasing_id().alias("_row")), "rows")
+    spelled = stored.select("_row", F.posexplode("ids").alias("position", "token_id")).join(entries, "token_id")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("position", "token"))), lambda e: e["token"])
+    texts = spelled.groupBy("_row").agg(F.array_join(words, " ").alias("text"))
+    return stored.join(texts, "_row", "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _speller(shipped):
+    @F.arrow_udf("string")
+    def spell(ids: pa.Array) -> pa.Array:
+        table = shipped.value
+        at = pc.index_in(ids.flatten(), value_set=table.column("token_id").combine_chunks())
+        known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(ids)), pc.list_value_length(ids).to_numpy(zero_copy_only=False))[known]
+        tokens = pc.take(table.column("token").combine_chunks(), at.drop_null())
+        offsets = pa.array(np.searchsorted(row, np.arange(len(ids) + 1)), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
+
+    return spell
 
 
 def unmask(labels: Column) -> Column:
@@ -125,15 +177,18 @@ def unmask(labels: Column) -> Column:
     return F.transform(labels, lambda x: F.when(x == IGNORE, F.lit(PAD)).otherwise(x))
 
 
-def causal_prompt_ids(df: DataFrame, vocab: DataFrame, max_length: int, max_new_tokens: int) -> DataFrame:
-    """(id, input_ids) of the prompted text, its last slots spelling the answer marker.
+def causal_prompt_ids(
+    df: DataFrame, vocab: DataFrame, max_length: int, max_new_tokens: int, keys: Sequence[str] | None = None, tokenizer: Tokenizer = RUNS
+) -> DataFrame:
+    """(keys, input_ids) of the prompted text, its last slots spelling the answer marker.
 
     The width leaves room for the answer: ``max_length - max_new_tokens``.
     """
     width = max_length - max_new_tokens
-    prompted = df.select("id", prompt_prefix(F.col("text")).alias("text"))
-    encoded = encode_fixed(prompted, vocab, width)
-    return encoded.select("id", reserve_suffix(F.col("input_ids"), marker_ids(vocab)).alias("input_ids"))
+    keys = keys_of(df, keys=keys)
+    prompted = df.select(*keys, prompt_prefix(F.col("text")).alias("text"))
+    encoded = encode_fixed(prompted, vocab, width, keys=keys, tokenizer=tokenizer)
+    return encoded.select(*keys, reserve_suffix(F.col("input_ids"), marker_ids(vocab)).alias("input_ids"))
 
 
 def marker_ids(vocab: DataFrame) -> Column:

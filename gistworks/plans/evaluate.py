@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from gistworks.functions.text import ANSWER_MARKER, chat_messages, extract_answer, prompt_prefix
+from gistworks.functions.tokenizer import RUNS, Tokenizer
 from gistworks.operators.admission import fits_context
 from gistworks.operators.compare import align_pairs
 from gistworks.operators.generate import PredictorFactory, generate_batched, generate_resumable
+from gistworks.operators.joins import keys_of
+from gistworks.operators.metrics import Metric, load_metrics, multi_metric_report
 from gistworks.operators.rouge import VARIANTS, rouge_corpus
 from gistworks.operators.vocab import causal_prompt_ids, decode_ids, encode_fixed
 from gistworks.session import materialize
-from gistworks.sources.corpus import get_split
-from gistworks.sources.sinks import read_predictions, write_metrics, write_predictions
+from gistworks.sources.corpus import Reader, get_split, load_corpus
+from gistworks.sources.sinks import read_metrics, read_predictions, read_report, write_metrics, write_predictions, write_report
 
 
 @dataclass(frozen=True)
@@ -43,18 +46,80 @@ def evaluate_run(
 ) -> DataFrame:
     """Encode one split, generate, decode, store the predictions and score them.
 
-    The stored predictions are what is scored, so nothing is generated twice.
+    The stored predictions are what is scored and the stored scores what is
+    returned, so nothing is computed twice.
     """
+    spark = corpus.sparkSession
     rows = get_split(corpus, split)
-    encoded = encode_fixed(rows, vocab, enc_max_len).select("id", "input_ids")
-    inputs = decode_ids(encoded, vocab, "input_ids")
+    inputs = decode_ids(encode_fixed(rows, vocab, enc_max_len), vocab, "input_ids")
     predicted = generate_batched(inputs, predictor, batch_size=batch_size)
     write_predictions(predicted.withColumn("run_id", F.lit(run_id)), f"{path}/predictions")
-    stored = read_predictions(corpus.sparkSession, f"{path}/predictions")
-    scores = scoring.score(stored, rows)
+    scores = scoring.score(read_predictions(spark, f"{path}/predictions", by_dataset=True), rows)
     absent = [F.lit(None).cast("double").alias(v) for v in VARIANTS if v not in scoring.variants]
     write_metrics(scores.select(F.col("run_id").alias("folder"), "*", *absent), f"{path}/metrics")
-    return scores
+    return read_metrics(spark, f"{path}/metrics").withColumnRenamed("folder", "run_id")
+
+
+@dataclass(frozen=True)
+class Model:
+    """What a configuration names: a predictor for (gen_max_len, num_beams), and its vocabulary.
+
+    With ``over_ids`` the predictor turns lists of ids into lists of ids, which
+    are decoded after; otherwise it turns decoded inputs, or plain texts where
+    there is no vocabulary, into texts.
+    """
+
+    predictor: Callable[[int, int], PredictorFactory]
+    vocab: DataFrame | None = None
+    over_ids: bool = False
+    tokenizer: Tokenizer = RUNS
+
+
+_ARGS = ("model", "dataset", "metrics", "preview", "samples", "min_input_size")
+
+
+def run_config(config: dict, reader: Reader, models: dict[str, Model], path: str, metrics: dict[str, Metric] | None = None, split: str = "test") -> DataFrame:
+    """One evaluation as its configuration says: (run_id, metric, variant, value).
+
+    ``config`` has ``method`` ("eval"), ``exec_args`` (model, dataset, metrics,
+    preview, samples, min_input_size) and ``exec_kwargs`` (enc_max_len,
+    gen_max_len, num_beams, batch_size). ``metrics`` adds to the registered
+    ones. All metrics read the same stored predictions; scores are stored
+    nested by metric and read back.
+    """
+    if config.get("method") != "eval":
+        raise ValueError("only the method 'eval' can be run")
+    args, kwargs = config.get("exec_args", {}), config.get("exec_kwargs", {})
+    missing = [k for k in _ARGS if k not in args]
+    if missing:
+        raise ValueError(f"the configuration lacks {missing}")
+    if args["model"] not in models:
+        raise ValueError(f"unknown model {args['model']!r}; known: {', '.join(models)}")
+    own = metrics or {}
+    chosen = {n: own[n] if n in own else load_metrics([n])[n] for n in args["metrics"]}
+    model = models[args["model"]]
+    width, budget = kwargs.get("enc_max_len", 4096), kwargs.get("gen_max_len", 256)
+    corpus = load_corpus(
+        args["dataset"], reader, preview=bool(args["preview"]), samples=args["samples"], min_input_size=args["min_input_size"]
+    )
+    rows = get_split(corpus, split)
+    predictor = model.predictor(budget, kwargs.get("num_beams", 1))
+    batch = kwargs.get("batch_size", 32)
+    inputs = rows
+    if model.vocab is not None:
+        inputs = encode_fixed(rows, model.vocab, width, tokenizer=model.tokenizer)
+    if model.over_ids:
+        ids = generate_batched(inputs, predictor, "input_ids", batch_size=batch, returns="array<int>")
+        predicted = decode_ids(ids, model.vocab, "prediction").withColumnRenamed("text", "prediction")
+    else:
+        if model.vocab is not None:
+            inputs = decode_ids(inputs, model.vocab, "input_ids")
+        predicted = generate_batched(inputs, predictor, batch_size=batch)
+    run_id = f"{args['model']}-{args['dataset']}-{width}"
+    write_predictions(predicted.withColumn("run_id", F.lit(run_id)), f"{path}/predictions")
+    stored = read_predictions(rows.sparkSession, f"{path}/predictions", by_dataset=True)
+    write_report(multi_metric_report(chosen, align_pairs(stored, rows)), f"{path}/scores")
+    return read_report(rows.sparkSession, f"{path}/scores")
 
 
 def causal_run(
@@ -76,16 +141,13 @@ def causal_run(
     model does.
     """
     rows = get_split(corpus, split)
-    prompted = rows.withColumn("text", prompt_prefix(F.col("text")))
-    kept = rows.join(fits_context(prompted, context, shots).select("id"), "id", "left_semi") if shots else rows
+    kept = fits_context(rows, context, shots, text=prompt_prefix(F.col("text")))
     ids = causal_prompt_ids(kept, vocab, max_length, max_new_tokens)
     prompts = decode_ids(ids, vocab, "input_ids").withColumn(
         "text", F.concat("text", F.lit(f" {ANSWER_MARKER}"))
     )
     outputs = generate_batched(prompts, predictor)
-    answers = outputs.select(
-        F.lit(run_id).alias("run_id"), "id", extract_answer(F.col("prediction")).alias("prediction")
-    )
+    answers = outputs.withColumn("run_id", F.lit(run_id)).withColumn("prediction", extract_answer(F.col("prediction")))
     return scoring.score(materialize(answers, "answers"), rows)
 
 
@@ -96,14 +158,22 @@ def chat_run(
     budget: int,
     split: str = "test",
     scoring: Scoring = Scoring(),
+    tokenizer: Tokenizer = RUNS,
+    log_path: str | None = None,
 ) -> DataFrame:
     """Cut each text to a chat budget, ask once per row, ask again where that
-    failed, score what was answered."""
+    failed, score what was answered.
+
+    The mean is over answered rows; ``scored`` and ``unanswered`` say how many
+    those were and how many have no answer.
+    """
     rows = get_split(corpus, split)
-    asked = rows.select("id", chat_messages(F.col("text"), budget)[0]["content"].alias("text"))
-    merged = generate_resumable(asked, predictors)
-    answers = merged.where("ok").select(F.lit(run_id).alias("run_id"), "id", F.col("output").alias("prediction"))
-    return scoring.score(answers, rows)
+    asked = rows.select(*keys_of(rows), chat_messages(F.col("text"), budget, tokenizer)[0]["content"].alias("text"))
+    merged = generate_resumable(asked, predictors, log_path=log_path)
+    answers = merged.where("ok").withColumn("run_id", F.lit(run_id)).withColumnRenamed("output", "prediction")
+    counts = merged.agg(F.struct(F.count_if("ok").alias("ok"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("open")))
+    scored = scoring.score(answers, rows).withColumn("n", counts.scalar())
+    return scored.select("*", F.col("n.ok").alias("scored"), F.col("n.open").alias("unanswered")).drop("n")
 
 
 def lead_answer(budget: int) -> PredictorFactory:

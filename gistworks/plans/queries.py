@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gistworks.functions import runkeys, text as tx
+from gistworks.functions import runkeys, text as tx, tokenizer
 from gistworks.operators import (
     admission, bertscore, compare, generate, hooks, leaderboard, lengths, metrics, rouge, selection, vocab,
 )
@@ -79,17 +79,25 @@ def corpus_split(v: Views) -> DataFrame:
 
 @query
 def runs_scan(v: Views) -> DataFrame:
-    return runs.parse_scores(v.run_scores())
+    root = scratch_path(v.spark, "runs")
+    runs.write_folders(v.run_scores().withColumnRenamed("json", "content"), root)
+    return runs.scan_runs(v.spark, root, "part-*")
+
+
+def _stored_logs(v: Views) -> DataFrame:
+    root = scratch_path(v.spark, "logs")
+    runs.write_folders(v.pred_logs(), root)
+    return predlog.scan_logs(v.spark, root, "*/part-*")
 
 
 @query
 def predlog_scan(v: Views) -> DataFrame:
-    return predlog.parse_logs(v.pred_logs())
+    return _stored_logs(v)
 
 
 @query
 def predlog_route(v: Views) -> DataFrame:
-    return predlog.logs_by_corpus(predlog.parse_logs(v.pred_logs()))
+    return predlog.logs_by_corpus(_stored_logs(v))
 
 
 # --- sinks -----------------------------------------------------------------
@@ -133,7 +141,7 @@ def chat_messages(v: Views) -> DataFrame:
 
 @query
 def token_budget_truncate(v: Views) -> DataFrame:
-    return v.pairs().select("id", tx.truncate_words(F.col("text"), tx.CHAT_BUDGET).alias("text"))
+    return v.pairs().select("id", tx.truncate_tokens(F.col("text"), tx.CHAT_BUDGET).alias("text"))
 
 
 @query
@@ -214,8 +222,8 @@ def admission_filter(v: Views) -> DataFrame:
 
 @query
 def context_window_filter(v: Views) -> DataFrame:
-    prompted = v.pairs().withColumn("text", tx.prompt_prefix(F.col("text")))
-    return admission.fits_context(prompted, context=1024, shots=3).select("id", "text", "summary")
+    prompt = tx.prompt_prefix(F.col("text"))
+    return admission.fits_context(v.pairs(), context=1024, shots=3, text=prompt).select("id", prompt.alias("text"), "summary")
 
 
 def _prompt_lengths(v: Views) -> DataFrame:
@@ -251,6 +259,13 @@ def align_pairs(v: Views) -> DataFrame:
     return _aligned(v)
 
 
+@query
+def align_corpora(v: Views) -> DataFrame:
+    """Predictions of corpora that share ids."""
+    predictions = v.corpora().select(F.lit("run").alias("run_id"), "dataset", "id", "prediction")
+    return compare.align_pairs(predictions, v.corpora())
+
+
 @query
 def align_report(v: Views) -> DataFrame:
     answered = v.run_predictions().where(F.col("run_id").startswith("skip-"))
@@ -289,6 +304,16 @@ def length_summary(v: Views) -> DataFrame:
     return lengths.length_summary(_prompt_lengths(v))
 
 
+@query
+def length_summary_by_corpus(v: Views) -> DataFrame:
+    return lengths.length_summary(lengths.token_lengths(v.corpora()), "text_tokens", by=("dataset", "split"))
+
+
+@query
+def length_top_by_corpus(v: Views) -> DataFrame:
+    return lengths.length_top(lengths.token_lengths(v.corpora()), "summary_tokens", by=("dataset",))
+
+
 @query
 def length_top(v: Views) -> DataFrame:
     return lengths.length_top(_prompt_lengths(v))
@@ -349,11 +374,18 @@ def encode_pairs(v: Views) -> DataFrame:
 @query
 def decode_ids(v: Views) -> DataFrame:
     words = _vocab(v)
-    return vocab.decode_ids(vocab.encode_fixed(v.pairs(), words, ENC_MAX_LEN), words, "input_ids")
+    return vocab.decode_ids(vocab.encode_fixed(v.pairs(), words, ENC_MAX_LEN), words, "input_ids").select("id", "text")
+
+
+@query
+def encode_corpora(v: Views) -> DataFrame:
+    """Corpora that share ids: a row is told by corpus and id."""
+    encoded = vocab.encode_fixed(v.corpora(), _vocab(v), ENC_MAX_LEN)
+    return encoded.select("dataset", "id", _joined("input_ids"))
 
 
 def _masked_labels(v: Views, words: DataFrame) -> DataFrame:
-    return vocab.encode_pairs(v.pairs(), words, ENC_MAX_LEN, ignore_padding=True).select("id", "labels")
+    return vocab.encode_pairs(v.pairs(), words, ENC_MAX_LEN, ignore_padding=True, keys=("id",)).select("id", "labels")
 
 
 @query
@@ -374,7 +406,7 @@ def causal_prompt_ids(v: Views) -> DataFrame:
 
 @query
 def generate_batched(v: Views) -> DataFrame:
-    return generate.generate_batched(v.pairs(), generate.lead_predictor(GEN_MAX_LEN))
+    return generate.generate_batched(v.pairs(), generate.lead_predictor(GEN_MAX_LEN), keys=("id",))
 
 
 def failing_lead(gen_max_len: int, fails_every: int, prefix: str = "") -> generate.PredictorFactory:
@@ -394,7 +426,7 @@ def failing_lead(gen_max_len: int, fails_every: int, prefix: str = "") -> genera
 @query
 def generate_resumable(v: Views) -> DataFrame:
     passes = [failing_lead(GEN_MAX_LEN, 5), failing_lead(GEN_MAX_LEN, 25, "retry ")]
-    return generate.generate_resumable(v.pairs(), passes)
+    return generate.generate_resumable(v.pairs(), passes, keys=("id",))
 
 
 def _scores(df: DataFrame, variants: tuple[str, ...] = NGRAMS) -> DataFrame:
@@ -441,7 +473,38 @@ def chat_run(v: Views) -> DataFrame:
         budget=tx.CHAT_BUDGET,
         scoring=evaluate.Scoring(NGRAMS, use_stemmer=False),
     )
-    return _scores(scores)
+    return scores.select("run_id", *[_r6(x) for x in NGRAMS], "scored", "unanswered")
+
+
+def leading_ids(gen_max_len: int, _num_beams: int) -> generate.PredictorFactory:
+    """A stand-in over ids: answers with the first of them."""
+    return lambda: lambda batch: [ids[:gen_max_len] for ids in batch]
+
+
+def letter_encoder():
+    """A stand-in for a language model: a token's vector tells its length, first and last letter."""
+    import re
+
+    import numpy as np
+
+    def encode(texts: list[str]) -> list:
+        found = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+        return [np.array([[len(t), ord(t[0]) % 7 + 1, ord(t[-1]) % 5 + 1] for t in ts], np.float32).reshape(-1, 3) for ts in found]
+
+    return encode
+
+
+@query
+def evaluate_config(v: Views) -> DataFrame:
+    config = {
+        "method": "eval",
+        "exec_args": {"model": "lead", "dataset": "arxiv", "metrics": ["rouge", "bertscore"], "preview": False, "samples": "max", "min_input_size": 0},
+        "exec_kwargs": {"enc_max_len": ENC_MAX_LEN, "gen_max_len": GEN_MAX_LEN, "num_beams": 1, "batch_size": 8},
+    }
+    own = {"rouge": metrics.rouge_metric(NGRAMS, use_stemmer=False), "bertscore": metrics.encoded_bertscore(letter_encoder)}
+    models = {"lead": evaluate.Model(leading_ids, _vocab(v), over_ids=True)}
+    report = evaluate.run_config(config, v.raw_reader(), models, scratch_path(v.spark, "run"), own)
+    return report.select("run_id", "metric", "variant", F.round("value", 5).alias("value"))
 
 
 # --- metrics ---------------------------------------------------------------
@@ -488,6 +551,11 @@ def rouge_corpus(v: Views) -> DataFrame:
     return _scores(rouge.rouge_corpus(_aligned(v), UNSTEMMED, False), UNSTEMMED)
 
 
+@query
+def rouge_corpus_ngrams(v: Views) -> DataFrame:
+    return _scores(rouge.rouge_corpus(_aligned(v), NGRAMS, False))
+
+
 @query
 def bertscore_pair(v: Views) -> DataFrame:
     scores = bertscore.bertscore_pairs(v.token_vectors())
@@ -522,7 +590,7 @@ def multi_metric_report(v: Views) -> DataFrame:
 def masked_eval(v: Views) -> DataFrame:
     words = _vocab(v)
     labels = _masked_labels(v, words).withColumn("labels", vocab.unmask(F.col("labels")))
-    references = vocab.decode_ids(labels, words, "labels").withColumnRenamed("text", "summary")
+    references = vocab.decode_ids(labels, words, "labels").select("id", F.col("text").alias("summary"))
     runs_ = v.pairs().select(F.lit("step").alias("run_id"), "id", "prediction")
     aligned = compare.align_pairs(runs_, references)
     return _scores(rouge.rouge_corpus(aligned, NGRAMS, False))
@@ -550,10 +618,24 @@ def _shared_word_rate(predictions: list[str], references: list[str]) -> list[flo
 @query
 def hook_metric(v: Views) -> DataFrame:
     own = {"shared_words": metrics.python_metric(_shared_word_rate, "rate")}
-    report = metrics.multi_metric_report(own, {"shared_words": _aligned(v)})
+    report = metrics.multi_metric_report(own, _aligned(v))
     return report.select("run_id", "metric", "variant", _r6("value"))
 
 
+def word_tokenizer():
+    """A user's tokenizer: blank-separated words as they are."""
+    import re
+
+    return lambda texts: [[(m.start(), m.end(), m[0]) for m in re.finditer("[^ ]+", t)] for t in texts]
+
+
+@query
+def hook_tokenizer(v: Views) -> DataFrame:
+    own = tokenizer.batch_tokenizer(word_tokenizer)
+    text = F.col("text")
+    return v.pairs().select("id", own.count(text).alias("n"), tx.truncate_tokens(text, 100, own).alias("text"))
+
+
 @query
 def hook_map_rows(v: Views) -> DataFrame:
     def headline(row: dict) -> dict:
@@ -577,7 +659,7 @@ def hook_predictor(v: Views) -> DataFrame:
     def last_words():
         return lambda texts: [" ".join(t.split(" ")[-GEN_MAX_LEN:]) for t in texts]
 
-    return generate.generate_batched(v.pairs(), last_words)
+    return generate.generate_batched(v.pairs(), last_words, keys=("id",))
 
 
 # --- the flagship ----------------------------------------------------------

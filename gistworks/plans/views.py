@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gistworks.session import spread
 from gistworks.sources.corpus import CorpusSpec
 
 
@@ -26,16 +25,18 @@ class Views:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def pairs(self) -> DataFrame:
-        """id, dataset, split, text, summary, prediction."""
+        """id, dataset, split, text, summary, prediction; both spread over the whole text.
+
+        A summary is every third word, a prediction two of every five.
+        """
         key, words = F.col("doc_id"), F.col("w")
 
-        def pick(first: int, count: int, every: int) -> Column:
-            kept = F.filter(F.slice(words, first, count), lambda _, i: i % every != every - 1)
-            return F.array_join(kept, " ")
+        def every(step: int, kept: tuple[int, ...]) -> Column:
+            return F.array_join(F.filter(words, lambda _, i: (i % step).isin(*kept)), " ")
 
         names = F.array(*[F.lit(n) for n in ("arxiv", "pubmed", "govreport", "bigpatent")])
         return (
-            spread(self.table("documents"), "doc_id")
+            self.table("documents")
             .select("doc_id", "text", F.split("text", " ").alias("w"))
             .select(
                 key.alias("id"),
@@ -44,13 +45,17 @@ class Views:
                 "text",
                 F.when(key % 17 == 0, "")
                 .when(key % 13 == 0, F.col("text"))
-                .when(key % 11 == 0, F.array_join(F.slice(words, 1, 20), " "))
-                .otherwise(pick(1, 40, 5))
+                .when(key % 11 == 0, F.substring_index("text", "\n", -1))
+                .otherwise(every(3, (0,)))
                 .alias("summary"),
-                pick(6, 40, 7).alias("prediction"),
+                every(5, (0, 3)).alias("prediction"),
             )
         )
 
+    def corpora(self) -> DataFrame:
+        """The pairs with ids counted anew in each corpus, so that corpora share ids."""
+        return self.pairs().withColumn("id", F.expr("id div 4"))
+
     def raw_reader(self) -> Callable[[CorpusSpec], DataFrame]:
         """Each corpus under its own column names, as its source stores it."""
 
@@ -75,19 +80,16 @@ class Views:
         return first.unionByName(second)
 
     def run_predictions(self) -> DataFrame:
-        """run_id, id, prediction of three models; one has gaps, one repeats the summary."""
-        pairs = self.pairs()
-        return (
-            pairs.select(F.concat(F.lit("lead-3.5-turbo-"), "dataset").alias("run_id"), "id", "prediction")
-            .unionAll(
-                pairs.where(F.col("id") % 9 != 0).select(
-                    F.concat(F.lit("skip-"), "dataset", F.lit("-4096-15062023193353")),
-                    "id",
-                    F.substring("prediction", 1, 80),
-                )
-            )
-            .unionAll(pairs.select(F.concat(F.lit("echo-"), "dataset"), "id", "summary"))
-        )
+        """run_id, id, prediction of three models; one has gaps, one repeats the summary. One scan."""
+
+        def run(prefix: str, suffix: str, prediction: Column) -> Column:
+            name = F.concat(F.lit(prefix), "dataset", F.lit(suffix))
+            return F.struct(name.alias("run_id"), "id", prediction.alias("prediction"))
+
+        answer, summary = F.col("prediction"), F.col("summary")
+        skipped = F.when(F.col("id") % 9 != 0, run("skip-", "-4096-15062023193353", F.reverse(answer)))
+        runs = F.array_compact(F.array(run("lead-3.5-turbo-", "", answer), skipped, run("echo-", "", summary)))
+        return self.pairs().select(F.inline(runs))
 
     def run_scores(self) -> DataFrame:
         """folder, json: one score file per source, even ones nested, odd ones flat."""

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 # Adaptive execution sizes shuffles and splits skewed joins at run time; the
 # forced form lets it split a skewed join even when the following aggregation
 # then needs a shuffle of its own. Long documents make large Arrow rows, so a
-# batch holds fewer of them than the default.
+# batch is bounded in bytes and in rows. Merging at run time only ever lowers the
+# number of shuffle partitions, so a large job should also set
+# spark.sql.adaptive.coalescePartitions.initialPartitionNum to about its shuffled
+# bytes over 128 MB.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -20,6 +23,7 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 
@@ -63,19 +67,6 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small stored table out to all cores by ``key``.
-
-    A table read as fewer partitions than there are cores would leave the rest
-    idle through every row-wise step. Any larger table is returned unchanged,
-    so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per Spark context."""
     context = spark.sparkContext

@@ -32,21 +32,23 @@ def scan_logs(spark: SparkSession, root: str, pattern: str = "*/*.out") -> DataF
     # File paths arrive percent-encoded; a plus sign stands for itself there.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lines = spark.read.text(f"{root}/{pattern}").select(
-        F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("folder"),
+        F.regexp_extract(path, "(?:run=)?([^/]+)/[^/]+$", 1).alias("folder"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seen"),
         F.col("value"),
     )
-    blocks = lines.groupBy("folder", "block").agg(F.count(F.lit(1)).alias("n"))
+    # Rows of a block are numbered in reading order, so its first number is all it takes.
+    blocks = lines.groupBy("folder", "block").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("first"))
     in_log = Window.partitionBy("folder")
     offsets = blocks.select(
         "folder",
         "block",
+        "first",
         F.sum("n").over(in_log).alias("lines"),
         (F.sum("n").over(in_log.orderBy("block")) - F.col("n")).alias("offset"),
     )
-    in_block = Window.partitionBy("folder", "block").orderBy("seen")
-    numbered = lines.withColumn("nth", F.row_number().over(in_block) - 1).join(offsets, ["folder", "block"])
+    joined = lines.join(offsets, ["folder", "block"])
+    numbered = joined.withColumn("nth", F.col("seen") - F.col("first"))
     items = F.coalesce(F.when(F.col("lines") == 1, _json_list("value")), F.array("value"))
     return numbered.select(
         "folder", (F.col("offset") + F.col("nth")).alias("line"), F.posexplode(items).alias("item", "prediction")

@@ -23,10 +23,22 @@ def parse_scores(df: DataFrame, json: str = "json") -> DataFrame:
     return parsed.select("folder", *either_shape("scores"))
 
 
-def scan_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Every run folder below ``root`` that holds a score file."""
-    files = spark.read.schema(SCORE_SCHEMA).option("multiLine", True).json(f"{root}/*/metrics.json")
+def scan_runs(spark: SparkSession, root: str, file: str = "metrics.json") -> DataFrame:
+    """Every run folder below ``root`` that holds a score file; ``file`` may be a pattern.
+
+    A folder that Spark has partitioned by run is named by the run.
+    """
+    files = spark.read.schema(SCORE_SCHEMA).option("multiLine", True).json(f"{root}/*/{file}")
     # File paths arrive percent-encoded; a plus sign stands for itself there.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    folder = F.regexp_extract(path, "([^/]+)/metrics[.]json$", 1)
+    folder = F.regexp_extract(path, "(?:run=)?([^/]+)/[^/]+$", 1)
     return files.select(folder.alias("folder"), *either_shape())
+
+
+def write_folders(contents: DataFrame, root: str) -> None:
+    """(folder, content) as one text file in ``<root>/run=<folder>`` each."""
+    (
+        contents.select(F.col("folder").alias("run"), F.regexp_replace("content", "\n\\z", "").alias("value"))
+        .write.partitionBy("run")
+        .text(root)
+    )

@@ -25,6 +25,7 @@ def brute(vectors):
     for pair, rows in frame.groupby("pair_id"):
         sides = [np.array(rows[rows.side == s].v.tolist()) for s in (0, 1)]
         if min(map(len, sides)) == 0:
+            out[pair] = (0.0, 0.0, 0.0)
             continue
         with np.errstate(invalid="ignore"):
             unit = [np.nan_to_num(s / np.linalg.norm(s, axis=1, keepdims=True)) for s in sides]
@@ -38,7 +39,7 @@ def brute(vectors):
 def test_block_size_does_not_change_the_scores(vectors, block):
     want = brute(vectors)
     got = {r["pair_id"]: tuple(r)[1:] for r in bertscore_pairs(vectors.repartition(5), block).collect()}
-    assert got.keys() == want.keys() == {0, 1, 2, 4}
+    assert got.keys() == want.keys() == {0, 1, 2, 3, 4}
     for pair, scores in want.items():
         assert got[pair] == pytest.approx(scores)
 
@@ -59,3 +60,9 @@ def test_runs_are_kept_apart(vectors):
     assert len(rows) == 6
     scored = bertscore_pairs(vectors).withColumn("run_id", F.lit("x"))
     assert tuple(bertscore_corpus(scored).first())[1:] == pytest.approx(tuple(means))
+
+
+def test_a_listed_pair_without_tokens_scores_zero(spark, vectors):
+    pairs = spark.createDataFrame([(0,), (9,)], "pair_id long")
+    got = {r["pair_id"]: tuple(r)[1:] for r in bertscore_pairs(vectors, pairs=pairs).collect()}
+    assert got[9] == (0.0, 0.0, 0.0) and got[3] == (0.0, 0.0, 0.0) and len(got) == 6

@@ -87,3 +87,21 @@ def test_keys_of_any_type(spark):
     df = spark.createDataFrame([("r", 1, "a b c")], "run string, id int, text string")
     out = g.generate_batched(df, g.lead_predictor(2), keys=("run", "id"))
     assert tuple(out.first()) == ("r", 1, "a b")
+
+
+def test_a_second_job_asks_only_what_is_open(spark, texts, tmp_path):
+    log = str(tmp_path / "log")
+    first = g.generate_resumable(texts, [failing([3, 4])], log_path=log)
+    assert {r["id"] for r in first.where("not ok").collect()} == {3, 4}
+
+    def only_open():
+        def predict(batch):
+            if not set(batch) <= {r["text"] for r in wanted}:
+                raise RuntimeError("asked again")
+            return ["late"] * len(batch)
+
+        return predict
+
+    wanted = texts.where("id in (3, 4)").collect()
+    again = {r["id"]: r for r in g.generate_resumable(texts, [only_open], log_path=log).collect()}
+    assert all(r["ok"] for r in again.values()) and again[3]["attempt"] == 2 and again[5]["attempt"] == 1

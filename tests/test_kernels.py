@@ -52,10 +52,10 @@ def test_lcs_length(a, b):
     assert lcs_length(a, b) == table(a, b)[-1][-1] == lcs_length(b, a)
 
 
-def test_long_lists_give_the_same_masks():
+def test_masks():
     tokens = [str(i * i % 7) for i in range(100)]
-    direct = kernels._positions(tokens, {"1", "2", "9"})
-    assert direct == kernels._positions_of_long(tokens, {"1", "2", "9"})
+    plain = {w: sum(1 << i for i, t in enumerate(tokens) if t == w) for w in ("1", "2")}
+    assert kernels._positions(tokens, {"1", "2", "9"}) == plain
     assert lcs_length(tokens * 30, tokens[::-1] + tokens * 30) == 3000
 
 
@@ -105,3 +105,12 @@ def test_stems_of_the_paper():
 
 def test_short_tokens_are_not_stemmed():
     assert stem_token("was") == "was" and stem_token("this") == "thi"
+
+
+def test_places_of_long_lists():
+    """Rows between the kept ones are made again: many of them here."""
+    a = [str(i * 7919 % 23) for i in range(300)]
+    b = [str(i * 104729 % 19) for i in range(270)]
+    masks = {x: sum(1 << i for i, y in enumerate(b) if y == x) for x in set(b)}
+    found = lcs_reference_places(a, masks, b)
+    assert found == places(a, b) and len(found) == lcs_length(a, b)

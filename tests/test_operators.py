@@ -104,3 +104,40 @@ def test_materialized_tables_lie_in_the_shared_folder(spark):
     df = materialize(spark.range(10).withColumn("x", F.col("id") * 2), "test")
     assert df.inputFiles()[0].startswith("file:") and shared_dir(spark).split(":")[-1] in df.inputFiles()[0]
     assert df.agg(F.sum("x")).first()[0] == 90
+
+
+def test_corpora_with_equal_ids_stay_apart(spark):
+    data = [("arxiv", 1, "a1", "p"), ("pubmed", 1, "b1", "q")]
+    df = spark.createDataFrame(data, "dataset string, id long, summary string, prediction string").withColumn("run_id", F.lit("r"))
+    rows = compare.align_pairs(df, df).collect()
+    assert sorted((r["dataset"], r["prediction"], r["reference"]) for r in rows) == [("arxiv", "p", "a1"), ("pubmed", "q", "b1")]
+    assert compare.side_by_side(df.drop("prediction", "run_id"), df, ["r"], "run_id").count() == 2
+    log = df.select("dataset", "id", F.lit(1).alias("attempt"), (F.col("dataset") == "arxiv").alias("ok"), F.lit("o").alias("output"))
+    assert {r["dataset"] for r in generate.pending_subset(df, log).collect()} == {"pubmed"}
+    assert {r["dataset"]: r["ok"] for r in generate.retry_merge(df, log).collect()} == {"arxiv": True, "pubmed": False}
+
+
+def test_configuration_is_checked(spark):
+    args = {"model": "m", "dataset": "arxiv", "metrics": ["rouge"], "preview": False, "samples": "max", "min_input_size": 0}
+    for config, said in (
+        ({"method": "finetune"}, "method"), ({"method": "eval", "exec_args": {"model": "m"}}, "lacks"),
+        ({"method": "eval", "exec_args": args}, "unknown model"), ({"method": "eval", "exec_args": {**args, "metrics": ["no"]}}, "unknown m"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            evaluate.run_config(config, None, {}, "/nowhere")
+
+
+def test_configured_run(spark, tmp_path):
+    data = [(1, "test", "w " * 40 + "end", "w fin"), (2, "test", "q " * 50, "z"), (3, "train", "x " * 30, "x y")]
+    reader = lambda spec: spark.createDataFrame(data, "id long, split string, article string, abstract string")
+    config = {
+        "method": "eval",
+        "exec_args": {"model": "lead", "dataset": "arxiv", "metrics": ["rouge", "own"], "preview": True, "samples": "max", "min_input_size": 0},
+        "exec_kwargs": {"gen_max_len": 3},
+    }
+    models = {"lead": evaluate.Model(lambda budget, beams: generate.lead_predictor(budget))}
+    own = {"own": metrics.python_metric(lambda p, r: [float(len(x.split())) for x in p], "words")}
+    got = {(r["metric"], r["variant"]): r["value"] for r in evaluate.run_config(config, reader, models, str(tmp_path / "run"), own).collect()}
+    assert got["own", "words"] == 3 and set(got) == {("own", "words")} | {("rouge", v) for v in ("rouge1", "rouge2", "rougeL", "rougeLsum")}
+    # "w w w" against "w fin": one match of five tokens; the other pair has none.
+    assert got["rouge", "rouge1"] == pytest.approx(0.2)

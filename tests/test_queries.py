@@ -9,7 +9,9 @@ import __spark_entry__ as driver
 from tools.check import TABLES, canonical
 
 FOLDER = os.environ.get("GISTWORKS_TABLES", "/root/testdata/sf0.001")
-WITHOUT_SQL = {"rouge_stemmed"}
+WITHOUT_SQL = {"rougeL", "rougeLsum", "rouge_corpus", "rouge_stemmed"}
+#: The training-data queries have tests of their own.
+OWN = [n for n in driver.queries() if not n.startswith("op") and n != "pipeline"]
 
 
 @pytest.fixture(scope="module")
@@ -23,11 +25,11 @@ def con():
 
 
 def test_names_agree():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == WITHOUT_SQL
+    assert set(OWN) - set(driver.oracle_sql()) == WITHOUT_SQL
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, plan_of, name):
     built = driver.queries()[name](spark, FOLDER)
     plan = plan_of(built)

@@ -92,15 +92,21 @@ def test_subset_of_variants_and_unknown_name(pairs):
 
 
 def test_one_exchange_and_no_join(pairs, plan_of):
-    for stemmed in (False, True):
-        plan = plan_of(rouge.rouge_counts(pairs, use_stemmer=stemmed))
-        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
-    assert "Exchange" not in plan_of(rouge.rouge_counts(pairs, variants=("rougeL",)))
+    plan = plan_of(rouge.rouge_counts(pairs, variants=("rouge1", "rouge2"), use_stemmer=False))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    for stemmed, variants in ((False, rouge.VARIANTS), (True, ("rouge1",)), (True, rouge.VARIANTS)):
+        assert "Exchange" not in plan_of(rouge.rouge_counts(pairs, variants=variants, use_stemmer=stemmed))
+
+
+def test_both_plans_count_the_same_ngrams(pairs):
+    native = rouge.rouge_counts(pairs, variants=("rouge1", "rouge2"), use_stemmer=False)
+    arrow = rouge.rouge_counts(pairs, use_stemmer=False).select(*native.columns)
+    assert sorted(map(tuple, native.collect())) == sorted(map(tuple, arrow.collect()))
 
 
 def test_a_constant_run_name_costs_no_shuffle(pairs, plan_of):
     one_run = pairs.withColumn("run_id", F.lit("only"))
-    plan = plan_of(rouge.rouge_counts(one_run, ("run_id", "id"), use_stemmer=False))
+    plan = plan_of(rouge.rouge_counts(one_run, ("run_id", "id"), ("rouge1", "rouge2"), use_stemmer=False))
     assert plan.count("Exchange hashpartitioning") == 1
 
 

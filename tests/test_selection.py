@@ -43,3 +43,30 @@ def test_sample_is_repeatable_and_one_per_group(spark):
     assert a == b and [r["dataset"] for r in a] == ["a", "b"]
     others = {sample_one(rows(spark), s).where("dataset = 'a'").first()["id"] for s in "qwertz"}
     assert len(others) > 1
+
+
+def test_ties_and_null_splits(spark):
+    data = [(1, "train"), (1, "train"), (1, "train"), (2, "train"), (5, None), (5, None), (6, "test"), (None, "test")]
+    df = spark.createDataFrame(data, "id long, split string")
+    for cap, want in ((1, 1), (2, 2), (3, 3), (4, 4)):
+        kept = train_cap(df, cap).groupBy("split").count().collect()
+        assert {r["split"]: r["count"] for r in kept} == {"train": want, None: 2, "test": 2}
+    kept = preview_head(df, 2).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in kept} == {"train": 2, None: 2, "test": 1}
+
+
+def test_many_groups_are_joined(spark, monkeypatch):
+    from gistworks.operators import selection
+
+    few = sorted(map(tuple, preview_head(rows(spark)).collect())), sorted(map(tuple, sample_one(rows(spark), "s").collect()))
+    monkeypatch.setattr(selection, "FEW_GROUPS", 1)
+    assert (sorted(map(tuple, preview_head(rows(spark)).collect())), sorted(map(tuple, sample_one(rows(spark), "s").collect()))) == few
+
+
+def test_bounds_reach_the_scan(spark, tmp_path, plan_of):
+    path = str(tmp_path / "t")
+    rows(spark).write.parquet(path)
+    stored = spark.read.parquet(path)
+    for df in (preview_head(stored), sample_one(stored, "s")):
+        pushed = plan_of(df).split("PushedFilters: [")[1].split("]")[0]
+        assert "LessThanOrEqual(id" in pushed or "EqualTo(id" in pushed

@@ -28,8 +28,16 @@ def test_answer(spark):
 
 def test_budget(spark):
     assert tx.CHAT_BUDGET == 3832
-    assert one(spark, tx.truncate_words(F.col("t"), 2), t="a  b c") == "a "
-    assert one(spark, tx.truncate_words(F.col("t"), 9), t="a\nb c") == "a\nb c"
+
+    def cut(n, t):
+        return one(spark, tx.truncate_tokens(F.col("t"), n), t=t)
+
+    assert cut(2, "a  b c") == "a  b" and cut(9, "a\nb c. ") == "a\nb c. "
+    assert cut(2, "ab-cd.ef\ngh") == "ab-cd" and cut(1, " élan été") == " élan" and cut(3, "a b c !") == "a b c !"
+    long = "\n".join(["w"] * 10_000)
+    kept = cut(tx.CHAT_BUDGET, long)
+    assert len(kept.split("\n")) == tx.CHAT_BUDGET
+    assert one(spark, tx.token_count(F.col("t")), t=cut(700, "İK-a.b " * 400)) == 700
     message = one(spark, tx.chat_messages(F.col("t"), 13), t="first second")
     assert message[0]["role"] == "system" and message[0]["content"].endswith("text. first")
 
@@ -40,7 +48,19 @@ def test_suffix_keeps_the_width(spark):
         return one(spark, tx.reserve_suffix(F.split("t", " "), suffix), t=t)
 
     assert reserved("a b c") == ["a", "S", ":"]
-    assert reserved("a") == ["S", ":"]
+    assert reserved("a b") == ["S", ":"] and reserved("a") == [":"]
+
+
+def test_own_tokenizer(spark):
+    from gistworks.functions.tokenizer import batch_tokenizer
+
+    def make():
+        return lambda texts: [[(i, i + 1, c) for i, c in enumerate(t) if c != " "] for t in texts]
+
+    own = batch_tokenizer(make)
+    df = spark.createDataFrame([("a bc",), (None,), ("",)], "t string")
+    got = df.select(own.tokens(F.col("t")), tx.truncate_tokens(F.col("t"), 2, own), own.count(F.col("t"))).collect()
+    assert [tuple(r)[:2] for r in got] == [(["a", "b", "c"], "a b"), (None, None), ([], "")] and got[0][2] == 3
 
 
 def test_clip_leaves_other_types(spark):

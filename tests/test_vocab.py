@@ -72,24 +72,33 @@ def test_causal_prompt_ends_with_the_marker(spark, corpus, words):
     assert vocab.causal_prompt_ids(corpus, known, 32, 12).first()["input_ids"][-1] == 3
 
 
-def test_tokens_do_not_move(corpus, words, plan_of):
-    plan = plan_of(vocab.encode_pairs(corpus, words, 4))
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastHashJoin") == 1
-
-
-def test_decoding_what_was_encoded_shuffles_once(corpus, words, plan_of):
-    decoded = vocab.decode_ids(vocab.encode_fixed(corpus, words, 8), words, "input_ids")
-    assert plan_of(decoded).count("Exchange hashpartitioning") == 1
-
-
-def test_a_large_vocabulary_is_not_broadcast_by_mark(corpus, words, monkeypatch, spark):
-    from gistworks.operators import joins
-
-    monkeypatch.setattr(joins.broadcast_checked, "__defaults__", (2,))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        encoded = vocab.encode_fixed(corpus, words, 6)
-        assert "BroadcastHashJoin" not in encoded._jdf.queryExecution().executedPlan().toString()
-        assert {r["id"]: r["input_ids"] for r in encoded.collect()}[1] == [3, 6, 1, 3, 4, 0]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_encoding_and_decoding_shuffle_nothing(corpus, words, plan_of):
+    encoded = vocab.encode_pairs(corpus, words, 4)
+    assert "Exchange" not in plan_of(encoded)
+    assert "Exchange" not in plan_of(vocab.decode_ids(encoded, words, "labels"))
+
+
+def test_a_large_vocabulary_is_joined(corpus, words, monkeypatch):
+    want = sorted(map(str, vocab.encode_pairs(corpus, words, 6).collect()))
+    texts = sorted(map(str, vocab.decode_ids(vocab.encode_fixed(corpus, words, 6), words, "input_ids").collect()))
+    monkeypatch.setattr(vocab, "is_small", lambda df: False)
+    assert sorted(map(str, vocab.encode_pairs(corpus, words, 6).collect())) == want
+    assert sorted(map(str, vocab.decode_ids(vocab.encode_fixed(corpus, words, 6), words, "input_ids").collect())) == texts
+
+
+def test_size_is_in_bytes(spark):
+    rows = spark.createDataFrame([("x" * 1000, 1)], "token string, token_id int")
+    assert vocab.is_small(rows, 2000) and not vocab.is_small(rows, 1000)
+
+
+@pytest.mark.parametrize("joined", (False, True))
+def test_corpora_may_share_ids(spark, words, joined, monkeypatch):
+    if joined:
+        monkeypatch.setattr(vocab, "is_small", lambda df: False)
+    data = [("arxiv", 1, "the cat"), ("pubmed", 1, "the dog"), ("pubmed", 1, "ant")]
+    df = spark.createDataFrame(data, "dataset string, id long, text string")
+    encoded = vocab.encode_fixed(df, words, 2)
+    assert sorted((r["dataset"], r["id"], r["input_ids"]) for r in encoded.collect()) == [
+        ("arxiv", 1, [3, 6]), ("pubmed", 1, [3, 4]), ("pubmed", 1, [5, 0]),
+    ]
+    assert sorted(map(tuple, vocab.decode_ids(encoded, words, "input_ids").collect())) == sorted(data)
