@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 TOKEN_PATTERN = "[a-z0-9]+"
-# What becomes a token character when lower-cased: the Kelvin sign and the dotted I too.
-_TOKEN_CHARS = "A-Za-z0-9Kİ"
-_UP_TO_TOKEN = f"[^{_TOKEN_CHARS}]*[{_TOKEN_CHARS}]+"
+# Lower-casing makes token characters of the Kelvin sign and, with a mark after it that ends the run, of the dotted I.
+_CHARS = "A-Za-z0-9\u212a"
+UP_TO_TOKEN = f"[^{_CHARS}\u0130]*(?:[{_CHARS}]*\u0130|[{_CHARS}]+)"
 
 #: Turns a batch of texts into their tokens: (start, end, token) in characters.
 BatchTokenizer = Callable[[list[str]], list[list[tuple[int, int, str]]]]
@@ -38,7 +38,7 @@ def _runs(text: Column) -> Column:
 
 
 def _cut_runs(text: Column, n: int) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(_UP_TO_TOKEN), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(UP_TO_TOKEN), F.lit(0))
     return F.when(F.size(pieces) <= n, text).otherwise(F.array_join(F.slice(pieces, 1, n), ""))
 
 

@@ -8,6 +8,7 @@ far too long for them: they are tested against brute force, and so is stemming.
 from __future__ import annotations
 
 from gistworks.functions.text import ANSWER_MARKER, CHAT_BUDGET, INSTRUCTION, TEXT_MARKER
+from gistworks.functions.tokenizer import UP_TO_TOKEN
 from gistworks.plans.queries import ENC_MAX_LEN, GEN_MAX_LEN, VOCAB_SIZE
 
 _VIEWS = {
@@ -218,7 +219,7 @@ def _decoded(column: str, width: int) -> str:
 
 def _cut(text: str, budget: int) -> str:
     """The text up to the end of its ``budget``-th token."""
-    pieces = f"regexp_extract_all({text}, '[^A-Za-z0-9Kİ]*[A-Za-z0-9Kİ]+')"
+    pieces = f"regexp_extract_all({text}, '{UP_TO_TOKEN}')"
     return f"CASE WHEN len({pieces}) <= {budget} THEN {text} ELSE array_to_string(list_slice({pieces}, 1, {budget}), '') END"
 
 

@@ -37,7 +37,7 @@ def test_budget(spark):
     long = "\n".join(["w"] * 10_000)
     kept = cut(tx.CHAT_BUDGET, long)
     assert len(kept.split("\n")) == tx.CHAT_BUDGET
-    assert one(spark, tx.token_count(F.col("t")), t=cut(700, "İK-a.b " * 400)) == 700
+    assert one(spark, tx.token_count(F.col("t")), t=cut(700, "\u0130\u212a-a.b " * 400)) == 700
     message = one(spark, tx.chat_messages(F.col("t"), 13), t="first second")
     assert message[0]["role"] == "system" and message[0]["content"].endswith("text. first")
 
