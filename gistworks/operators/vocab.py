@@ -13,7 +13,7 @@ from gistworks.functions.text import ANSWER_MARKER, prompt_prefix, reserve_suffi
 from gistworks.functions.tokenizer import RUNS, Tokenizer
 from gistworks.operators.joins import is_small, keys_of
 from gistworks.operators.selection import kth_smallest
-from gistworks.session import materialize
+from gistworks.session import discard, materialize
 
 # The reserved ids and the mark of a label to ignore.
 PAD, UNK, EOS = 0, 1, 2
@@ -40,7 +40,9 @@ def build_vocab(
     by_rank = (F.desc("n"), F.asc("token"))
     top = candidates.orderBy(*by_rank).limit(size)
     numbered = F.row_number().over(Window.orderBy(*by_rank)) + (FIRST_FREE - 1)
-    return materialize(top.withColumn("token_id", numbered.cast("int")), "vocab")
+    numbered_top = materialize(top.withColumn("token_id", numbered.cast("int")), "vocab")
+    discard(counts)
+    return numbered_top
 
 
 def _close(ids: Column, max_len: int, add_eos: bool) -> Column:

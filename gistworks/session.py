@@ -51,9 +51,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_made: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -64,7 +74,24 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete the table behind a frame of :func:`materialize` that nothing will read again."""
+    delete_path(stored.sparkSession, stored.stored_at)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this application, once its results are stored or shown.
+
+    Frames that operators returned may still read theirs, so only the caller
+    knows when.
+    """
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        delete_path(spark, path)
 
 
 def ship_package(spark: SparkSession) -> None:

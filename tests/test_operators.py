@@ -141,3 +141,15 @@ def test_configured_run(spark, tmp_path):
     assert got["own", "words"] == 3 and set(got) == {("own", "words")} | {("rouge", v) for v in ("rouge1", "rouge2", "rougeL", "rougeLsum")}
     # "w w w" against "w fin": one match of five tokens; the other pair has none.
     assert got["rouge", "rouge1"] == pytest.approx(0.2)
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from gistworks.session import clear_scratch, discard
+
+    one, two = (materialize(spark.range(3)) for _ in range(2))
+    discard(one)
+    assert not os.path.exists(one.stored_at.removeprefix("file:")) and two.count() == 3
+    clear_scratch(spark)
+    assert not os.path.exists(two.stored_at.removeprefix("file:"))
