@@ -38,7 +38,7 @@ from gistworks.llm.common import binary, pack, pick, prepare, unpack
 WINDOW, STRIDE = 24, 12
 SLOTS = 1 << 20
 #: Terms that more than this share of the passages hold weigh nothing.
-COMMON = 0.005
+COMMON = 0.01
 RANK, EXTRA = 256, 16
 #: Weight of the benchmark's passages in the decomposition, in corpora.
 ITEM_WEIGHT = 8.0
