@@ -15,8 +15,12 @@ answer (its last sentence). Windows that cannot reach the cosine, because too
 little of their weight lies on benchmark terms, are passed over; that bound is
 exact.
 
-The benchmark is a query set: it is dealt into blocks of bounded text, each of
-which is shipped to the tasks and held against all documents.
+The benchmark is a query set: it is dealt into parts of bounded text, each of
+which is shipped to the tasks and held against all documents. A part's passages
+are dealt into blocks with a latent space each, of higher rank than the block
+has passages, so that the space holds all of them nearly whole and a cosine in
+it is nearly the full one. The corpus is decomposed once for all blocks of a
+part, over the part's terms; a block takes its own terms of that.
 
 Null and empty texts have no passages; null or wordless items match nothing.
 Repeated rows are judged each by itself; an empty table or benchmark gives no
@@ -40,11 +44,15 @@ SLOTS = 1 << 20
 #: Terms that more than this share of the passages hold weigh nothing.
 COMMON = 0.01
 RANK, EXTRA = 256, 16
+#: Benchmark passages of a block; the rest of the rank is left to the corpus.
+PASSAGES = 192
 #: Weight of the benchmark's passages in the decomposition, in corpora.
 ITEM_WEIGHT = 8.0
 COSINE, SUBSEQUENCE, ANSWER = 0.3, 0.6, 0.6
 #: Benchmark text that is held against the corpus in one go, in bytes.
 ITEM_BYTES = 512 << 10
+#: Terms that more than this share of the passages hold are multiplied as dense columns.
+DENSE = 0.04
 _CHUNK = 1 << 20
 _ROOT = 0x9E3779B97F4A7C15
 _FOLDED = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 0 for c in range(256)], np.uint8)
@@ -147,7 +155,7 @@ def weights(frequency: np.ndarray, passages: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of benchmark items: their words, answers, and passages over the block's own terms."""
+    """Benchmark items: their words, answers, and a run of their passages over its own terms."""
 
     ids: list
     words: list[np.ndarray]
@@ -155,28 +163,46 @@ class Items:
     terms: np.ndarray
     owner: np.ndarray
     rows: np.ndarray
+    #: Place of the first item in the part of the benchmark.
+    base: int = 0
 
     @classmethod
-    def of(cls, ids: list, texts: list[bytes], idf: np.ndarray) -> Items:
+    def of(cls, ids: list, texts: list[bytes], idf: np.ndarray, passages: slice = slice(None), base: int = 0) -> Items:
         words = Words()
         split = [np.concatenate([np.zeros(0, np.uint64), *(h for *_, h in words.of([t]))]) for t in texts]
         last = [[s for s in re.split(rb"[.!?\n]+", t) if s.strip()][-1:] for t in texts]
         answers = [np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for *_, h in words.of(s))])) for s in last]
         every = np.concatenate([np.zeros(0, np.uint64), *split])
-        terms = np.unique(slot(every))
-        terms = terms[idf[terms] > 0]
         counts = np.array([len(w) for w in split], np.int64)
-        owner, start, end = windows(counts, STRIDE)
+        owner, start, end = (x[passages] for x in windows(counts, STRIDE))
+        slots = slot(every)
+        terms = np.unique(np.concatenate([np.zeros(0, np.int64), *(slots[a:b] for a, b in zip(start.tolist(), end.tolist()))]))
+        terms = terms[idf[terms] > 0]
         rows = np.zeros((len(owner), len(terms)), np.float32)
         place = np.full(SLOTS, -1)
         place[terms] = np.arange(len(terms))
-        at = place[slot(every)]
+        at = place[slots]
         for k, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
             inner = at[a:b][at[a:b] >= 0]
             np.add.at(rows[k], inner, idf[terms[inner]])
         norm = np.linalg.norm(rows, axis=1)
         keep = norm > 0
-        return cls(ids, split, answers, terms, owner[keep], rows[keep] / norm[keep, None])
+        return cls(ids, split, answers, terms, owner[keep], rows[keep] / norm[keep, None], base)
+
+    @classmethod
+    def blocks(cls, ids: list, texts: list[bytes], idf: np.ndarray) -> list[Items]:
+        """All passages in blocks of at most ``PASSAGES``; a longer item's passages lie in several blocks."""
+        words = Words()
+        counts = np.array([sum(int(c.sum()) for _, c, _ in words.of([t])) for t in texts], np.int64)
+        owner, *_ = windows(counts, STRIDE)
+        out = []
+        for part in np.array_split(np.arange(len(owner)), -(-len(owner) // PASSAGES)) if len(owner) else []:
+            first, last = int(owner[part[0]]), int(owner[part[-1]]) + 1
+            skip = int(part[0] - np.searchsorted(owner, first))
+            own = cls.of(ids[first:last], texts[first:last], idf, slice(skip, skip + len(part)), first)
+            if len(own.rows):
+                out.append(own)
+        return out
 
 
 def _test_matrix(terms: int) -> np.ndarray:
@@ -205,12 +231,14 @@ def _passage_weights(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> n
 
 def _sketch(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The task's share of A'(A W), and of the squared norm of A, in parts of the terms."""
-        idf, terms = shipped.value
+        """The task's share of A'(A W), and of the squared norm of A by term, in parts of the terms."""
+        idf, terms, dense = shipped.value
         test, words = _test_matrix(len(terms)), Words()
         place = np.full(SLOTS, -1, np.int32)
         place[terms] = np.arange(len(terms))
-        out, norm = np.zeros_like(test), 0.0
+        column = np.full(len(terms), -1, np.int32)
+        column[dense] = np.arange(len(dense))
+        out, norm = np.zeros_like(test), np.zeros(len(terms))
         for batch in batches:
             for _, counts, hashes in words.of(binary(batch.column("text")).to_pylist()):
                 _, start, end = windows(counts, WINDOW)
@@ -224,48 +252,80 @@ def _sketch(shipped):
                     continue
                 row = np.searchsorted(start, at, side="right") - 1
                 term, value = place[slots[at]], weight[at] / size[row].astype(np.float32)
-                norm += float((value * value).sum())
-                edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                seen = _group_sums(test[term] * value[:, None], edges)
-                dense = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(row))))
-                order = np.argsort(term, kind="stable")
-                cuts = np.flatnonzero(np.concatenate(([True], np.diff(term[order]) != 0)))
-                out[term[order][cuts]] += _group_sums(seen[dense[order]] * value[order, None], cuts)
+                norm += np.bincount(term, value * value, len(terms))
+                seen = np.zeros((len(start), test.shape[1]), np.float32)
+                col = column[term]
+                if len(dense):
+                    often = np.flatnonzero(col >= 0)
+                    held = np.bincount(row[often] * len(dense) + col[often], value[often], len(start) * len(dense))
+                    held = held.reshape(len(start), len(dense)).astype(np.float32)
+                    seen += held @ test[dense]
+                    seldom = np.flatnonzero(col < 0)
+                    row, term, value = row[seldom], term[seldom], value[seldom]
+                if len(row):
+                    edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                    seen[row[edges]] += _group_sums(test[term] * value[:, None], edges)
+                    order = np.argsort(term, kind="stable")
+                    cuts = np.flatnonzero(np.concatenate(([True], np.diff(term[order]) != 0)))
+                    out[term[order][cuts]] += _group_sums(seen[row[order]] * value[order, None], cuts)
+                if len(dense):
+                    out[dense] += held.T @ seen
         parts = [p.tobytes() for p in np.array_split(out, _DEAL)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(_DEAL), pa.int32()), pa.array(parts, pa.binary()), pa.array([norm] + [0.0] * (_DEAL - 1))], ["part", "body", "norm"]
-        )
+        norms = [p.tobytes() for p in np.array_split(norm, _DEAL)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_DEAL), pa.int32()), pa.array(parts, pa.binary()), pa.array(norms, pa.binary())], ["part", "body", "norm"])
 
     return run
 
 
 def _add_sketches(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in table.column("body").to_pylist())
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "body": pa.array([np.asarray(total, np.float32).tobytes()], pa.binary()), "norm": pa.array([sum(table.column("norm").to_pylist())])})
+    norm = sum(np.frombuffer(b) for b in table.column("norm").to_pylist())
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "body": pa.array([np.asarray(total, np.float32).tobytes()], pa.binary()), "norm": pa.array([np.asarray(norm, np.float64).tobytes()], pa.binary())})
+
+
+@dataclass
+class Corpus:
+    """The corpus passages over some terms: leading singular vectors times their values, and the squared norm by term."""
+
+    terms: np.ndarray
+    axes: np.ndarray
+    norm: np.ndarray
+
+    @classmethod
+    def of(cls, docs: DataFrame, terms: np.ndarray, idf: np.ndarray, often: np.ndarray | None = None) -> Corpus:
+        """``often``: which of the terms are multiplied as dense columns; the result is the same."""
+        spark = docs.sparkSession
+        schema = "part int, body binary, norm binary"
+        dense = np.flatnonzero(often) if often is not None else np.zeros(0, np.int64)
+        shipped = spark.sparkContext.broadcast((idf, terms, dense))
+        rows = docs.select("text").mapInArrow(_sketch(shipped), schema).groupBy("part").applyInArrow(_add_sketches, schema).toArrow()
+        test = _test_matrix(len(terms)).astype(float)
+        parts = sorted(zip(*(rows.column(c).to_pylist() for c in ("part", "body", "norm"))))
+        image = np.concatenate([np.zeros((0, test.shape[1])), *(np.frombuffer(b, np.float32).reshape(-1, test.shape[1]) for _, b, _ in parts)])
+        norm = np.concatenate([np.zeros(0), *(np.frombuffer(n) for *_, n in parts)])
+        if not image.any():
+            return cls(terms, np.zeros((len(terms), 0)), np.zeros(len(terms)))
+        # Nystroem form of the decomposition of A'A from its image of the test matrix.
+        shift = 1e-7 * np.linalg.norm(image)
+        image = image + shift * test
+        inner = test.T @ image
+        values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+        good = values > values.max() * 1e-10
+        left, sizes, _ = np.linalg.svd(image @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+        return cls(terms, left[:, :RANK] * sizes[:RANK], norm)
+
+    def space(self, items: Items) -> np.ndarray:
+        """The leading right singular vectors (terms x rank) of corpus and benchmark passages, over the items' terms."""
+        at = np.searchsorted(self.terms, items.terms)
+        share = ITEM_WEIGHT * max(self.norm[at].sum(), 1.0) / len(items.rows)
+        both = np.concatenate([self.axes[at], np.sqrt(share) * items.rows.T.astype(float)], axis=1)
+        left, sizes, _ = np.linalg.svd(both, full_matrices=False)
+        return left[:, :RANK][:, sizes[:RANK] > sizes[0] * 1e-6].astype(np.float32)
 
 
 def latent_space(docs: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
     """The leading right singular vectors (terms x rank) of corpus and benchmark passages."""
-    spark = docs.sparkSession
-    schema = "part int, body binary, norm double"
-    shipped = spark.sparkContext.broadcast((idf, items.terms))
-    rows = docs.select("text").mapInArrow(_sketch(shipped), schema).groupBy("part").applyInArrow(_add_sketches, schema).toArrow()
-    test = _test_matrix(len(items.terms)).astype(float)
-    parts = sorted(zip(rows.column("part").to_pylist(), rows.column("body").to_pylist()))
-    image = np.concatenate([np.zeros((0, test.shape[1])), *(np.frombuffer(b, np.float32).reshape(-1, test.shape[1]) for _, b in parts)])
-    if not len(image):
-        image = np.zeros_like(test)
-    energy = sum(rows.column("norm").to_pylist())
-    own = items.rows.astype(float)
-    image = image + ITEM_WEIGHT * max(energy, 1.0) / len(own) * (own.T @ (own @ test))
-    # Nystroem form of the decomposition of A'A from its image of the test matrix.
-    shift = 1e-7 * np.linalg.norm(image)
-    image = image + shift * test
-    inner = test.T @ image
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    good = values > values.max() * 1e-10
-    left, _, _ = np.linalg.svd(image @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return left[:, :RANK].astype(np.float32)
+    return Corpus.of(docs, items.terms, idf).space(items)
 
 
 def subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -284,18 +344,21 @@ def subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 @dataclass
 class Searcher:
-    """Held against the texts of a task: weights, items and their places in the latent space."""
+    """Held against the texts of a task: weights, a block of items and their places in the latent space."""
 
     idf: np.ndarray
     items: Items
     space: np.ndarray
 
     def __post_init__(self):
-        self.words = Words()
         self.place = np.full(SLOTS, -1, np.int32)
         self.place[self.items.terms] = np.arange(len(self.items.terms))
         latent = self.items.rows @ self.space
-        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        #: What one unit of a term adds to the cosine with each passage, by way of the latent space; and the most of that.
+        self.adds = self.space @ latent.T
+        self.reach = np.zeros(SLOTS, np.float32)
+        self.reach[self.items.terms] = np.abs(self.adds).max(axis=1, initial=0)
 
     def candidates(self, counts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, window start, window end, item) of each window and item whose passages are near enough."""
@@ -304,35 +367,49 @@ class Searcher:
             return
         slots = slot(hashes)
         weight = self.idf[slots]
-        square = weight * weight
-        ours = self.place[slots] >= 0
-        size = _passage_weights(start, end, square)
-        some = np.flatnonzero((_passage_weights(start, end, square * ours) >= COSINE**2 * size) & (size > 0))
+        size = np.sqrt(_passage_weights(start, end, weight * weight))
+        # A cosine cannot exceed what the window's terms add at most.
+        most = _passage_weights(start, end, weight * self.reach[slots])
+        some = np.flatnonzero((most >= COSINE * 0.9999 * size) & (size > 0))
         for at in range(0, len(some), 4096):
             part = some[at : at + 4096]
             lengths = end[part] - start[part]
             flat = np.arange(lengths.sum()) + np.repeat(start[part] - np.cumsum(lengths) + lengths, lengths)
             owner = np.repeat(np.arange(len(part)), lengths)
-            keep = ours[flat] & (weight[flat] > 0)
+            keep = (self.place[slots[flat]] >= 0) & (weight[flat] > 0)
             flat, owner = flat[keep], owner[keep]
-            seen = np.zeros((len(part), self.space.shape[1]), np.float32)
+            seen = np.zeros((len(part), self.adds.shape[1]), np.float32)
             if len(flat):
                 edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                seen[owner[edges]] = _group_sums(self.space[self.place[slots[flat]]] * weight[flat, None], edges)
-            # A cosine cannot exceed what the latent space holds of the window.
-            near = np.flatnonzero((seen * seen).sum(axis=1) >= COSINE**2 * size[part])
-            part, seen = part[near], seen[near]
-            cosine = seen @ self.latent.T / np.sqrt(size[part])[:, None]
-            for k, passage in np.argwhere(cosine >= COSINE):
+                seen[owner[edges]] = _group_sums(self.adds[self.place[slots[flat]]] * weight[flat, None], edges)
+            for k, passage in np.argwhere(seen >= COSINE * size[part][:, None]):
                 yield int(rows[part[k]]), int(start[part[k]]), int(end[part[k]]), int(self.items.owner[passage])
 
+
+@dataclass
+class Search:
+    """A part of the benchmark, held against the texts of a task block by block."""
+
+    blocks: list[Searcher]
+
+    def __post_init__(self):
+        self.words, self.ids, self.items = Words(), {}, {}
+        for b in self.blocks:
+            for k, (i, *held) in enumerate(zip(b.items.ids, b.items.words, b.items.answers), b.items.base):
+                self.ids[k], self.items[k] = i, held
+
+    def candidates(self, counts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        for b in self.blocks:
+            for row, start, end, item in b.candidates(counts, hashes):
+                yield row, start, end, item + b.items.base
+
     def leaks(self, texts: list[bytes | None]) -> list[list[tuple[int, float, float]]]:
         """Per text its items, each with the best share of its words and of its answer found in order."""
         found: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
         for first, counts, hashes in self.words.of(texts):
             begin = np.cumsum(counts) - counts
             for row, start, end, item in sorted(set(self.candidates(counts, hashes))):
-                words, answer = self.items.words[item], self.items.answers[item]
+                words, answer = self.items[item]
                 known = found[first + row].get(item)
                 if known and known[0] == 1.0:
                     continue
@@ -342,7 +419,7 @@ class Searcher:
                 told = float(np.isin(answer, around).mean()) if len(answer) else 1.0
                 if share >= SUBSEQUENCE and told >= ANSWER and (not known or share > known[0]):
                     found[first + row][item] = (share, told)
-        return [sorted((self.items.ids[k], *v) for k, v in f.items()) for f in found]
+        return [sorted((self.ids[k], *v) for k, v in f.items()) for f in found]
 
 
 _LEAK = "array<struct<item_id: long, common: double, answer: double>>"
@@ -352,7 +429,8 @@ def _search(shipped):
     @F.arrow_udf(_LEAK)
     def run(texts: pa.Array) -> pa.Array:
         if not hasattr(shipped, "searcher"):
-            shipped.searcher = Searcher(*shipped.value)
+            idf, blocks = shipped.value
+            shipped.searcher = Search([Searcher(idf, *b) for b in blocks])
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("common", pa.float64()), ("answer", pa.float64())]))
         made = shipped.searcher.leaks(binary(texts).to_pylist())
         return pa.array([[dict(zip(("item_id", "common", "answer"), x)) for x in row] for row in made], kind)
@@ -370,13 +448,16 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, out_col: str = "leaks", te
     found: list[Column] = []
     if blocks:
         texts = pick(docs, text=text_col)
-        idf = weights(*document_frequencies(texts))
+        frequency, passages = document_frequencies(texts)
+        idf = weights(frequency, passages)
         dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
         for block in range(blocks):
             rows = dealt.where(F.col("block") == block).orderBy("item_id", "text").collect()  # of bounded size, see ITEM_BYTES
-            own = Items.of([r["item_id"] for r in rows], [r["text"].encode() for r in rows], idf)
-            if len(own.rows):
-                shipped = spark.sparkContext.broadcast((idf, own, latent_space(texts, own, idf)))
+            own = Items.blocks([r["item_id"] for r in rows], [r["text"].encode() for r in rows], idf)
+            if own:
+                terms = np.unique(np.concatenate([b.terms for b in own]))
+                corpus = Corpus.of(texts, terms, idf, frequency[terms] > DENSE * passages)
+                shipped = spark.sparkContext.broadcast((idf, [(b, corpus.space(b)) for b in own]))
                 found.append(_search(shipped)(F.col(f"`{text_col}`")))
     leaks = F.concat(*found) if found else F.array().cast(_LEAK)
     return docs.withColumn(out_col, leaks)

@@ -298,6 +298,35 @@ def test_blocks_of_items_and_recall(make_docs, spark, monkeypatch):
     assert len(hits[0] & hits[1]) >= 0.9 * len(hits[1]) > 0
 
 
+def test_recall_of_a_large_benchmark(make_docs, spark):
+    """Far more passages than the rank of a latent space: all copies are found, and the candidates are those of full cosines."""
+    items = [(k, prose(20_000 + k, 15 + k % 45)) for k in range(900)]
+    docs = make_docs([(k, f"{prose(30_000 + k, k % 60)} {text} {prose(40_000 + k, 60)}") for k, text in items])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.with_leaks(docs, benchmark, "found").select("doc_id", "found.item_id").collect()
+    assert {i: got for i, got in found} == {k: [k] for k, _ in items}
+    idf = decontaminate.weights(*decontaminate.document_frequencies(docs))
+    blocks = decontaminate.Items.blocks([k for k, _ in items], [t.encode() for _, t in items], idf)
+    assert sum(len(b.rows) for b in blocks) > 4 * decontaminate.RANK and all(len(b.rows) < decontaminate.RANK for b in blocks)
+    corpus = decontaminate.Corpus.of(docs, np.unique(np.concatenate([b.terms for b in blocks])), idf)
+    ((_, counts, hashes),) = decontaminate.Words().of([r["text"].encode() for r in docs.select("text").collect()])
+    both = full = 0
+    for own in blocks:
+        got, want = (set(decontaminate.Searcher(idf, own, x).candidates(counts, hashes)) for x in (corpus.space(own), np.eye(len(own.terms), dtype=np.float32)))
+        both, full = both + len(got & want), full + len(want)
+    assert both >= 0.99 * full > 900
+
+
+def test_a_long_item_lies_in_several_blocks(make_docs, spark):
+    idf = np.ones(decontaminate.SLOTS, np.float32)
+    texts = [prose(1, 30).encode(), prose(2, 6000).encode(), prose(3, 40).encode()]
+    blocks = decontaminate.Items.blocks([7, 8, 9], texts, idf)
+    assert len(blocks) > 2 and all(len(b.rows) <= decontaminate.PASSAGES for b in blocks)
+    whole = decontaminate.Items.of([7, 8, 9], texts, idf)
+    assert [b.ids[k] for b in blocks for k in b.owner] == [whole.ids[k] for k in whole.owner]
+    assert np.isclose(sum(b.rows.sum() for b in blocks), whole.rows.sum())
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_subsequence(seed):
     draw = np.random.default_rng(seed)
