@@ -13,7 +13,9 @@ cosine to a benchmark passage is high enough, and checks each against the
 words around: the longest common subsequence with the item, and the item's
 answer (its last sentence). Windows that cannot reach the cosine, because too
 little of their weight lies on benchmark terms, are passed over; that bound is
-exact.
+exact. Where an item's words are so common that its copies weigh little beside
+the words around, cosines miss them; so runs of words that an item and a text
+share exactly are candidates too, whatever they weigh.
 
 The benchmark is a query set: it is dealt into parts of bounded text, each of
 which is shipped to the tasks and held against all documents. A part's passages
@@ -41,8 +43,8 @@ from gistworks.llm.common import binary, pack, pick, prepare, unpack
 
 WINDOW, STRIDE = 24, 12
 SLOTS = 1 << 20
-#: Terms that more than this share of the passages hold weigh nothing.
-COMMON = 0.01
+#: Words in a row that make a candidate by themselves; a shorter item is taken whole.
+GRAM = 8
 RANK, EXTRA = 256, 16
 #: Benchmark passages of a block; the rest of the rank is left to the corpus.
 PASSAGES = 192
@@ -147,10 +149,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def weights(frequency: np.ndarray, passages: int) -> np.ndarray:
-    """Inverse document frequency by slot; common terms weigh nothing."""
-    idf = np.log((passages + 1) / (frequency + 1)).astype(np.float32)
-    idf[frequency > max(COMMON * passages, 5)] = 0
-    return np.maximum(idf, 0)
+    """Smoothed inverse document frequency by slot; no term weighs nothing, however common."""
+    return (np.log((passages + 1) / (frequency + 1)) + 1).astype(np.float32)
 
 
 @dataclass
@@ -386,6 +386,53 @@ class Searcher:
                 yield int(rows[part[k]]), int(start[part[k]]), int(end[part[k]]), int(self.items.owner[passage])
 
 
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each ``n`` words in a row."""
+    out = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
+    for k in range(n):
+        out = (out ^ hashes[k : k + len(out)]) * np.uint64(_ROOT)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Grams:
+    """The word runs of all items of a part: of ``GRAM`` words, or of all words of a shorter item."""
+
+    def __init__(self, items: dict[int, np.ndarray]):
+        held: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, words in items.items():
+            if n := min(GRAM, len(words)):
+                held.setdefault(n, []).append((grams(words, n), k))
+        self.held = []
+        for n, some in sorted(held.items()):
+            keys = np.concatenate([g for g, _ in some])
+            item = np.concatenate([np.full(len(g), k) for g, k in some])
+            at = np.concatenate([np.arange(len(g)) for g, _ in some])
+            order = np.argsort(keys, kind="stable")
+            there = np.zeros(SLOTS, bool)
+            there[slot(keys)] = True
+            self.held.append((n, there, keys[order], item[order], at[order]))
+
+    def candidates(self, counts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, start, end, item), once for each run of matches in a row and each item."""
+        ends = np.cumsum(counts)
+        for n, there, keys, item, at in self.held:
+            found = grams(hashes, n)
+            some = np.flatnonzero(there[slot(found)])
+            row = np.searchsorted(ends, some, side="right")
+            inside = some + n <= ends[row]
+            some, row = some[inside], row[inside]
+            low, high = (np.searchsorted(keys, found[some], side) for side in ("left", "right"))
+            seen = set()
+            for k in np.flatnonzero(high > low).tolist():
+                for x in range(int(low[k]), int(high[k])):
+                    start = int(some[k])
+                    line = int(row[k]), int(item[x]), start - int(at[x])
+                    if line not in seen:
+                        seen.add(line)
+                        yield line[0], start, start + n, line[1]
+
+
 @dataclass
 class Search:
     """A part of the benchmark, held against the texts of a task block by block."""
@@ -397,11 +444,13 @@ class Search:
         for b in self.blocks:
             for k, (i, *held) in enumerate(zip(b.items.ids, b.items.words, b.items.answers), b.items.base):
                 self.ids[k], self.items[k] = i, held
+        self.grams = Grams({k: words for k, (words, _) in self.items.items()})
 
     def candidates(self, counts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         for b in self.blocks:
             for row, start, end, item in b.candidates(counts, hashes):
                 yield row, start, end, item + b.items.base
+        yield from self.grams.candidates(counts, hashes)
 
     def leaks(self, texts: list[bytes | None]) -> list[list[tuple[int, float, float]]]:
         """Per text its items, each with the best share of its words and of its answer found in order."""

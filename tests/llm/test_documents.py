@@ -317,6 +317,24 @@ def test_recall_of_a_large_benchmark(make_docs, spark):
     assert both >= 0.99 * full > 900
 
 
+@pytest.mark.parametrize("every", (1, 3, 5))
+def test_a_frequent_item_is_found_everywhere(make_docs, spark, every):
+    """An item that a fifth, a third or all of the documents hold does not hide itself."""
+    items = [(k, prose(100 + k, n)) for k, n in enumerate((34, 15, 5))]
+    docs = [(k, f"{prose(5000 + k, 40 + k % 30)} {items[k % 9 % 3][1] if k % every == 0 else ''} {prose(8000 + k, 40)}") for k in range(300)]
+    found = decontaminate.with_leaks(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), "found")
+    want = {k: [k % 9 % 3] if k % every == 0 else [] for k, _ in docs}
+    assert {r["doc_id"]: [x["item_id"] for x in r["found"]] for r in found.collect()} == want
+    same = make_docs([(k, items[0][1]) for k in range(50)])
+    assert all([x["item_id"] for x in r["found"]] == [0] for r in decontaminate.with_leaks(same, spark.createDataFrame(items, "item_id long, text string"), "found").collect())
+
+
+def test_word_runs_do_not_cross_rows():
+    ((_, words, item),) = decontaminate.Words().of([b"a b c d e f g h i j"])
+    ((_, counts, hashes),) = decontaminate.Words().of([b"x a b c d e", b"f g h i j", b"", b"y b c d e f g h i z"])
+    assert list(decontaminate.Grams({4: item}).candidates(counts, hashes)) == [(3, 12, 20, 4)]
+
+
 def test_a_long_item_lies_in_several_blocks(make_docs, spark):
     idf = np.ones(decontaminate.SLOTS, np.float32)
     texts = [prose(1, 30).encode(), prose(2, 6000).encode(), prose(3, 40).encode()]
