@@ -76,8 +76,31 @@ def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) ->
     return out[::-1]
 
 
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and each beginning of ``b``."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def _subsequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, in linear memory (Hirschberg)."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a1 - a0 == 1:
+            out += [(a0, b0 + int(k)) for k in np.flatnonzero(b[b0:b1] == a[a0])[:1]]
+        elif a1 > a0 and b1 > b0:
+            mid = (a0 + a1) // 2
+            ahead, behind = _last_row(a[a0:mid], b[b0:b1]), _last_row(a[mid:a1][::-1], b[b0:b1][::-1])
+            cut = b0 + int(np.argmax(ahead + behind[::-1]))
+            todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+    return sorted(out)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions of two sequences of line hashes, by patience diff."""
+    """Aligned positions of two sequences of line hashes, by patience diff; by an LCS where no common line is unique."""
     found = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -92,6 +115,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         inner = _anchors(a, b, a0, a1, b0, b1)
         if not inner:
+            both = set(a[a0:a1]) & set(b[b0:b1])
+            at_a, at_b = ([k for k in range(lo, hi) if s[k] in both] for s, lo, hi in ((a, a0, a1), (b, b0, b1)))
+            pairs = _subsequence(np.array([a[k] for k in at_a], np.int64), np.array([b[k] for k in at_b], np.int64))
+            found += [(at_a[x], at_b[y]) for x, y in pairs]
             continue
         found += inner
         at_a, at_b = a0, b0
@@ -102,7 +129,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Positions of ``b`` in runs of aligned lines that have at least ``least`` words."""
+    """Positions of ``b`` in runs of aligned lines that have at least ``least`` words, and all copies of their lines that have as many alone."""
     out, run, before = [], [], None
     for pair in [*patience(a, b), None]:
         if pair is None or before is None or pair != (before[0] + 1, before[1] + 1):
@@ -112,7 +139,8 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> l
         if pair:
             run.append(pair[1])
         before = pair
-    return out
+    alone = {b[k] for k in out if words[k] >= least}
+    return sorted({*out, *(k for k, x in enumerate(b) if x in alone and words[k] >= least)})
 
 
 def _align(least: int):

@@ -117,6 +117,27 @@ def test_patience_is_an_alignment(seed):
     assert len(lines.patience(a, a)) == len(a)
 
 
+def test_repeated_lines_of_a_shared_passage_go(make_docs):
+    """No common line is unique in the later document; all of its copies go, short lines among its own stay."""
+    p, q, own = prose(51, 50), prose(52, 20), [prose(60 + k, 9) for k in range(4)]
+    rows = [(1, "\n".join([own[0], p, q])), (2, "\n".join([own[1], p, "x", p, own[2], q, own[3], q, p]))]
+    kept = dict(r[:2] for r in lines.dedup_lines(make_docs(rows)).select("doc_id", "text").collect())
+    assert kept == {1: rows[0][1], 2: "\n".join([own[1], "x", own[2], own[3]])}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_ranges_without_unique_lines_are_aligned(seed):
+    draw = random.Random(seed)
+    a, b = ([x for _ in range(draw.randint(1, 8)) for x in [draw.randint(0, 3)] * 2] for _ in range(2))
+    table = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+    found = lines._subsequence(np.array(a), np.array(b))
+    assert len(found) == table[-1, -1] and all(a[x] == b[y] for x, y in found)
+    assert all(v[0] < w[0] and v[1] < w[1] for v, w in zip(found, found[1:]))
+
+
 # Quality.
 
 
