@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gistworks.llm import bpe, chat, decontaminate, lines, lm, quality, sharding, simhash, toxicity, wordpiece
+from gistworks.llm import bpe, chat, decontaminate, lines, lm, merkle, quality, sharding, simhash, toxicity, wordpiece
 
 
 #: Scores from which a text counts as toxic.
@@ -88,8 +88,18 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(docs, ~F.col("held_out"), keep={"held_out": "held_out"})
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves, proofs and what the proofs say of rows of which a fifth was tampered with."""
+    docs = _table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf_digest([merkle.without_capitals(F.col(c)) if c == "text" else F.col(c) for c in fields])
+    made, root = merkle.manifest(docs, fields, "source", "doc_id", F.when(_fold(5) == 0, tampered), "digest", {"doc_id": "doc_id"})
+    top = F.lit(root).cast("string")
+    return made.select("doc_id", "leaf", "subroot", top.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == top).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+    return {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm, "op11_merkle": op11_merkle}
 
 
 _CHAT_SQL = """
@@ -131,16 +141,24 @@ def _descend_sql(shards: int) -> str:
     return at
 
 
-_SHARD_SQL = f"""
-WITH crc_table AS (
+_CRC_TABLE_SQL = """crc_table AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
     lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
-), keys AS (
+)"""
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, where ``crc_table`` is joined."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+
+_SHARD_SQL = f"""
+WITH {_CRC_TABLE_SQL}, keys AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents
 ), sized AS (
   SELECT rid, doc_id, strlen(text) + 16 AS size,
-    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+    {_crc_sql("text")} AS text_crc32
   FROM keys, crc_table
 ), placed AS (
   SELECT s.*, a.node AS shard, b.node AS grown_shard
@@ -152,5 +170,57 @@ FROM placed
 """
 
 
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RISE_SQL = "list_transform(range((len(nodes) + 15) // 16), lambda k: sha256(array_to_string(nodes[k * 16 + 1:k * 16 + 16], '')))"
+_MERKLE_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE_SQL}, leaves AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql(f"translate(text, {_CAPITALS})")} AS lowered,
+    coalesce({_crc_sql("doc_id::VARCHAR")} % 5 = 0, false) AS tampered
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+), levels AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, {_RISE_SQL} FROM levels WHERE len(nodes) > 1
+), subroots AS (
+  SELECT source, level, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM levels WHERE len(nodes) = 1
+), crown AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, {_RISE_SQL} FROM crown WHERE len(nodes) > 1
+), paths AS (
+  SELECT l.source, l.level, l.nodes, false AS above FROM levels l WHERE len(l.nodes) > 1
+  UNION ALL
+  SELECT s.source, s.level + c.level, c.nodes, true FROM subroots s, crown c WHERE len(c.nodes) > 1
+), steps AS (
+  SELECT p.doc_id, p.source, p.pos, w.level, (CASE WHEN w.above THEN s.place >> (4 * (w.level - s.level)) ELSE p.pos >> (4 * w.level) END)::BIGINT AS own, w.nodes
+  FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source JOIN paths w ON p.source IS NOT DISTINCT FROM w.source
+), siblings AS (
+  SELECT source, pos, level, array_to_string(nodes[(own // 16) * 16 + 1:own], '') AS before,
+    array_to_string(nodes[own + 2:(own // 16) * 16 + 16], '') AS after FROM steps
+), folded AS (
+  SELECT source, pos, 0::BIGINT AS level, CASE WHEN tampered THEN lowered ELSE leaf END AS digest FROM placed
+  UNION ALL
+  SELECT f.source, f.pos, f.level + 1, sha256(g.before || f.digest || g.after)
+  FROM folded f JOIN siblings g ON f.source IS NOT DISTINCT FROM g.source AND f.pos = g.pos AND f.level = g.level
+), ends AS (
+  SELECT source, pos, arg_max(digest, level) AS folded_root FROM folded GROUP BY source, pos
+), proofs AS (
+  SELECT source, pos, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256 FROM siblings GROUP BY source, pos
+)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
+FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
+JOIN ends e ON p.source IS NOT DISTINCT FROM e.source AND p.pos = e.pos
+LEFT JOIN proofs q ON p.source IS NOT DISTINCT FROM q.source AND p.pos = q.pos
+CROSS JOIN (SELECT nodes[1] AS root FROM crown WHERE len(nodes) = 1) r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": _SHARD_SQL, "op8_chat": _CHAT_SQL}
+    return {"op4_sharding": _SHARD_SQL, "op8_chat": _CHAT_SQL, "op11_merkle": _MERKLE_SQL}
