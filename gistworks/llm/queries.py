@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gistworks.llm import bpe, chat, decontaminate, lines, lm, merkle, quality, sharding, simhash, toxicity, wordpiece
+from gistworks.llm import bpe, chat, decontaminate, lines, lm, merkle, prefixes, quality, sharding, simhash, toxicity, wordpiece
 
 
 #: Scores from which a text counts as toxic.
@@ -98,8 +98,14 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", top.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == top).alias("verified"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie over conversations whose first 0 to 5 turns are those of their hundred's first."""
+    turns, _ = prefixes.numbered(_table(spark, folder, "conversations"))
+    return prefixes.trie(*prefixes.rebuilt(turns, lambda c: c - c % 100, lambda c: F.crc32(c.cast("string")) % 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm, "op11_merkle": op11_merkle}
+    return {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm, "op11_merkle": op11_merkle, "op13_prefix_trie": op13_prefix_trie}
 
 
 _CHAT_SQL = """
@@ -222,5 +228,38 @@ CROSS JOIN (SELECT nodes[1] AS root FROM crown WHERE len(nodes) = 1) r
 """
 
 
+_TRIE_SQL = f"""
+WITH {_CRC_TABLE_SQL}, own AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, length(coalesce(text, '')) AS len,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own), crc_table
+), lists AS (
+  SELECT conv_id, list(key ORDER BY pos) AS keys, list(len ORDER BY pos) AS lens FROM own GROUP BY conv_id
+), whole AS (
+  SELECT c.conv_id, coalesce(b.keys[1:h], []) || o.keys[h + 1:] AS keys, coalesce(b.lens[1:h], []) || o.lens[h + 1:] AS lens
+  FROM convs c JOIN lists o USING (conv_id) LEFT JOIN lists b ON b.conv_id = c.base
+), paths AS (
+  SELECT conv_id, len(keys) AS n, d AS depth, md5(array_to_string(keys[1:d], ',')) AS node, md5(array_to_string(keys[1:d - 1], ',')) AS above, lens[d] AS len
+  FROM (SELECT *, unnest(range(len(keys) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT depth, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(coalesce(len, 0)) AS len,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM paths GROUP BY depth, node
+), children AS (
+  SELECT depth - 1 AS depth, above AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), subtrees AS (
+  SELECT p.depth, p.node, sum((x.n_convs - 1) * x.len) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes x JOIN paths p ON p.conv_id = x.conv_id AND p.depth <= x.depth LEFT JOIN children c ON c.depth = x.depth AND c.node = x.node
+  GROUP BY p.depth, p.node
+)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(c.n, 0) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN subtrees s ON s.depth = x.depth AND s.node = x.node
+LEFT JOIN nodes u ON x.depth > 0 AND u.depth = x.depth - 1 AND u.node = x.above
+LEFT JOIN children c ON c.depth = x.depth AND c.node = x.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": _SHARD_SQL, "op8_chat": _CHAT_SQL, "op11_merkle": _MERKLE_SQL}
+    return {"op4_sharding": _SHARD_SQL, "op8_chat": _CHAT_SQL, "op11_merkle": _MERKLE_SQL, "op13_prefix_trie": _TRIE_SQL}
