@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gistworks.llm import bpe, chat, decontaminate, lines, lm, merkle, prefixes, quality, sharding, simhash, toxicity, wordpiece
+from gistworks.llm import bpe, chat, decontaminate, lines, lm, merkle, prefixes, quality, repeats, sharding, simhash, toxicity, wordpiece
 
 
 #: Scores from which a text counts as toxic.
@@ -98,6 +98,10 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", top.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == top).alias("verified"))
 
 
+def op12_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, folder, "documents"), 50, form="digest")
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the trie over conversations whose first 0 to 5 turns are those of their hundred's first."""
     turns, _ = prefixes.numbered(_table(spark, folder, "conversations"))
@@ -105,7 +109,7 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm, "op11_merkle": op11_merkle, "op13_prefix_trie": op13_prefix_trie}
+    return {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm, "op11_merkle": op11_merkle, "op12_repeats": op12_repeats, "op13_prefix_trie": op13_prefix_trie}
 
 
 _CHAT_SQL = """
