@@ -1,6 +1,6 @@
-"""BERTScore over stored token vectors (Zhang et al. 2020), without idf or rescaling.
+"""BERTScore (Zhang et al. 2020), without idf or rescaling: over stored token vectors, or over two arrays.
 
-Input rows are tokens: pair_id, side (0 prediction, 1 reference), pos, v. The
+Stored vectors are rows: pair_id, side (0 prediction, 1 reference), pos, v. The
 position is unique inside a side, so cutting it into blocks bounds a block by
 the block size however long a text is.
 """
@@ -21,6 +21,27 @@ def _unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
     return rows / np.where(norms == 0.0, 1.0, norms)
 
 
+def match(prediction: np.ndarray, reference: np.ndarray, block: int = BLOCK) -> tuple[float, float, float]:
+    """(precision, recall, f) of two (tokens x dimensions) arrays; a side without tokens scores 0.
+
+    Cosines are made ``block`` by ``block`` tokens at a time, so that a pair of
+    long texts holds no more of them at once.
+    """
+    n, m = len(prediction), len(reference)
+    if not n or not m:
+        return 0.0, 0.0, 0.0
+    p, r = (_unit_rows(x, np.shape(x)[1]) for x in (prediction, reference))
+    best_p, best_r = np.full(n, -np.inf), np.full(m, -np.inf)
+    for a in range(0, n, block):
+        for b in range(0, m, block):
+            cosines = p[a : a + block] @ r[b : b + block].T
+            np.maximum(best_p[a : a + block], cosines.max(axis=1), out=best_p[a : a + block])
+            np.maximum(best_r[b : b + block], cosines.max(axis=0), out=best_r[b : b + block])
+    precision, recall = float(best_p.mean()), float(best_r.mean())
+    both = precision + recall
+    return precision, recall, 2 * precision * recall / both if both else 0.0
+
+
 _MAXIMA = T.StructType(
     [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("p", "r")]
 )

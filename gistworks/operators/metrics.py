@@ -13,9 +13,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gistworks.operators.bertscore import PREDICTION, REFERENCE, bertscore_pairs
+from gistworks.operators.bertscore import BLOCK, bertscore_pairs, match
 from gistworks.operators.joins import keys_of
 from gistworks.operators.rouge import VARIANTS, rouge_scores
+from gistworks.session import materialize
 
 Metric = Callable[[DataFrame], DataFrame]
 #: Called once per task; turns a batch of texts into one (tokens x dimensions) array each.
@@ -44,31 +45,32 @@ def bertscore_metric(vectors: DataFrame) -> DataFrame:
     return _to_rows(scores, {c: c for c in ("precision", "recall", "f")})
 
 
-def encoded_bertscore(encoder: EncoderFactory, batch_size: int = 32) -> Metric:
-    """BERTScore over texts: the encoder gives the vectors, a token a row."""
+def encoded_bertscore(encoder: EncoderFactory, batch_size: int = 32, block: int = BLOCK) -> Metric:
+    """BERTScore over texts: the encoder gives a text's vectors, a token a row.
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A pair is encoded and matched in the same pass, so no vector leaves its
+    task. The distinct texts of ``batch_size`` pairs are encoded together, each
+    once; a null text counts as empty. Vectors of that many pairs are held, and
+    cosines of ``block`` by ``block`` tokens.
+    """
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
-                for side, column in ((PREDICTION, "prediction"), (REFERENCE, "reference")):
-                    arrays = encode([t or "" for t in part.column(column).to_pylist()])
-                    sizes = np.array([len(a) for a in arrays])
-                    rows = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                    places = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else sizes
-                    flat = [v for a in arrays for v in np.asarray(a, np.float32)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("pair_id").take(rows), pa.array(np.full(len(rows), side), pa.int32()), pa.array(places, pa.int64()), pa.array(flat, pa.list_(pa.float32()))],
-                        ["pair_id", "side", "pos", "v"],
-                    )
+                sides = [[t or "" for t in part.column(c).to_pylist()] for c in ("prediction", "reference")]
+                texts = list(dict.fromkeys(t for side in sides for t in side))
+                vectors = dict(zip(texts, encode(texts), strict=True))
+                found = [match(vectors[p], vectors[r], block) for p, r in zip(*sides)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("run_id"), *(pa.array(c, pa.float64()) for c in zip(*found))], ["run_id", "precision", "recall", "f"]
+                )
 
     def score(pairs: DataFrame) -> DataFrame:
-        rows = pairs.select(F.struct("run_id", *keys_of(pairs)).alias("pair_id"), "prediction", "reference")
-        kind = rows.schema["pair_id"].dataType.simpleString()
-        made = rows.mapInArrow(vectors, f"pair_id {kind}, side int, pos long, v array<float>")
-        scores = bertscore_pairs(made, pairs=rows).withColumn("run_id", F.col("pair_id.run_id"))
-        return _to_rows(scores, {c: c for c in ("precision", "recall", "f")})
+        rows = pairs.select("run_id", "prediction", "reference")
+        kind = rows.schema["run_id"].dataType.simpleString()
+        return _to_rows(rows.mapInArrow(scored, f"run_id {kind}, precision double, recall double, f double"), {c: c for c in ("precision", "recall", "f")})
 
     return score
 
@@ -109,7 +111,10 @@ def multi_metric_report(metrics: dict[str, Metric], inputs: DataFrame | dict[str
     """(run_id, metric, variant, value): the mean of every metric over each run.
 
     ``inputs`` are the pairs that all metrics read, or the rows each one reads.
+    Pairs that several metrics read are stored once, not made again for each.
     """
+    if isinstance(inputs, DataFrame) and len(metrics) > 1:
+        inputs = materialize(inputs, "pairs")
     report = None
     for name, metric in metrics.items():
         means = metric(inputs[name] if isinstance(inputs, dict) else inputs).groupBy("run_id", "variant").agg(F.avg("value").alias("value"))

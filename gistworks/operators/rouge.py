@@ -1,8 +1,8 @@
 """ROUGE of prediction and reference pairs (Lin 2004).
 
-Rows are keyed; ``keys`` must identify a pair. N-gram overlap needs one
-shuffle, of whole rows by key before the explode: the two aggregations that
-follow find their groups in place. Stems and subsequences are measured row by
+Every row is scored by itself, repeated keys too. N-gram overlap needs one
+shuffle, of whole rows by key and row before the explode: the two aggregations
+that follow find their groups in place. Stems and subsequences are measured row by
 row in one Arrow pass, which then counts the n-grams too.
 """
 
@@ -20,6 +20,7 @@ from gistworks.functions.porter import stem_token
 from gistworks.functions.text import bigrams, tokens
 from gistworks.functions.tokenizer import TOKEN_PATTERN
 from gistworks.operators.joins import keys_of
+from gistworks.operators.resample import bootstrap_intervals
 
 VARIANTS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 _NGRAM = {"rouge1", "rouge2"}
@@ -81,17 +82,17 @@ def rouge_counts(
         found = pairs.select(*keys, measure(F.lower("prediction"), F.lower("reference")).alias("m"))
         return found.select(*keys, "m.*")
 
-    # Several keys travel as one column: a constant among them, such as the name
-    # of a single run, would otherwise be folded away from the shuffle but not
-    # from the grouping, which would then shuffle again.
-    alone = len(keys) == 1
-    key = F.col(keys[0]) if alone else F.struct(*keys)
+    # Keys travel as one column, with the row's number, as keys may repeat. A
+    # constant among them, such as the name of a single run, would otherwise be
+    # folded away from the shuffle but not from the grouping, which would then
+    # shuffle again.
+    key = F.struct(*keys, F.monotonically_increasing_id().alias("_row"))
     rows = pairs.select(key.alias("key"), "prediction", "reference").repartition("key")
     rows = rows.withColumns({n: F.coalesce(tokens(F.col(c)), F.array()) for n, c in _SIDES.items()})
     rows = rows.withColumns({f"{c}_tokens": F.size(n).cast("long") for n, c in (("p", "pred"), ("r", "ref"))})
     carried = ["pred_tokens", "ref_tokens"]
     counted = _count_grams(rows, list(variants), carried)
-    back = [F.col("key" if alone else f"key.{k}").alias(k) for k in keys]
+    back = [F.col(f"key.{k}").alias(k) for k in keys]
     return counted.select(*back, *carried, *variants)
 
 
@@ -165,3 +166,20 @@ def rouge_corpus(
     """One F value per run and variant: the mean over the run's pairs."""
     scores = rouge_scores(pairs, (run, *keys_of(pairs, keys=keys)), variants, use_stemmer)
     return scores.groupBy(run).agg(*[F.avg(f"{v}_f").alias(v) for v in variants])
+
+
+def rouge_interval(
+    pairs: DataFrame,
+    variants: Sequence[str] = VARIANTS,
+    use_stemmer: bool = True,
+    run: str = "run_id",
+    keys: Sequence[str] | None = None,
+    resamples: int = 1000,
+    level: float = 0.95,
+    seed: str = "bootstrap",
+) -> DataFrame:
+    """(run, variant, low, mean, high, resamples): the run's mean F and its bootstrap interval, from one pass over the texts."""
+    keys = keys_of(pairs, keys=keys)
+    scores = rouge_scores(pairs, (run, *keys), variants, use_stemmer)
+    values = scores.select(run, *keys, *[F.col(f"{v}_f").alias(v) for v in variants])
+    return bootstrap_intervals(values, variants, run, keys, resamples, level, seed)

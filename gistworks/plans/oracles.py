@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from gistworks.functions.text import ANSWER_MARKER, CHAT_BUDGET, INSTRUCTION, TEXT_MARKER
 from gistworks.functions.tokenizer import UP_TO_TOKEN
-from gistworks.plans.queries import ENC_MAX_LEN, GEN_MAX_LEN, VOCAB_SIZE
+from gistworks.operators.resample import PRIME, thresholds
+from gistworks.plans.queries import ENC_MAX_LEN, GEN_MAX_LEN, SEED, VOCAB_SIZE
 
 _VIEWS = {
     "pairs": """
@@ -272,6 +273,49 @@ def _resumed(text: str, source: str) -> str:
       FROM {source}"""
 
 
+def _intervals(variants: tuple[str, ...], resamples: int, tail: int) -> str:
+    """Means of the aligned runs and the bounds of their resampled means."""
+    scores = " UNION ALL ".join(f"SELECT run_id, id, '{v}' AS variant, {_f(v)} AS x FROM t LEFT JOIN {_HITS[v]} USING (run_id, id)" for v in variants)
+    number = lambda text, below: f"('0x' || substr(md5({text}), 1, 15))::BIGINT % {below}"
+    weight = " + ".join(f"(u >= {t})::INT" for t in thresholds())
+    toks = {"t": f"SELECT run_id, id, {_tokens('prediction')} AS p, {_tokens('reference')} AS r FROM aligned"}
+    ctes = toks | _hit_ctes(variants, "t", "run_id, id") | {
+        "scored": f"SELECT *, {number('id::VARCHAR', PRIME)} AS k FROM ({scores})",
+        "draws": f"SELECT b, 1 + {number(f"'{SEED}:a:' || b", PRIME - 1)} AS a, {number(f"'{SEED}:c:' || b", PRIME)} AS c FROM range(1, {resamples + 1}) AS x(b)",
+        "weighed": f"SELECT run_id, variant, b, x, {weight} AS w FROM (SELECT *, (a * k + c) % {PRIME} AS u FROM scored, draws)",
+        "drawn": "SELECT run_id, variant, list_sort(list(m)) AS l FROM (SELECT run_id, variant, b, sum(w * x) / sum(w) AS m FROM weighed "
+        "WHERE w > 0 GROUP BY ALL) GROUP BY ALL",
+        "plain": "SELECT run_id, variant, avg(x) AS mean FROM scored GROUP BY ALL",
+    }
+    at = lambda part: f"round(l[greatest(1, (len(l) * {part} + 999) // 1000)], 6)"
+    return _with(
+        f"SELECT run_id, variant, {at(tail)} AS low, round(mean, 6) AS mean, {at(1000 - tail)} AS high, len(l)::BIGINT AS resamples FROM drawn JOIN plain USING (run_id, variant)",
+        ctes,
+    )
+
+
+_LETTERS = "[length(x), ascii(x[1]) % 7 + 1, ascii(x[-1]) % 5 + 1]::FLOAT[]"
+
+
+def _letter_matches(scored: str) -> dict[str, str]:
+    """CTE ``letters``: precision, recall and f per run by vectors of a token's letters.
+
+    ``scored`` has run_id, id and the tokens p and r. Tokens with one vector
+    match alike, so each distinct vector is matched once and counted.
+    """
+    vectors = lambda side: f"SELECT run_id, id, v, count(*) AS n FROM (SELECT run_id, id, unnest(list_transform({side}, lambda x: {_LETTERS})) AS v FROM {scored}) GROUP BY ALL"
+    best = lambda a, b: (
+        f"SELECT run_id, id, sum(n * best) / sum(n) AS value FROM (SELECT run_id, id, a.v, any_value(a.n) AS n, max(list_cosine_similarity(a.v, b.v)) AS best "
+        f"FROM {a} a JOIN {b} b USING (run_id, id) GROUP BY run_id, id, a.v) GROUP BY run_id, id"
+    )
+    return {
+        "pv": vectors("p"), "rv": vectors("r"), "bp": best("pv", "rv"), "br": best("rv", "pv"),
+        "matched": f"SELECT run_id, coalesce(bp.value, 0) AS precision, coalesce(br.value, 0) AS recall FROM {scored} LEFT JOIN bp USING (run_id, id) LEFT JOIN br USING (run_id, id)",
+        "letters": "SELECT run_id, avg(precision) AS precision, avg(recall) AS recall, avg(CASE WHEN precision + recall = 0 "
+        "THEN 0 ELSE 2 * precision * recall / (precision + recall) END) AS f FROM matched GROUP BY run_id",
+    }
+
+
 def _configured(variants: tuple[str, ...]) -> str:
     """The configured evaluation: the first ids of arxiv's test texts, by ROUGE and by letter vectors."""
     name = f"'lead-arxiv-{ENC_MAX_LEN}'"
@@ -279,14 +323,7 @@ def _configured(variants: tuple[str, ...]) -> str:
         f"SELECT {name} AS run_id, id, firsts.text AS prediction, summary AS reference FROM firsts JOIN admitted USING (id) "
         "WHERE dataset = 'arxiv' AND split = 'test'"
     )
-    vector = "[length(x), ascii(x[1]) % 7 + 1, ascii(x[-1]) % 5 + 1]::FLOAT[]"
-    best = lambda a, b: f"coalesce(list_avg(list_transform({a}, lambda s: list_max(list_transform({b}, lambda u: list_cosine_similarity(s, u))))), 0)"
-    ctes = {"firsts": _decoded("text", GEN_MAX_LEN)} | _run_scores_ctes(variants, scored) | {
-        "vectors": f"SELECT run_id, list_transform(p, lambda x: {vector}) AS p, list_transform(r, lambda x: {vector}) AS r FROM t",
-        "matched": f"SELECT run_id, {best('p', 'r')} AS precision, {best('r', 'p')} AS recall FROM vectors",
-        "letters": "SELECT run_id, avg(precision) AS precision, avg(recall) AS recall, avg(CASE WHEN precision + recall = 0 "
-        "THEN 0 ELSE 2 * precision * recall / (precision + recall) END) AS f FROM matched GROUP BY run_id",
-    }
+    ctes = {"firsts": _decoded("text", GEN_MAX_LEN)} | _run_scores_ctes(variants, scored) | _letter_matches("t")
     rouge = " UNION ALL ".join(f"SELECT run_id, 'rouge' AS metric, '{v}' AS variant, round({v}, 5) AS value FROM run_means" for v in variants)
     letters = " UNION ALL ".join(f"SELECT run_id, 'bertscore', '{c}', round({c}, 5) FROM letters" for c in ("precision", "recall", "f"))
     return _with(f"{rouge} UNION ALL {letters}", ctes)
@@ -491,6 +528,10 @@ def oracle_sql() -> dict[str, str]:
         _ENCODED,
     )
     out["evaluate_config"] = _configured(ngrams)
+    out["rouge_interval"] = _intervals(ngrams, 1000, 25)
+    spelled = {"spelled": f"SELECT 'letters-' || (id % 5) AS run_id, id, {_tokens('prediction')} AS p, {_tokens('summary')} AS r FROM pairs"}
+    each = " UNION ALL ".join(f"SELECT run_id, '{c}' AS variant, round({c}, 5) AS value FROM letters" for c in ("precision", "recall", "f"))
+    out["bertscore_texts"] = _with(each, spelled | _letter_matches("spelled"))
     ctes = _run_scores_ctes(ngrams, "SELECT * FROM aligned")
     out["multi_metric_report"] = _with(
         """SELECT run_id, 'rouge' AS metric, 'rouge1' AS variant, rouge1 AS value FROM run_means

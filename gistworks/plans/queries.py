@@ -23,6 +23,7 @@ VOCAB_SIZE = 8000
 ENC_MAX_LEN = 512
 GEN_MAX_LEN = 64
 NGRAMS = ("rouge1", "rouge2")
+SEED = "bootstrap"
 UNSTEMMED = ("rouge1", "rouge2", "rougeL")
 
 
@@ -556,6 +557,20 @@ def rouge_corpus_ngrams(v: Views) -> DataFrame:
     return _scores(rouge.rouge_corpus(_aligned(v), NGRAMS, False))
 
 
+@query
+def rouge_interval(v: Views) -> DataFrame:
+    found = rouge.rouge_interval(_aligned(v), NGRAMS, False, seed=SEED)
+    return found.select("run_id", "variant", _r6("low"), _r6("mean"), _r6("high"), "resamples")
+
+
+@query
+def bertscore_texts(v: Views) -> DataFrame:
+    """Texts encoded and matched in one pass."""
+    pairs = _scored_pairs(v).withColumn("run_id", F.concat(F.lit("letters-"), (F.col("id") % 5).cast("string")))
+    report = metrics.multi_metric_report({"bertscore": metrics.encoded_bertscore(letter_encoder)}, pairs)
+    return report.select("run_id", "variant", F.round("value", 5).alias("value"))
+
+
 @query
 def bertscore_pair(v: Views) -> DataFrame:
     scores = bertscore.bertscore_pairs(v.token_vectors())

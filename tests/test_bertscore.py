@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from gistworks.operators.bertscore import bertscore_corpus, bertscore_pairs
-from gistworks.operators.metrics import bertscore_metric
+from gistworks.operators.bertscore import bertscore_corpus, bertscore_pairs, match
+from gistworks.operators.metrics import bertscore_metric, encoded_bertscore, multi_metric_report
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,51 @@ def test_a_listed_pair_without_tokens_scores_zero(spark, vectors):
     pairs = spark.createDataFrame([(0,), (9,)], "pair_id long")
     got = {r["pair_id"]: tuple(r)[1:] for r in bertscore_pairs(vectors, pairs=pairs).collect()}
     assert got[9] == (0.0, 0.0, 0.0) and got[3] == (0.0, 0.0, 0.0) and len(got) == 6
+
+
+def spell(text):
+    """A vector for each word, by its letters."""
+    rng = [np.random.default_rng(sum(map(ord, w))).normal(size=6) for w in text.split()]
+    return np.array(rng, np.float32).reshape(-1, 6)
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_blocks_of_a_match(block):
+    p, r = spell("a b c d e f g"), spell("b x y a q")
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (p.astype(float), r.astype(float))]
+    c = unit[0] @ unit[1].T
+    want = c.max(axis=1).mean(), c.max(axis=0).mean()
+    got = match(p, r, block)
+    assert got[:2] == pytest.approx(want) and got[2] == pytest.approx(2 * want[0] * want[1] / sum(want))
+    assert match(p, r[:0]) == match(p[:0], r) == (0.0, 0.0, 0.0)
+
+
+def test_texts_are_encoded_once_and_not_shuffled(spark, plan_of):
+    texts = [("a b c", "b c"), ("b c", "a b c"), ("", "z"), (None, None), ("long words in it", "b c")]
+    rows = [(("r", "s")[i % 2], i, *texts[i % 5]) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "run_id string, id long, prediction string, reference string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def encoder():
+        def encode(batch):
+            calls.add(len(batch))
+            return [spell(t) for t in batch]
+
+        return encode
+
+    scored = encoded_bertscore(encoder, batch_size=40)(pairs)
+    assert "Exchange" not in plan_of(scored)
+    got = scored.collect()
+    # Of the 80 texts of one batch five are distinct, the empty one among them.
+    assert calls.value == 5 and len(got) == 120
+    want = [match(spell(p or ""), spell(r or "")) for _, _, p, r in rows]
+    for k, name in enumerate(("precision", "recall", "f")):
+        assert sorted(r["value"] for r in got if r["variant"] == name) == pytest.approx(sorted(w[k] for w in want))
+
+
+def test_pairs_are_stored_once_for_several_metrics(spark, plan_of):
+    rows = [("r", i, "a b", "b c") for i in range(6)]
+    pairs = spark.createDataFrame(rows, "run_id string, id long, prediction string, reference string")
+    one = encoded_bertscore(lambda: lambda batch: [spell(t) for t in batch])
+    report = multi_metric_report({"x": one, "y": one}, pairs)
+    assert "ExistingRDD" not in plan_of(report) and report.count() == 6

@@ -117,3 +117,15 @@ def test_corpus_value_is_the_mean(spark, pairs):
     for run in "ab":
         for v in rouge.VARIANTS:
             assert got[run][v] == pytest.approx(per_pair.loc[run, f"{v}_f"])
+
+
+def test_repeated_keys_are_rows_of_their_own(spark):
+    rows = [(1, "a b c", "a b"), (1, "a b", "a b c d"), (1, "a b c", "a b"), (None, "x", "x"), (None, "y", "x")]
+    pairs = spark.createDataFrame(rows, "id long, prediction string, reference string").repartition(3)
+    variants = ("rouge1", "rouge2")
+    native = rouge.rouge_counts(pairs, variants=variants, use_stemmer=False)
+    arrow = rouge.rouge_counts(pairs, variants=(*variants, "rougeL"), use_stemmer=False).select(*native.columns)
+    got = sorted(map(tuple, native.collect()), key=repr)
+    assert got == sorted(map(tuple, arrow.collect()), key=repr)
+    assert got == sorted([(1, 3, 2, 2, 1), (1, 3, 2, 2, 1), (1, 2, 4, 2, 1), (None, 1, 1, 1, 0), (None, 1, 1, 0, 0)], key=repr)
+    assert rouge.rouge_scores(pairs, variants=variants, use_stemmer=False).where("rouge1_f > 1").count() == 0
