@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from gistworks.operators.bertscore import BLOCK, bertscore_pairs, match
 from gistworks.operators.joins import keys_of
 from gistworks.operators.rouge import VARIANTS, rouge_scores
+from gistworks.operators.sentences import sentence_lines
 from gistworks.session import materialize
 
 Metric = Callable[[DataFrame], DataFrame]
@@ -29,8 +30,12 @@ def _to_rows(scores: DataFrame, columns: dict[str, str]) -> DataFrame:
     return scores.select("run_id", F.inline(F.array(*entries)))
 
 
-def rouge_metric(variants: Sequence[str] = VARIANTS, use_stemmer: bool = True) -> Metric:
+def rouge_metric(variants: Sequence[str] = VARIANTS, use_stemmer: bool = True, abbreviations: DataFrame | None = None) -> Metric:
+    """ROUGE of pairs; with a corpus' abbreviations summary-level LCS takes sentences, else lines, as its units."""
+
     def score(pairs: DataFrame) -> DataFrame:
+        if abbreviations is not None:
+            pairs = sentence_lines(pairs, abbreviations)
         scores = rouge_scores(pairs, ("run_id", *keys_of(pairs)), variants, use_stemmer)
         return _to_rows(scores, {v: f"{v}_f" for v in variants})
 
@@ -111,9 +116,10 @@ def multi_metric_report(metrics: dict[str, Metric], inputs: DataFrame | dict[str
     """(run_id, metric, variant, value): the mean of every metric over each run.
 
     ``inputs`` are the pairs that all metrics read, or the rows each one reads.
-    Pairs that several metrics read are stored once, not made again for each.
+    Pairs that several metrics read are stored once, not made again for each;
+    those that :func:`~gistworks.session.materialize` gave are as they are.
     """
-    if isinstance(inputs, DataFrame) and len(metrics) > 1:
+    if isinstance(inputs, DataFrame) and len(metrics) > 1 and not hasattr(inputs, "stored_at"):
         inputs = materialize(inputs, "pairs")
     report = None
     for name, metric in metrics.items():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gistworks.functions.text import ANSWER_MARKER, prompt_prefix, reserve_suffix
-from gistworks.functions.tokenizer import RUNS, Tokenizer
+from gistworks.functions.tokenizer import RUNS, TOKEN_PATTERN, Tokenizer, per_task
 from gistworks.operators.joins import is_small, keys_of
 from gistworks.operators.selection import kth_smallest
 from gistworks.session import discard, materialize
@@ -62,33 +64,57 @@ def attention_mask(ids: Column, max_len: int) -> Column:
 
 
 def lookup_ids(
-    df: DataFrame, sides: dict[str, str], vocab: DataFrame, max_len: int, keys: Sequence[str] | None = None, tokenizer: Tokenizer = RUNS
+    df: DataFrame, sides: dict[str, str], vocab: DataFrame | None, max_len: int, keys: Sequence[str] | None = None, tokenizer: Tokenizer = RUNS
 ) -> DataFrame:
     """keys and the token ids of several text columns, cut to ``max_len``.
 
-    A vocabulary of bounded bytes is shipped, and the ids are looked up row by
-    row in one Arrow pass without a shuffle; a larger one is joined.
+    Without a vocabulary the tokenizer's own ids are taken. A vocabulary of
+    bounded bytes is shipped, and the ids are looked up row by row in one Arrow
+    pass without a shuffle, under the default rule without listing the tokens
+    beyond the cut; a larger one is joined.
     """
     keys = keys_of(df, keys=keys)
-    cut = {s: F.slice(F.coalesce(tokenizer.tokens(F.col(c)), F.array().cast("array<string>")), 1, max_len) for s, c in sides.items()}
+    if vocab is None:
+        if tokenizer.ids is None:
+            raise ValueError("a vocabulary is needed, or a tokenizer with ids of its own")
+        none = F.array().cast("array<int>")
+        return df.select(*keys, *[F.coalesce(tokenizer.ids(F.col(c), max_len), none).alias(s) for s, c in sides.items()])
     entries = vocab.select("token", "token_id")
     if is_small(entries):
-        find = _finder(df.sparkSession.sparkContext.broadcast(entries.toArrow()))
-        return df.select(*keys, *[find(c).alias(s) for s, c in cut.items()])
-    return _join_ids(df.select(*keys, *[c.alias(s) for s, c in cut.items()]), list(sides), entries, keys)
+        shipped = df.sparkSession.sparkContext.broadcast(entries.toArrow())
+        if tokenizer is RUNS:
+            find = _first_runs(shipped, max_len)
+            return df.select(*keys, *[find(F.lower(F.coalesce(F.col(c), F.lit("")))).alias(s) for s, c in sides.items()])
+        find = _finder(shipped)
+        return df.select(*keys, *[find(_first(tokenizer, c, max_len)).alias(s) for s, c in sides.items()])
+    return _join_ids(df.select(*keys, *[_first(tokenizer, c, max_len).alias(s) for s, c in sides.items()]), list(sides), entries, keys)
+
+
+def _first(tokenizer: Tokenizer, column: str, n: int) -> Column:
+    return F.slice(F.coalesce(tokenizer.tokens(F.col(column)), F.array().cast("array<string>")), 1, n)
+
+
+def _known(shipped) -> dict[str, int]:
+    table = shipped.value
+    return dict(zip(table.column("token").to_pylist(), table.column("token_id").to_pylist()))
+
+
+def _first_runs(shipped, n: int):
+    """Ids of the first ``n`` tokens of lower-cased texts; the vocabulary's table is made once per task."""
+
+    def make():
+        known, each = _known(shipped), re.compile(TOKEN_PATTERN).finditer
+        return lambda texts: [[known.get(m[0], UNK) for m in islice(each(t), n)] for t in texts]
+
+    return per_task(make, "array<int>")
 
 
 def _finder(shipped):
-    @F.arrow_udf("array<int>")
-    def find(tokens: pa.Array) -> pa.Array:
-        table = shipped.value
-        at = pc.index_in(tokens.flatten(), value_set=table.column("token").combine_chunks())
-        ids = pc.fill_null(pc.take(table.column("token_id").combine_chunks(), at), UNK)
-        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-        return pa.ListArray.from_arrays(offsets, ids.cast(pa.int32()))
+    def make():
+        known = _known(shipped)
+        return lambda lists: [[known.get(t, UNK) for t in tokens] for tokens in lists]
 
-    return find
+    return per_task(make, "array<int>")
 
 
 def _join_ids(rows: DataFrame, sides: list[str], entries: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -110,7 +136,7 @@ def _join_ids(rows: DataFrame, sides: list[str], entries: DataFrame, keys: Seque
 
 
 def encode_fixed(
-    df: DataFrame, vocab: DataFrame, max_len: int, column: str = "text", add_eos: bool = False,
+    df: DataFrame, vocab: DataFrame | None, max_len: int, column: str = "text", add_eos: bool = False,
     keys: Sequence[str] | None = None, tokenizer: Tokenizer = RUNS,
 ) -> DataFrame:
     """(keys, input_ids, attention_mask), cut to ``max_len`` and padded on the right."""
@@ -122,7 +148,7 @@ def encode_fixed(
 
 
 def encode_pairs(
-    df: DataFrame, vocab: DataFrame, max_len: int, add_eos: bool = False, ignore_padding: bool = False,
+    df: DataFrame, vocab: DataFrame | None, max_len: int, add_eos: bool = False, ignore_padding: bool = False,
     keys: Sequence[str] | None = None, tokenizer: Tokenizer = RUNS,
 ) -> DataFrame:
     """Encoded text and summary; labels have the same width as the inputs.
@@ -142,13 +168,18 @@ def encode_pairs(
     )
 
 
-def decode_ids(df: DataFrame, vocab: DataFrame, column: str, keys: Sequence[str] | None = None) -> DataFrame:
+def decode_ids(df: DataFrame, vocab: DataFrame | None, column: str, keys: Sequence[str] | None = None, tokenizer: Tokenizer = RUNS) -> DataFrame:
     """(keys, text): reserved and unknown ids skipped, tokens joined by single blanks.
 
-    Like encoding, one Arrow pass if the vocabulary is small in bytes, else a join.
+    Like encoding, one Arrow pass if the vocabulary is small in bytes, else a
+    join. Without a vocabulary the tokenizer spells its own ids out.
     """
     keys = keys_of(df, keys=keys)
     plain = F.filter(F.coalesce(F.col(column), F.array().cast("array<int>")), lambda x: x >= FIRST_FREE)
+    if vocab is None:
+        if tokenizer.spell is None:
+            raise ValueError("a vocabulary is needed, or a tokenizer that spells ids")
+        return df.select(*keys, tokenizer.spell(plain).alias("text"))
     entries = vocab.select("token", "token_id")
     if is_small(entries):
         spell = _speller(df.sparkSession.sparkContext.broadcast(entries.toArrow()))

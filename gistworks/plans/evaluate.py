@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from gistworks.functions.text import ANSWER_MARKER, chat_messages, extract_answer, prompt_prefix
 from gistworks.functions.tokenizer import RUNS, Tokenizer
@@ -33,6 +33,31 @@ class Scoring:
         return rouge_corpus(aligned, self.variants, self.use_stemmer)
 
 
+class Counts:
+    """Rows counted while the jobs that need them run: no job of its own.
+
+    ``admitted`` rows of the split, ``predicted`` outputs, ``unanswered`` among
+    them (null), and ``matched`` pairs that were scored. Rows that a task
+    repeats after a lost executor are counted by their last run only.
+    """
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, **counts) -> DataFrame:
+        """``df``, counted as it is written; each name once."""
+        observation = Observation()
+        self._seen |= dict.fromkeys(counts, observation)
+        return df.observe(observation, *[c.alias(n) for n, c in counts.items()])
+
+    def columns(self) -> list:
+        """The counts as columns, once the watched frames have been written."""
+        found = {n: int(o.get[n] or 0) for n, o in self._seen.items()}
+        if {"predicted", "matched"} <= set(found):
+            found["unmatched"] = found["predicted"] - found["matched"]
+        return [F.lit(v).cast("long").alias(n) for n, v in found.items()]
+
+
 def evaluate_run(
     corpus: DataFrame,
     run_id: str,
@@ -47,22 +72,30 @@ def evaluate_run(
     """Encode one split, generate, decode, store the predictions and score them.
 
     The stored predictions are what is scored and the stored scores what is
-    returned, so nothing is computed twice.
+    returned, so nothing is computed twice. The scores come with what the run
+    counted: admitted, predicted, unanswered, matched and unmatched rows.
     """
-    spark = corpus.sparkSession
+    spark, counts = corpus.sparkSession, Counts()
     rows = get_split(corpus, split)
-    inputs = decode_ids(encode_fixed(rows, vocab, enc_max_len), vocab, "input_ids")
-    predicted = generate_batched(inputs, predictor, batch_size=batch_size)
+    read = counts.watch(rows, admitted=F.count(F.lit(1)))
+    inputs = decode_ids(encode_fixed(read, vocab, enc_max_len), vocab, "input_ids")
+    predicted = _watched(generate_batched(inputs, predictor, batch_size=batch_size), counts)
     write_predictions(predicted.withColumn("run_id", F.lit(run_id)), f"{path}/predictions")
-    scores = scoring.score(read_predictions(spark, f"{path}/predictions", by_dataset=True), rows)
+    stored = read_predictions(spark, f"{path}/predictions", by_dataset=True)
+    pairs = materialize(counts.watch(align_pairs(stored, rows), matched=F.count(F.lit(1))), "pairs")
+    scores = rouge_corpus(pairs, scoring.variants, scoring.use_stemmer)
     absent = [F.lit(None).cast("double").alias(v) for v in VARIANTS if v not in scoring.variants]
     write_metrics(scores.select(F.col("run_id").alias("folder"), "*", *absent), f"{path}/metrics")
-    return read_metrics(spark, f"{path}/metrics").withColumnRenamed("folder", "run_id")
+    return read_metrics(spark, f"{path}/metrics").withColumnRenamed("folder", "run_id").select("*", *counts.columns())
+
+
+def _watched(predicted: DataFrame, counts: Counts) -> DataFrame:
+    return counts.watch(predicted, predicted=F.count(F.lit(1)), unanswered=F.count_if(F.col("prediction").isNull()))
 
 
 @dataclass(frozen=True)
 class Model:
-    """What a configuration names: a predictor for (gen_max_len, num_beams), and its vocabulary.
+    """What a configuration names: a predictor for (gen_max_len, num_beams), and its vocabulary or a tokenizer with ids.
 
     With ``over_ids`` the predictor turns lists of ids into lists of ids, which
     are decoded after; otherwise it turns decoded inputs, or plain texts where
@@ -84,8 +117,9 @@ def run_config(config: dict, reader: Reader, models: dict[str, Model], path: str
     ``config`` has ``method`` ("eval"), ``exec_args`` (model, dataset, metrics,
     preview, samples, min_input_size) and ``exec_kwargs`` (enc_max_len,
     gen_max_len, num_beams, batch_size). ``metrics`` adds to the registered
-    ones. All metrics read the same stored predictions; scores are stored
-    nested by metric and read back.
+    ones. All metrics read the same stored pairs; scores are stored nested by
+    metric and read back, with what the run counted: admitted, predicted,
+    unanswered, matched and unmatched rows.
     """
     if config.get("method") != "eval":
         raise ValueError("only the method 'eval' can be run")
@@ -104,22 +138,24 @@ def run_config(config: dict, reader: Reader, models: dict[str, Model], path: str
     )
     rows = get_split(corpus, split)
     predictor = model.predictor(budget, kwargs.get("num_beams", 1))
-    batch = kwargs.get("batch_size", 32)
-    inputs = rows
-    if model.vocab is not None:
-        inputs = encode_fixed(rows, model.vocab, width, tokenizer=model.tokenizer)
+    batch, counts = kwargs.get("batch_size", 32), Counts()
+    inputs = counts.watch(rows, admitted=F.count(F.lit(1)))
+    coded = model.vocab is not None or model.tokenizer.ids is not None
+    if coded:
+        inputs = encode_fixed(inputs, model.vocab, width, tokenizer=model.tokenizer)
     if model.over_ids:
         ids = generate_batched(inputs, predictor, "input_ids", batch_size=batch, returns="array<int>")
-        predicted = decode_ids(ids, model.vocab, "prediction").withColumnRenamed("text", "prediction")
+        predicted = decode_ids(ids, model.vocab, "prediction", tokenizer=model.tokenizer).withColumnRenamed("text", "prediction")
     else:
-        if model.vocab is not None:
-            inputs = decode_ids(inputs, model.vocab, "input_ids")
+        if coded:
+            inputs = decode_ids(inputs, model.vocab, "input_ids", tokenizer=model.tokenizer)
         predicted = generate_batched(inputs, predictor, batch_size=batch)
     run_id = f"{args['model']}-{args['dataset']}-{width}"
-    write_predictions(predicted.withColumn("run_id", F.lit(run_id)), f"{path}/predictions")
+    write_predictions(_watched(predicted, counts).withColumn("run_id", F.lit(run_id)), f"{path}/predictions")
     stored = read_predictions(rows.sparkSession, f"{path}/predictions", by_dataset=True)
-    write_report(multi_metric_report(chosen, align_pairs(stored, rows)), f"{path}/scores")
-    return read_report(rows.sparkSession, f"{path}/scores")
+    pairs = materialize(counts.watch(align_pairs(stored, rows), matched=F.count(F.lit(1))), "pairs")
+    write_report(multi_metric_report(chosen, pairs), f"{path}/scores")
+    return read_report(rows.sparkSession, f"{path}/scores").select("*", *counts.columns())
 
 
 def causal_run(

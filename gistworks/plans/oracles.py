@@ -294,6 +294,37 @@ def _intervals(variants: tuple[str, ...], resamples: int, tail: int) -> str:
     )
 
 
+# Fixed values, as in the splitter: blanks, and what opens and closes a quotation or a bracket.
+_WORDS = "regexp_extract_all({}, '[^ \\t\\n\\x0b\\f\\r]+')"
+_OPEN, _CLOSE = "[\"''(\\[{«“‘]", "\"'')\\]}»”’"
+
+
+def _sentence_ctes() -> dict[str, str]:
+    """CTEs ``abbreviated`` (word, with_period, without, score) and ``said`` (id, nth, sentence)."""
+    texts = f"SELECT id, {_WORDS.format('text')} AS l FROM pairs"
+    bare = f"lower(regexp_replace(regexp_replace(w, '[{_CLOSE},;:]+$', ''), '^{_OPEN}+', ''))"
+    word = "CASE WHEN ends_with(bare, '.') THEN bare[:-2] ELSE bare END"
+    score = (
+        "-2 * (with_period * ln(share / 0.99::DOUBLE) + without * ln((1 - share) / (1 - 0.99::DOUBLE))) * exp(-letters) * (length(word) - letters + 1) * pow(letters::DOUBLE, -without)"
+    )
+    before = f"lower(regexp_replace(regexp_replace(w, '[.!?]+[{_CLOSE}]*$', ''), '^{_OPEN}+', ''))"
+    marks = f"regexp_extract(w, '([.!?]+)[{_CLOSE}]*$', 1)"
+    return {
+        "listed": texts,
+        "bared": f"SELECT {bare} AS bare FROM (SELECT unnest(l) AS w FROM listed)",
+        "spoken": f"SELECT {word} AS word, ends_with(bare, '.') AS dotted FROM bared",
+        "shares": "SELECT count_if(dotted)::DOUBLE / count(*) AS share FROM spoken",
+        "counted": "SELECT word, count_if(dotted)::BIGINT AS with_period, count_if(NOT dotted)::BIGINT AS without, length(replace(word, '.', '')) AS letters "
+        "FROM spoken WHERE regexp_matches(word, '\\p{L}') AND NOT regexp_matches(word, '[.!?]$') GROUP BY word HAVING count_if(dotted) > 0",
+        "abbreviated": f"SELECT word, with_period, without, {score} AS score FROM counted, shares WHERE {score} >= 0.3",
+        "spots": "SELECT id, i, w, lead(w) OVER (PARTITION BY id ORDER BY i) AS next FROM (SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM listed)",
+        "marked": f"""SELECT id, i, w, {marks} <> '' AND next IS NOT NULL AND NOT regexp_matches(next, '^{_OPEN}*\\p{{Ll}}')
+            AND NOT ({marks} = '.' AND ({before} IN (SELECT word FROM abbreviated) OR regexp_full_match({before}, '\\p{{L}}'))) AS last FROM spots""",
+        "placed": "SELECT id, i, w, coalesce(sum(last::INT) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS nth FROM marked",
+        "said": "SELECT id, nth, string_agg(w, ' ' ORDER BY i) AS sentence FROM placed GROUP BY id, nth",
+    }
+
+
 _LETTERS = "[length(x), ascii(x[1]) % 7 + 1, ascii(x[-1]) % 5 + 1]::FLOAT[]"
 
 
@@ -455,6 +486,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT run_id, step, eval_rouge1 FROM eval_log
             QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY eval_rouge1 DESC, step) = 1""",
         "vocab_build": "SELECT token, n, token_id FROM vocab",
+        "decode_subword": "SELECT id, text FROM pairs",
         "generate_batched": f"SELECT id, {_words('text', 1, GEN_MAX_LEN)} AS prediction FROM pairs",
         "generate_resumable": _resumed("text", "pairs"),
         "bertscore_pair": """
@@ -527,6 +559,27 @@ def oracle_sql() -> dict[str, str]:
         "FROM pairs JOIN e USING (id))",
         _ENCODED,
     )
+    out["abbreviations"] = _with("SELECT word, with_period, without, round(score, 4) AS score FROM abbreviated", _sentence_ctes())
+    out["sentence_split"] = _with("SELECT id, nth, sentence FROM said", _sentence_ctes())
+    out["sink_rewrite"] = _with(
+        """SELECT id, prediction, run_id FROM run_predictions WHERE NOT starts_with(run_id, 'echo-')
+        UNION ALL SELECT id, 'again ' || prediction, run_id FROM run_predictions WHERE starts_with(run_id, 'echo-') AND id % 3 = 0"""
+    )
+    report = {
+        "known": "SELECT dataset, count(*) AS \"references\" FROM pairs GROUP BY dataset",
+        "placed": "SELECT run_id, p.dataset, count(*) AS outputs FROM run_predictions JOIN pairs p USING (id) GROUP BY ALL",
+        "sized": 'SELECT run_id, dataset, outputs, "references", outputs = "references" AS aligned FROM placed JOIN known USING (dataset)',
+    }
+    out["position_report"] = _with("SELECT * FROM sized", report)
+    out["align_positions"] = _with(
+        "SELECT run_id, p.dataset, id, r.prediction, p.summary AS reference FROM run_predictions r JOIN pairs p USING (id) JOIN sized USING (run_id) WHERE aligned", report
+    )
+    mine = "dataset = 'pubmed' AND split = 'train'"
+    out["evaluate_counts"] = _with(
+        f"""SELECT 'patchy-pubmed' AS run_id, count(*) AS admitted, count(*) AS predicted, count_if(length(inputs.text) % 7 = 0)::BIGINT AS unanswered,
+          count(*) AS matched, 0::BIGINT AS unmatched FROM admitted JOIN inputs USING (id) WHERE {mine}""",
+        {"inputs": _decoded("text", 64)},
+    )
     out["evaluate_config"] = _configured(ngrams)
     out["rouge_interval"] = _intervals(ngrams, 1000, 25)
     spelled = {"spelled": f"SELECT 'letters-' || (id % 5) AS run_id, id, {_tokens('prediction')} AS p, {_tokens('summary')} AS r FROM pairs"}

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gistworks.functions import runkeys, text as tx, tokenizer
 from gistworks.operators import (
-    admission, bertscore, compare, generate, hooks, leaderboard, lengths, metrics, rouge, selection, vocab,
+    admission, bertscore, compare, generate, hooks, leaderboard, lengths, metrics, positions, rouge, selection, sentences, vocab,
 )
 from gistworks.plans import evaluate
 from gistworks.plans.views import Views
 from gistworks.session import scratch_path, ship_package
-from gistworks.sources import corpus, predlog, runs, sinks
+from gistworks.sources import corpus, predlog, runs, sinks, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -126,6 +126,20 @@ def sink_leaderboard(v: Views) -> DataFrame:
     return board.select("Folder", *[_r6(c) for c in ("RougeAvg", "Rouge1", "Rouge2", "RougeL")])
 
 
+@query
+def sink_rewrite(v: Views) -> DataFrame:
+    """One model's runs are written twice more, at last with other rows; another write is never committed."""
+    kept = store.RunStore(v.spark, scratch_path(v.spark, "store"), sinks.PREDICTION_SCHEMA)
+    runs_ = v.run_predictions()
+    kept.write(runs_)
+    again = runs_.where(F.col("run_id").startswith("echo-"))
+    kept.write(again)
+    kept.write(again.where("id % 3 = 0").withColumn("prediction", F.concat(F.lit("again "), "prediction")))
+    kept.write(runs_.where(F.col("run_id").startswith("skip-")).limit(1), commit=False)
+    kept.clean()
+    return kept.read()
+
+
 # --- projections -----------------------------------------------------------
 
 
@@ -274,6 +288,23 @@ def align_report(v: Views) -> DataFrame:
     return compare.align_report(answered, admitted)
 
 
+def _numbered_outputs(v: Views) -> DataFrame:
+    """Every run's predictions in the order of ids, without the ids."""
+    known = v.run_predictions().join(v.pairs().select("id", "dataset"), "id")
+    return positions.number_rows(known, ["run_id", "dataset"], ["id"]).drop("id")
+
+
+@query
+def align_positions(v: Views) -> DataFrame:
+    pairs, _ = positions.align_positions(_numbered_outputs(v), v.pairs())
+    return pairs
+
+
+@query
+def position_report(v: Views) -> DataFrame:
+    return positions.position_report(_numbered_outputs(v), v.pairs())
+
+
 @query
 def retry_merge(v: Views) -> DataFrame:
     return generate.retry_merge(v.pairs(), v.attempts())
@@ -352,6 +383,23 @@ def best_checkpoint(v: Views) -> DataFrame:
     return leaderboard.best_checkpoint(v.eval_log())
 
 
+# --- sentences -------------------------------------------------------------
+
+
+@query
+def abbreviations(v: Views) -> DataFrame:
+    found = sentences.find_abbreviations(v.pairs())
+    return found.select("word", "with_period", "without", F.round("score", 4).alias("score"))
+
+
+@query
+def sentence_split(v: Views) -> DataFrame:
+    pairs = v.pairs()
+    made = sentences.sentences_of(pairs, sentences.find_abbreviations(pairs))
+    one_line = F.regexp_replace("sentence", f"[{sentences.BLANKS}]+", " ")
+    return made.select("id", "nth", one_line.alias("sentence"))
+
+
 # --- tokens and ids --------------------------------------------------------
 
 
@@ -385,6 +433,27 @@ def encode_corpora(v: Views) -> DataFrame:
     return encoded.select("dataset", "id", _joined("input_ids"))
 
 
+def _pieces(v: Views) -> tokenizer.Tokenizer:
+    import public_tokenizers
+
+    return tokenizer.subword_tokenizer(v.spark, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def encode_subword(v: Views) -> DataFrame:
+    """Texts and summaries as ids of scored pieces, both cut to one width."""
+    encoded = vocab.encode_pairs(v.pairs(), None, ENC_MAX_LEN, add_eos=True, tokenizer=_pieces(v))
+    return encoded.select("id", _joined("input_ids"), _joined("attention_mask"), _joined("labels"))
+
+
+@query
+def decode_subword(v: Views) -> DataFrame:
+    """Whole texts to ids of pieces and back."""
+    own = _pieces(v)
+    ids = v.pairs().select("id", own.ids(F.col("text"), None).alias("ids"))
+    return vocab.decode_ids(ids, None, "ids", tokenizer=own)
+
+
 def _masked_labels(v: Views, words: DataFrame) -> DataFrame:
     return vocab.encode_pairs(v.pairs(), words, ENC_MAX_LEN, ignore_padding=True, keys=("id",)).select("id", "labels")
 
@@ -448,6 +517,20 @@ def evaluate_run(v: Views) -> DataFrame:
     return _scores(scores)
 
 
+@query
+def evaluate_counts(v: Views) -> DataFrame:
+    """What a run counted on its way: outputs for inputs of some lengths are null."""
+
+    def patchy():
+        return lambda texts: [None if len(t) % 7 == 0 else t[:20] for t in texts]
+
+    counted = evaluate.evaluate_run(
+        corpus.load_corpus("pubmed", v.raw_reader()), "patchy-pubmed", patchy, _vocab(v), 64, scratch_path(v.spark, "run"),
+        split="train", scoring=evaluate.Scoring(("rouge1",), use_stemmer=False),
+    )
+    return counted.select("run_id", "admitted", "predicted", "unanswered", "matched", "unmatched")
+
+
 @query
 def causal_run(v: Views) -> DataFrame:
     scores = evaluate.causal_run(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gistworks.functions.runkeys import route_corpus
+from gistworks.session import materialize
 
 
 def _json_list(text: str):
@@ -27,16 +28,19 @@ def scan_logs(spark: SparkSession, root: str, pattern: str = "*/*.out") -> DataF
     """The same from files, read line by line so that a large log spreads over tasks.
 
     A line's position is its rank inside its file block plus the lines of the
-    blocks before it, so no task sees more than one block of a log.
+    blocks before it, so no task sees more than one block of a log. The lines
+    are read once and stored with their block and number: counts and positions
+    come from one split of the files, whatever the parallelism is later.
     """
     # File paths arrive percent-encoded; a plus sign stands for itself there.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    lines = spark.read.text(f"{root}/{pattern}").select(
+    read = spark.read.text(f"{root}/{pattern}").select(
         F.regexp_extract(path, "(?:run=)?([^/]+)/[^/]+$", 1).alias("folder"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seen"),
         F.col("value"),
     )
+    lines = materialize(read, "lines")
     # Rows of a block are numbered in reading order, so its first number is all it takes.
     blocks = lines.groupBy("folder", "block").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("first"))
     in_log = Window.partitionBy("folder")
