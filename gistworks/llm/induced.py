@@ -8,10 +8,10 @@ order the same for type S. A tuple carries the suffix and its common prefix with
 the tuple that went before it to the same symbol: one more than the minimum of
 the prefixes swept since then, found in a sparse table.
 
-The seeds' own order comes from the same two sweeps over unordered seeds, which
-order the pieces between seeds, and, where pieces are equal, from the sorted
-suffixes of the string of piece names, by recursion. A name at depth k spans
-at least 2^k symbols, so no more levels are needed than the cap asks for.
+The seeds' own order: the pieces between seeds are sorted (by runs on disk, if
+they are many) and named, and where pieces are equal the sorted suffixes of the
+string of names decide, by recursion. A name at depth k spans at least 2^k
+symbols, so no more levels are needed than the cap asks for.
 
 Queues work in bulk. Of a small alphabet a sweep takes the tuples of one symbol,
 again and again until none is left; of a large one those of a range of symbols,
@@ -41,6 +41,18 @@ def alloc(n: int, dtype, held: int = HELD) -> np.ndarray:
     return np.memmap(file, dtype, "r+", shape=(n,))
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The stable order by integer keys: by radix if they are short, else by sorting keys and places as one number where that fits."""
+    if keys.dtype.itemsize <= 2 or len(keys) < 2:
+        return np.argsort(keys, kind="stable")
+    low, places = int(keys.min()), len(keys).bit_length()
+    if (int(keys.max()) - low).bit_length() + places > 63:
+        return np.argsort(keys, kind="stable")
+    both = ((keys.astype(np.int64) - low) << places) | np.arange(len(keys))
+    both.sort()
+    return both & ((1 << places) - 1)
+
+
 class Spool:
     """An array that grows at its end, on disk once it is long."""
 
@@ -113,7 +125,7 @@ class BulkQueue:
         if front:
             self.runs.insert(0, Run(columns))
             return
-        order = np.argsort(columns[0], kind="stable")
+        order = order_of(columns[0])
         self.runs = [r for r in self.runs if r.left()]
         self.runs.append(Run(tuple(c[order] for c in columns)))
         while len(self.runs) > 1 and not self.runs[-2].on_disk and self.runs[-2].left() <= 2 * self.runs[-1].left():
@@ -133,7 +145,7 @@ class BulkQueue:
         if len(parts) == 1:
             return parts[0]
         columns = [np.concatenate(c) for c in zip(*parts)]
-        order = np.argsort(columns[0], kind="stable")
+        order = order_of(columns[0])
         return tuple(c[order] for c in columns)
 
     def least(self) -> int | None:
@@ -154,6 +166,12 @@ class BulkQueue:
                 r.at = end
         return self._merged(parts) if parts else None
 
+    def drain(self, bulk: int):
+        """All tuples in order, some ``bulk`` from each run at a time."""
+        while self.least() is not None:
+            bound = min(int(r.columns[0][min(r.at + bulk, r.size - 1)]) for r in self.runs)
+            yield self.take(bound + 1)
+
     def take_some(self, key: int, most: int) -> tuple:
         """Up to ``most`` tuples of the least key, as they came."""
         parts = []
@@ -184,8 +202,8 @@ class Minima:
             if len(values):
                 np.minimum(self.now, values.min(), out=self.now)
             return np.zeros(0, np.uint8)
-        order = np.argsort(keys, kind="stable")
-        k, place = keys[order] - self.low, at[order]
+        order = order_of(keys)
+        k, place = keys[order].astype(np.int64) - self.low, at[order]
         first = np.concatenate(([True], k[1:] != k[:-1]))
         last = np.concatenate((first[1:], [True]))
         out = np.empty(len(at), np.uint8)
@@ -255,11 +273,12 @@ class Text:
         return int(other[0]) if len(other) else len(window)
 
     def common(self, p: np.ndarray, q: np.ndarray, cap: int) -> np.ndarray:
-        """Common prefixes of pairs of suffixes, up to ``cap`` symbols, by direct comparison (16-bit symbols)."""
-        wide = np.ndarray((len(self.t) - 3,), np.uint64, self.t, strides=(self.t.itemsize,))
+        """Common prefixes of pairs of suffixes, up to ``cap`` symbols, by direct comparison of 8 bytes at a time."""
+        each, bits = 8 // self.t.itemsize, 8 * self.t.itemsize
+        wide = np.ndarray((len(self.t) - each + 1,), np.uint64, self.t, strides=(self.t.itemsize,))
         out = np.full(len(p), cap, np.uint8)
         live = np.arange(len(p))
-        for k in range(0, cap, 4):
+        for k in range(0, cap, each):
             a, b = p[live] + k, q[live] + k
             fits = (a < len(wide)) & (b < len(wide))
             out[live[~fits]] = np.minimum(out[live[~fits]], k)  # cannot be: the end differs before
@@ -268,7 +287,7 @@ class Text:
             differ = x != 0
             y = x[differ]
             zeros = np.frexp((y & (~y + np.uint64(1))).astype(np.float64))[1] - 1
-            out[live[differ]] = np.minimum(k + zeros // 16, cap)
+            out[live[differ]] = np.minimum(k + zeros // bits, cap)
             live = live[~differ]
             if not len(live):
                 break
@@ -344,7 +363,7 @@ def _range(text: Text, sign: int, bound: int, keys: np.ndarray, pos: np.ndarray,
     # A chain of senders ends in a tuple taken: ranks by 1, 2, 4, ... of its steps.
     seen = 1
     while True:
-        order = np.argsort(value, kind="stable" if seen >= len(all_pos) else None)
+        order = order_of(value)
         rank = np.empty(total, np.int64)
         ordered = value[order]
         rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
@@ -353,7 +372,7 @@ def _range(text: Text, sign: int, bound: int, keys: np.ndarray, pos: np.ndarray,
         value = rank * (total + 1) + rank[sender]
         sender, seen = sender[sender], 2 * seen
     origin, sent = np.concatenate(sent_from), np.concatenate(sent_keys)
-    by_sender = np.argsort(rank[origin], kind="stable")
+    by_sender = order_of(rank[origin])
     return pos[order], phase[order] < 2, pos[origin[by_sender]] - 1, sent[by_sender]
 
 
@@ -387,7 +406,7 @@ def sweep(
                 pos_q = took[1] if took is not None else pos_s[:0]
                 keys = np.concatenate((took[0].astype(np.int64) if took is not None else pos_s[:0].astype(np.int64), sign * text.t[pos_s].astype(np.int64)))
                 pos, phase = np.concatenate((pos_q, pos_s)), np.repeat([0, 2], [len(pos_q), len(pos_s)])
-                order = np.argsort(keys, kind="stable")
+                order = order_of(keys)
                 made = _range(text, sign, c + width, keys[order], pos[order], phase[order], bulk)
                 if made is not None:
                     pos, own, on, on_keys = made
@@ -426,66 +445,112 @@ def sweep(
             if carry:
                 out_lcp.append(lcp)
         valid, up = _before(text, sign, pos, c, own)
-        columns = (up.astype(key_type), pos[valid] - 1)
+        up = up.astype(key_type)
+        columns = (up, pos[valid] - 1)
         queue.push((*columns, minima.send(lcp, valid, up)) if carry else columns)
     return out.array(), out_lcp.array() if carry else None
 
 
+def in_order(keys: list[np.ndarray], held: int = HELD) -> np.ndarray:
+    """The order by several keys, the first one most important; by runs on disk if they are long."""
+    n = len(keys[0])
+    if 16 * n <= held:
+        return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    order = None
+    for key in keys[::-1]:
+        queue, out = BulkQueue(max(1, held // 64)), Spool(np.int64)
+        for a in range(0, n, BULK):
+            some = np.arange(a, min(n, a + BULK)) if order is None else np.asarray(order[a : a + BULK])
+            queue.push((np.asarray(key[some], np.int64), some))
+        for _, some in queue.drain(BULK):
+            out.append(some)
+        order = out.array()
+    return order
+
+
+def name_pieces(text: Text, seeds: np.ndarray, bulk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds' numbers sorted by the pieces from each to the next, and each seed's name: the rank of its piece.
+
+    A piece that goes on where another one ends has a symbol of type L there, and
+    comes before: ended pieces go on with the greatest symbol. Symbols are packed
+    into wide keys; pieces that are equal so far and longer are sorted again by
+    what follows.
+    """
+    m = len(seeds)
+    highest = max(int(text.t[a : a + bulk].max()) for a in range(0, text.n, bulk)) + 1
+    bits = highest.bit_length()
+    each, pad = 63 // bits, (1 << bits) - 1
+
+    def key(index: np.ndarray, skip: int) -> np.ndarray:
+        start = seeds[index].astype(np.int64) + skip
+        last = seeds[np.minimum(index + 1, m - 1)]
+        out = np.zeros(len(index), np.int64)
+        for k in range(each):
+            at = start + k
+            out = (out << bits) | np.where(at <= last, text.t[np.minimum(at, last)], pad)
+        return out
+
+    first = alloc(m, np.int64)
+    for a in range(0, m, bulk):
+        first[a : a + bulk] = key(np.arange(a, min(m, a + bulk)), 0)
+    order = in_order([first])
+    names, slots, skip = alloc(m, np.int64), alloc(m, np.int64), 0  # a name so far: the first slot of the equal ones
+    held = -1
+    for a in range(0, m, bulk):
+        some = np.asarray(order[a : a + bulk])
+        k = first[some]
+        new = np.concatenate(([a == 0 or k[0] != held], k[1:] != k[:-1]))
+        at = np.maximum.accumulate(np.where(new, np.arange(a, a + len(some)), -1))
+        slots[a : a + bulk] = np.where(at < 0, slots[a - 1] if a else 0, at)
+        held = k[-1]
+    names[order] = slots
+    del first
+    # A key without padding may go on.
+    live = np.arange(m)
+    while True:
+        skip += each
+        lengths = seeds[np.minimum(live + 1, m - 1)].astype(np.int64) - seeds[live] + 1
+        live = live[lengths >= skip]
+        name = names[live]
+        several = np.sort(name)
+        several = np.unique(several[1:][several[1:] == several[:-1]])
+        live = live[np.isin(name, several)]
+        if not len(live):
+            break
+        name, k = names[live], key(live, skip)
+        by = in_order([name, k])
+        name, k, live = name[by], k[by], live[by]
+        new = np.concatenate(([True], (name[1:] != name[:-1]) | (k[1:] != k[:-1])))
+        # The equal ones stand in neighbouring slots from their name on.
+        head = np.concatenate(([True], name[1:] != name[:-1]))
+        run = np.arange(len(live))
+        place = name + run - np.maximum.accumulate(np.where(head, run, 0))
+        order[place] = live
+        names[live] = place[np.maximum.accumulate(np.where(new, run, 0))]
+    return order, names
+
+
 def seeds_in_order(text: Text, depth: int, cap: int, limit: int, bulk: int) -> np.ndarray:
     """All seeds, sorted by their suffixes (by ``cap`` symbols at least)."""
     seeds = text.seeds(bulk)
     m = len(seeds)
     if m < 2:
         return seeds
-    # Two sweeps over seeds by first symbol order the pieces between seeds.
-    by_symbol = Spool(seeds.dtype)
-    queue = BulkQueue(limit)
-    for a in range(0, m, bulk):
-        some = np.asarray(seeds[a : a + bulk])
-        queue.push((text.t[some], some))
-    width = 1 << 10
-    while (c := queue.least()) is not None:
-        while width > 1 and queue.count(c + width) > bulk:
-            width //= 2
-        by_symbol.append((queue.take(c + width) if width > 1 else queue.take_some(c, bulk))[1])
-        width = min(2 * width, 1 << 30)
-    larger, _ = sweep(text, by_symbol.array(), None, 1, cap, BulkQueue(limit), bulk, depth > 0)
-    smaller, _ = sweep(text, larger[::-1], None, -1, cap, BulkQueue(limit), bulk, depth > 0)
-    is_seed = alloc(text.n, bool)
-    is_seed[seeds] = True
-    order = alloc(m, seeds.dtype)
-    order[0], at = text.n - 1, m
-    for a in range(0, len(smaller), bulk):
-        some = np.asarray(smaller[a : a + bulk])
-        some = some[is_seed[some]]
-        order[at - len(some) : at] = some[::-1]
-        at -= len(some)
-    # Names: equal pieces (as long, and symbol by symbol) have the same one.
-    names, highest, place = alloc(m, np.int32), 0, np.searchsorted
+    order, slots = name_pieces(text, seeds, bulk)
+    out = alloc(m, seeds.dtype)
+    # Names are dense, in the order of slots, so that the end's is 0.
+    names, last, total = alloc(m, np.int32), -1, 0
     for a in range(0, m, bulk):
-        some = np.asarray(order[max(0, a - 1) : a + bulk])
-        index = place(seeds, some)
-        length = np.where(index + 1 < m, seeds[np.minimum(index + 1, m - 1)] - some + 1, 1)
-        p, q = some[:-1], some[1:]
-        live = np.flatnonzero(length[:-1] == length[1:])
-        same = np.zeros(len(p), bool)
-        k = 0
-        while len(live):
-            live = live[text.t[p[live] + k] == text.t[q[live] + k]]
-            k += 1
-            ended = length[live] == k
-            same[live[ended]] = True
-            live = live[~ended]
-        new = np.concatenate(([0], np.cumsum(~same)))
-        if a:
-            names[index[1:]] = highest + new[1:]
-        else:
-            names[index] = new
-        highest += int(new[-1])
-    if highest + 1 == m or 1 << (depth + 1) >= cap:
-        return order
+        some = np.asarray(order[a : a + bulk])
+        slot = slots[some]
+        new = np.concatenate(([slot[0] != last], slot[1:] != slot[:-1]))
+        names[some] = total + np.cumsum(new) - 1
+        total, last = total + int(new.sum()), slot[-1]
+        out[a : a + bulk] = seeds[some]
+    if total == m or 1 << (depth + 1) >= cap:
+        return out
+    del order, slots
     sorted_names = sort_suffixes(Text(names, m), depth + 1, cap, limit, bulk)
-    out = alloc(m, seeds.dtype)
     for a in range(0, m, bulk):
         out[a : a + bulk] = seeds[sorted_names[a : a + bulk]]
     return out
@@ -516,7 +581,7 @@ def sort_suffixes(text: Text, depth: int, cap: int, limit: int, bulk: int) -> np
 def sorted_with_prefixes(text: Text, cap: int, limit: int = QUEUE, bulk: int = BULK) -> list[tuple[np.ndarray, np.ndarray]]:
     """The suffixes of type L ascending and of type S descending, each with the common prefix with the one before.
 
-    Together they are all suffixes but the end. Of 16-bit symbols; ``cap`` at most 254.
+    Together they are all suffixes but the end. Of 8-bit or 16-bit symbols; ``cap`` at most 254.
     """
     seeds = seeds_in_order(text, 0, cap, limit, bulk)
     prefixes = alloc(len(seeds), np.uint8)
