@@ -38,14 +38,22 @@ class Stored:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Most buckets a table is laid out in; Spark takes 100,000.
+LAID = 50_000
+
+
 class Bucketed(Stored):
-    """A stored table laid out by a key in ``n`` buckets, so that a later grouping by it moves only the other side."""
+    """A stored table laid out by a key in ``n`` buckets (LAID at most), so that a later grouping by it moves only the other side.
+
+    The layout is of whole blocks, several to a bucket, and bounds nothing: a
+    grouping by the key still holds one block at a time.
+    """
 
     def __init__(self, df: DataFrame, label: str, key: str, n: int, *partition: str):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = scratch_path(self.spark, label)
         self.name = f"scratch_{label.replace('-', '_')}_{self.path[-32:]}"
-        df.write.partitionBy(*partition).bucketBy(n, key).option("path", self.path).format("parquet").saveAsTable(self.name)
+        df.write.partitionBy(*partition).bucketBy(min(n, LAID), key).option("path", self.path).format("parquet").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)

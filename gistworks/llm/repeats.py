@@ -41,8 +41,8 @@ from gistworks.llm.common import Bucketed, Stored, binary, blocks, bucket_count,
 MARK = 24
 #: Windows that a stretch holds at most; longer runs (repetitive texts) are cut, at the same places if equal.
 STRETCH = 4096
-#: Bytes of text of a block, of text for each bucket of marks and shard; most buckets that blocks are laid out in.
-BLOCK_BYTES, SHARD_BYTES, LAID = 8 << 20, 16 << 20, 20_000
+#: Bytes of text of a block, and of text for each bucket of marks and each shard.
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
 _STEP = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SIGN = np.uint64(1 << 63)
@@ -219,11 +219,13 @@ def first_documents(strings: list[bytes], first: np.ndarray, width: int, limit:
     """
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     begins = np.concatenate(([0], np.cumsum(sizes + 1)))
-    # Bytes are symbols from 2, strings end with 1, the end is 0.
-    symbols = induced.alloc(int(begins[-1]), np.int16)
+    # Bytes are symbols from 2, strings end with 1, the end is 0. UTF-8 has no bytes that need a wider symbol.
+    joined = (b"".join(strings[a : a + (1 << 16)]) for a in range(0, len(strings), 1 << 16))
+    kind = np.uint8 if all(not x or np.frombuffer(x, np.uint8).max() < 0xFE for x in joined) else np.int16
+    symbols = induced.alloc(int(begins[-1]), kind)
     for a in range(0, len(strings), 1 << 16):
         part = np.frombuffer(b"".join(x + b"\0" for x in strings[a : a + (1 << 16)]), np.uint8)
-        symbols[begins[a] : begins[a] + len(part)] = part.astype(np.int16) + 2
+        symbols[begins[a] : begins[a] + len(part)] = part.astype(kind) + kind(2)
     symbols[begins[1:] - 1] = 1
     windows = np.maximum(sizes - width + 1, 0)
     offsets = np.concatenate(([0], np.cumsum(windows)))
@@ -396,7 +398,7 @@ def remove_repeats(
     kept = [c for c in texts.columns if c not in ("text", "number")]
     buckets = bucket_count(texts, "text", shard_bytes)
     cut = Bucketed(
-        texts.mapInArrow(_cut(width, buckets, kept, block_bytes), "kind string, block long, bucket int, payload binary"), "repeats", "block", min(buckets, LAID), "kind"
+        texts.mapInArrow(_cut(width, buckets, kept, block_bytes), "kind string, block long, bucket int, payload binary"), "repeats", "block", buckets, "kind"
     )
     held = cut.read().where("kind = 'block'").select("block", "payload")
     stood = cut.read().where("kind = 'marks'").select("bucket", "block", "payload")
