@@ -1,14 +1,18 @@
 """Line dedup by pairwise alignment: common blocks go from the later document.
 
-Documents overlap if they share a rare enough line. A line that ``n``
-documents hold proposes no pairs among them but links each to the line's
-first holder, so the pairs are never more than the shared lines' occurrences,
-however frequent a line is; chance meetings over short lines propose nothing.
-Each pair is aligned with patience diff over its line hashes, and runs of
-aligned lines with enough words are deleted from the later document.
+Documents overlap if they share a rare enough line, or a run of short lines
+that reaches as many words together. A line or run that ``n`` documents hold
+proposes no pairs among them but links each to its first holder, so the pairs
+are never more than the shared lines' occurrences, however frequent a line is;
+chance meetings over few words propose nothing. Each pair is aligned with
+patience diff over its line hashes, and runs of aligned lines with enough words
+are deleted from the later document. Blocks that stand in another order in the
+earlier document are aligned again in what is left, until nothing more aligns:
+so of a line with enough words only its first holder's copy stays.
 
 Texts equal as a whole align line by line with the first of them, so only
-distinct texts are compared, and all later copies lose their whole text.
+distinct texts are compared, and all later copies lose their whole text. Texts
+are told apart by 128 bits, lines by 64.
 
 "Earlier" means a smaller identifier (nulls last), then the text's hash. Rows
 with one identifier and one text are one document and keep the same text. A
@@ -47,13 +51,40 @@ def line_hashes(text: bytes) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [line_hashes(t) for t in binary(batch.column("text")).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("h"), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int32()))],
-            ["id", "h", "lines", "words"],
-        )
+def proposals(hashes: list[int], words: list[int], least: int) -> list[int]:
+    """What a text may share with others, once each: lines of ``least`` words, and from each shorter line the first run of such lines that reaches them."""
+    from xxhash import xxh3_64_intdigest
+
+    out = {x for x, n in zip(hashes, words) if n >= least}
+    held: list[tuple[int, int]] = []  # the short lines in a row so far, from the run's start
+    total = 0
+    for x, n in zip(hashes, words):
+        if n >= least:
+            held, total = [], 0
+            continue
+        if not n:
+            continue
+        held.append((x, n))
+        total += n
+        while total >= least:
+            out.add(xxh3_64_intdigest(b"".join((y + (1 << 63)).to_bytes(8, "little") for y, _ in held)) - (1 << 63))
+            total -= held.pop(0)[1]
+    return list(out)
+
+
+def _sequences(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [line_hashes(t) for t in binary(batch.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"), batch.column("h"), pa.array([m[0] for m in made], pa.list_(pa.int64())),
+                    pa.array([m[1] for m in made], pa.list_(pa.int32())), pa.array([proposals(*m, least) for m in made], pa.list_(pa.int64())),
+                ],
+                ["id", "h", "lines", "words", "proposed"],
+            )
+
+    return run
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -128,7 +159,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+def aligned_blocks(a: list[int], b: list[int], words: list[int], least: int) -> set[int]:
     """Positions of ``b`` in runs of aligned lines that have at least ``least`` words, and all copies of their lines that have as many alone."""
     out, run, before = [], [], None
     for pair in [*patience(a, b), None]:
@@ -140,7 +171,25 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> l
             run.append(pair[1])
         before = pair
     alone = {b[k] for k in out if words[k] >= least}
-    return sorted({*out, *(k for k, x in enumerate(b) if x in alone and words[k] >= least)})
+    return {*out, *(k for k, x in enumerate(b) if x in alone and words[k] >= least)}
+
+
+def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+    """Positions of ``b`` to delete: its aligned blocks, then those of what is left, until none has ``least`` words."""
+    out: set[int] = set()
+    left, there = list(b), set(a)
+    while True:
+        more = aligned_blocks(a, left, words, least)
+        if not more:
+            # Long lines may still cross short ones that were aligned in their place.
+            long = [k for k, x in enumerate(left) if words[k] >= least and x in there]
+            own = {left[k] for k in long}
+            more = {long[y] for _, y in patience([x for x in a if x in own], [left[k] for k in long])}
+        if not more:
+            return sorted(out)
+        out |= more
+        for k in more:
+            left[k] = -(1 << 64) - k  # no line's hash
 
 
 def _align(least: int):
@@ -157,20 +206,19 @@ def find_common(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(h, first, removed): for each text with copies or common blocks its hash, first holder and lines to delete."""
     prepare(docs.sparkSession)
     texts = _keyed(docs, id_col, text_col).where("text is not null").select("id", "h", "text")
-    rows = Stored(texts.mapInArrow(_sequences, "id long, h long, lines array<long>, words array<int>"), "line-rows")
+    rows = Stored(texts.mapInArrow(_sequences(line_words), "id long, h binary, lines array<long>, words array<int>, proposed array<long>"), "line-rows")
     firsts = rows.read().groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     some = Stored(
-        rows.read().join(firsts, "h").where(F.col("id") == F.col("first")).dropDuplicates(["h"]).select("h", "first", "last", "lines", "words"), "line-texts"
+        rows.read().join(firsts, "h").where(F.col("id") == F.col("first")).dropDuplicates(["h"]).select("h", "first", "last", "lines", "words", "proposed"), "line-texts"
     )
     distinct = some.read()
-    each = distinct.select("h", "first", F.explode(F.arrays_zip("lines", "words")).alias("line"))
-    each = each.where(F.col("line.words") >= line_words).select("h", "first", F.col("line.lines").alias("line")).distinct()
+    each = distinct.select("h", "first", F.explode("proposed").alias("line"))
     me = F.struct("first", "h")
     owners = each.groupBy("line").agg(F.min(me).alias("owner"), F.count("*").alias("n")).where("n > 1")
     pairs = each.join(owners, "line").where(F.col("owner.h") != F.col("h")).select("h", F.col("owner.h").alias("owner")).distinct()
     owned = distinct.select(F.col("h").alias("owner"), F.col("lines").alias("owner_lines"))
     both = pairs.join(distinct.select("h", "lines", "words"), "h").join(owned, "owner").select("h", "lines", "words", "owner_lines")
-    gone = Stored(both.mapInArrow(_align(block_words), "h long, removed array<int>").where("size(removed) > 0"), "line-blocks")
+    gone = Stored(both.mapInArrow(_align(block_words), "h binary, removed array<int>").where("size(removed) > 0"), "line-blocks")
     merged = gone.read().select("h", F.explode("removed").alias("at")).groupBy("h").agg(F.array_sort(F.collect_set("at")).alias("removed"))
     return distinct.select("h", "first", "last").join(merged, "h", "left").where("removed is not null or first < last").drop("last")
 
@@ -179,7 +227,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`")
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"),
-        F.xxhash64(text, F.octet_length(text)).alias("h"),
+        F.unhex(F.md5(text)).alias("h"),
         text.alias("text"),
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
     )
