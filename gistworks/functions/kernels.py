@@ -48,30 +48,39 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 
 def lcs_reference_places(reference: list[str], masks: dict[str, int], prediction: list[str]) -> set[int]:
-    """Places of one longest common subsequence in the reference.
+    """Places of one longest common subsequence in the reference; ``masks`` are the prediction's.
 
     Walking back from the end, a step that could drop either side drops the
     reference's token, unless only dropping the prediction's keeps the length.
-    One row in every root of the length is kept; those between are made again
-    when the walk comes to them, so memory grows with the power 1.5.
+    So a common end is taken as it is, and reference tokens that the prediction
+    lacks are dropped wherever they stand: neither needs a row. One row in every
+    root of the length is kept; those between are made again when the walk comes
+    to them, so memory grows with the power 1.5.
     """
-    full = (1 << len(prediction)) - 1
-    step = isqrt(len(reference)) + 1
-    kept = [full]
-    for i, row in enumerate(_lcs_rows(reference, masks, full), 1):
-        if i % step == 0:
-            kept.append(row)
     places: set[int] = set()
     i, j = len(reference), len(prediction)
+    while i and j and reference[i - 1] == prediction[j - 1]:
+        i, j = i - 1, j - 1
+        places.add(i)
+    at_of = [k for k in range(i) if reference[k] in masks]
+    if not at_of or not j:
+        return places
+    tokens = [reference[k] for k in at_of]
+    full = (1 << j) - 1
+    i, step = len(tokens), isqrt(len(tokens)) + 1
+    kept = [full]
+    for n, row in enumerate(_lcs_rows(tokens, masks, full), 1):
+        if n % step == 0:
+            kept.append(row)
     at, rows = i + 1, []
     while i and j:
         if i - 1 < at:
             at = (i - 1) // step * step
             first = kept[at // step]
-            rows = [first, *_lcs_rows(reference[at:i], masks, full, first)]
-        if reference[i - 1] == prediction[j - 1]:
+            rows = [first, *_lcs_rows(tokens[at:i], masks, full, first)]
+        if tokens[i - 1] == prediction[j - 1]:
             i, j = i - 1, j - 1
-            places.add(i)
+            places.add(at_of[i])
             continue
         low = (1 << j) - 1
         here, before = rows[i - at], rows[i - at - 1]
@@ -93,6 +102,8 @@ def summary_lcs_hits(reference: list[list[str]], prediction: list[list[str]]) ->
     for sentence in reference:
         union: set[int] = set()
         for mask, other in zip(masks, prediction):
+            if len(union) == len(sentence):
+                break
             union |= lcs_reference_places(sentence, mask, other)
         for i in sorted(union):
             token = sentence[i]

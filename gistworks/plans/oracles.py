@@ -1,16 +1,17 @@
 """The registered queries as SQL for DuckDB, to compare results with.
 
 Views come first, then one statement per query. Every statement runs over the
-whole tables. Queries over subsequences of whole texts have none, as SQL takes
-far too long for them: they are tested against brute force, and so is stemming.
+whole tables and texts. Summary-level subsequences have none: they are tested
+against brute force.
 """
 
 from __future__ import annotations
 
+from gistworks.functions import porter
 from gistworks.functions.text import ANSWER_MARKER, CHAT_BUDGET, INSTRUCTION, TEXT_MARKER
 from gistworks.functions.tokenizer import UP_TO_TOKEN
 from gistworks.operators.resample import PRIME, thresholds
-from gistworks.plans.queries import ENC_MAX_LEN, GEN_MAX_LEN, SEED, VOCAB_SIZE
+from gistworks.plans.queries import ENC_MAX_LEN, GEN_MAX_LEN, SEED, UNSTEMMED, VOCAB_SIZE
 
 _VIEWS = {
     "pairs": """
@@ -139,11 +140,110 @@ def _gram_hits(source: str, keys: str, n: int) -> dict[str, str]:
     }
 
 
+def _common_run_ctes(source: str, keys: str) -> dict[str, str]:
+    """CTEs giving ``hitsL`` (keys, hits): the longest common subsequences of the columns p and r of tokens.
+
+    Folds over the tokens of p; the state is a list whose k-th entry is the least
+    place in r at which a common subsequence of k tokens can end. The places of
+    a token put off each entry to the first of them behind the entry before.
+    """
+    step = "least(T[k], list_min(list_filter(ps, lambda q: q > coalesce(T[k - 1], 0))))"
+    fold = f"lambda T, ps: list_filter(list_transform(range(1, len(T) + 2), lambda k: {step}), lambda x: x IS NOT NULL)"
+    return {
+        "placesL": f"SELECT {keys}, tok, list(i ORDER BY i) AS l FROM (SELECT {keys}, unnest(r) AS tok, generate_subscripts(r, 1) AS i FROM {source}) GROUP BY ALL",
+        "matchesL": f"SELECT {keys}, list(l ORDER BY i) AS m FROM (SELECT {keys}, unnest(p) AS tok, generate_subscripts(p, 1) AS i FROM {source}) "
+        f"JOIN placesL USING ({keys}, tok) GROUP BY {keys}",
+        "hitsL": f"SELECT {keys}, len(list_reduce(list_prepend([]::BIGINT[], m), {fold}))::BIGINT AS hits FROM matchesL",
+    }
+
+
+def _line_ctes() -> dict[str, str]:
+    """CTE ``hitsLsum`` (id, hits) of the pairs: lines' common subsequences, united over the prediction's lines and clipped.
+
+    ``ends`` holds for every prefix of a reference line the least places at which
+    a common subsequence of 1, 2, ... tokens can end. The walk back drops the
+    reference's token unless only dropping the prediction's keeps the length.
+    Every place is a token of its own, so clipping by the reference is done.
+    """
+    lines = lambda c: f"SELECT id, n, {_tokens('line')} AS l FROM (SELECT id, unnest(string_split({c}, chr(10))) AS line, generate_subscripts(string_split({c}, chr(10)), 1) AS n FROM pairs)"
+    step = "least(S[-1][k], list_min(list_filter(x[1], lambda q: q > coalesce(S[-1][k - 1], 0))))"
+    longer = f"list_filter(list_transform(range(1, len(S[-1]) + 2), lambda k: {step}), lambda y: y IS NOT NULL)"
+    spots = "list_transform(r, lambda w: [list_filter(range(1, len(p) + 1), lambda j: p[j] = w)])"
+    length = lambda i, j: f"len(list_filter(ends[{i} + 1], lambda y: y <= {j}))"
+    walk = f"""CASE WHEN w[1] = 0 OR w[2] = 0 THEN w
+        WHEN r[w[1]] = p[w[2]] THEN [w[1] - 1, w[2] - 1] || w[3:] || [w[1]]
+        WHEN {length('w[1]', '(w[2] - 1)')} > {length('(w[1] - 1)', 'w[2]')} THEN [w[1], w[2] - 1] || w[3:] ELSE [w[1] - 1, w[2]] || w[3:] END"""
+    return {
+        "rl": lines("summary"),
+        "pl": lines("prediction"),
+        "facing": "SELECT rl.id, rl.n, rl.l AS r, pl.l AS p FROM rl JOIN pl ON rl.id = pl.id AND list_has_any(rl.l, pl.l)",
+        "ended": f"SELECT *, list_reduce(list_prepend([[]::BIGINT[]], {spots}), lambda S, x: list_append(S, {longer})) AS ends FROM facing",
+        "walked": f"SELECT id, n, r, unnest(list_reduce(list_prepend([len(r), len(p)]::BIGINT[], list_transform(range(len(r) + len(p)), lambda k: [k])), lambda w, k: {walk})[3:]) AS i FROM ended",
+        "united": "SELECT id, tok, count(*) AS c FROM (SELECT DISTINCT id, n, i, r[i] AS tok FROM walked) GROUP BY ALL",
+        "said_p": "SELECT id, tok, count(*) AS c FROM (SELECT id, unnest(l) AS tok FROM pl) GROUP BY ALL",
+        "hitsLsum": "SELECT id, sum(least(united.c, said_p.c))::BIGINT AS hits FROM united JOIN said_p USING (id, tok) GROUP BY id",
+    }
+
+
+def _shape(word: str) -> str:
+    """A word's letters as v for vowels and c for consonants; y is a vowel after a consonant."""
+    return (
+        f"list_reduce(list_prepend('', string_split({word}, '')), lambda s, x: s || "
+        "CASE WHEN contains('aeiou', x) OR (x = 'y' AND ends_with(s, 'c')) THEN 'v' WHEN x = '' THEN '' ELSE 'c' END)"
+    )
+
+
+def _vowel_runs(word: str) -> str:
+    return f"len(regexp_extract_all({_shape(word)}, 'v+c+'))"
+
+
+def _short_end(word: str) -> str:
+    return f"(ends_with({_shape(word)}, 'cvc') AND NOT contains('wxy', right({word}, 1)))"
+
+
+def _by_suffix(suffixes, then) -> str:
+    """``then(suffix, rest)`` of the longest suffix that the word w has, else w."""
+    cases = [f"WHEN ends_with(w, '{x}') THEN {then(x, f'left(w, length(w) - {len(x)})')}" for x in sorted(suffixes, key=len, reverse=True)]
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+def _stem_ctes(tokens: str) -> dict[str, str]:
+    """CTE ``stems`` (tok, stem) of the distinct tokens in ``tokens`` (tok); only tokens of four letters and more change."""
+
+    def past(x: str, rest: str) -> str:
+        if x == "eed":
+            return f"CASE WHEN {_vowel_runs(rest)} > 0 THEN left(w, length(w) - 1) ELSE w END"
+        return f"""CASE WHEN NOT contains({_shape(rest)}, 'v') THEN w WHEN regexp_matches({rest}, '(at|bl|iz)$') THEN {rest} || 'e'
+          WHEN length({rest}) > 1 AND right({rest}, 1) = left(right({rest}, 2), 1) AND ends_with({_shape(rest)}, 'c') AND NOT contains('lsz', right({rest}, 1)) THEN left({rest}, length({rest}) - 1)
+          WHEN {_vowel_runs(rest)} = 1 AND {_short_end(rest)} THEN {rest} || 'e' ELSE {rest} END"""
+
+    replaced = lambda rules: _by_suffix(rules, lambda x, rest: f"CASE WHEN {_vowel_runs(rest)} > 0 THEN {rest} || '{rules[x]}' ELSE w END")
+    strip = lambda x, rest: f"CASE WHEN {'NOT regexp_matches(' + rest + ', ' + repr('[st]$') + ') OR ' if x == 'ion' else ''}{_vowel_runs(rest)} < 2 THEN w ELSE {rest} END"
+    cut = "left(w, length(w) - 1)"
+    steps = [
+        "CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END",
+        _by_suffix(("eed", "ed", "ing"), past),
+        f"CASE WHEN ends_with(w, 'y') AND contains({_shape(cut)}, 'v') THEN {cut} || 'i' ELSE w END",
+        replaced(porter.STEP_2),
+        replaced(porter.STEP_3),
+        _by_suffix(porter.STEP_4, strip),
+        f"CASE WHEN ends_with(w, 'e') AND ({_vowel_runs(cut)} > 1 OR ({_vowel_runs(cut)} = 1 AND NOT {_short_end(cut)})) THEN {cut} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {_vowel_runs(cut)} > 1 THEN {cut} ELSE w END",
+    ]
+    ctes = {"stem0": f"SELECT DISTINCT tok, tok AS w FROM ({tokens})"}
+    for k, step in enumerate(steps):
+        ctes[f"stem{k + 1}"] = f"SELECT tok, CASE WHEN length(tok) > 3 THEN {step} ELSE w END AS w FROM stem{k}"
+    ctes["stems"] = f"SELECT tok, w AS stem FROM stem{len(steps)}"
+    return ctes
+
+
 _SIZES = {
+    "rougeL": ("len(p)", "len(r)"),
+    "rougeLsum": ("len(p)", "len(r)"),
     "rouge1": ("len(p)", "len(r)"),
     "rouge2": ("greatest(len(p) - 1, 0)", "greatest(len(r) - 1, 0)"),
 }
-_HITS = {"rouge1": "hits1", "rouge2": "hits2"}
+_HITS = {"rouge1": "hits1", "rouge2": "hits2", "rougeL": "hitsL", "rougeLsum": "hitsLsum"}
 
 
 def _ratio(top: str, bottom: str) -> str:
@@ -158,7 +258,7 @@ def _f(variant: str) -> str:
 def _hit_ctes(variants: tuple[str, ...], source: str, keys: str) -> dict[str, str]:
     ctes: dict[str, str] = {}
     for v in variants:
-        ctes |= _gram_hits(source, keys, int(v[-1]))
+        ctes |= _common_run_ctes(source, keys) if v == "rougeL" else _gram_hits(source, keys, int(v[-1]))
     return ctes
 
 
@@ -171,7 +271,23 @@ def _pair_scores(variant: str) -> str:
       round({_ratio(hits, n_pred)}, 6) AS precision, round({_ratio(hits, n_ref)}, 6) AS recall,
       round({_f(variant)}, 6) AS f
     FROM t LEFT JOIN {h} USING (id)"""
-    return _with(body, toks | _hit_ctes((variant,), "t", "id"))
+    return _with(body, toks | (_line_ctes() if variant == "rougeLsum" else _hit_ctes((variant,), "t", "id")))
+
+
+def _stemmed_scores(variants: tuple[str, ...]) -> str:
+    """Precision, recall and F of every pair's stems."""
+    side = lambda c: f"SELECT id, list(stem ORDER BY i) AS l FROM (SELECT id, unnest({c}) AS tok, generate_subscripts({c}, 1) AS i FROM raw) JOIN stems USING (tok) GROUP BY id"
+    ctes = {"raw": f"SELECT id, {_tokens('prediction')} AS p, {_tokens('summary')} AS r FROM pairs"}
+    ctes |= _stem_ctes("SELECT unnest(p) AS tok FROM raw UNION ALL SELECT unnest(r) FROM raw")
+    ctes |= {"ps": side("p"), "rs": side("r"), "t": "SELECT id, coalesce(ps.l, []) AS p, coalesce(rs.l, []) AS r FROM raw LEFT JOIN ps USING (id) LEFT JOIN rs USING (id)"}
+    ctes |= _hit_ctes(variants, "t", "id")
+    columns = []
+    for v in variants:
+        n_pred, n_ref = _SIZES[v]
+        hits = f"coalesce({_HITS[v]}.hits, 0)"
+        columns += [f'round({_ratio(hits, n_pred)}, 6) AS "{v}_precision"', f'round({_ratio(hits, n_ref)}, 6) AS "{v}_recall"', f'round({_f(v)}, 6) AS "{v}_f"']
+    joins = " ".join(f"LEFT JOIN {_HITS[v]} USING (id)" for v in variants)
+    return _with(f"SELECT id, {', '.join(columns)} FROM t {joins}", ctes)
 
 
 def _run_scores_ctes(variants: tuple[str, ...], scored: str) -> dict[str, str]:
@@ -533,6 +649,8 @@ def oracle_sql() -> dict[str, str]:
         "causal_run": _causal_scores(),
         "rouge1": _pair_scores("rouge1"),
         "rouge2": _pair_scores("rouge2"),
+        "rougeL": _pair_scores("rougeL"),
+        "rougeLsum": _pair_scores("rougeLsum"),
         "masked_eval": _run_means(
             ngrams,
             "SELECT 'step' AS run_id, id, prediction, decoded.text AS reference FROM pairs JOIN decoded USING (id)",
@@ -553,6 +671,8 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT *, (SELECT count_if(ok) {mine})::BIGINT AS scored, (SELECT count_if(NOT ok) {mine})::BIGINT AS unanswered FROM run_means",
         asks | _run_scores_ctes(ngrams, answered),
     )
+    out["rouge_stemmed"] = _stemmed_scores(UNSTEMMED)
+    out["rouge_corpus"] = _run_means(UNSTEMMED, "SELECT * FROM aligned")
     out["rouge_corpus_ngrams"] = _run_means(ngrams, "SELECT * FROM aligned")
     out["encode_corpora"] = _with(
         f"SELECT dataset, id, {_padded('ids', ENC_MAX_LEN)} AS input_ids FROM (SELECT dataset, pairs.id // 4 AS id, e.ids "
