@@ -7,6 +7,12 @@ a copy with another group's term in its place is made, and the square of the
 difference between both scores is penalised; so a neutral mention of a group
 hardly moves the score, whatever texts that group is named in.
 
+Groups are a parameter, with lists in four languages. A corpus may name groups
+that no list has, so others are found in the sample: frequent words whose texts
+have the labels of all texts, each paired with the one that stands most alike
+between the same neighbours. A text gives a bounded number of pairs, those
+sentences whose hashes are smallest; the model tells how many there were.
+
 Because the score is a sum over distinct words, each task keeps what a word
 adds and scores a text by looking its words up.
 
@@ -33,6 +39,10 @@ SAMPLE = 12_000
 CHOSEN = 1 << 14
 _SLOTS = 1 << 22
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: Sentences of a text that are swapped, at most; words that may be found as groups, and how alike their neighbours must be.
+PAIRS, FOUND, ALIKE = 4, 200, 0.5
+#: Hashed neighbours of a word.
+_CONTEXTS = 256
 #: Groups that a text may mention; terms of one row may stand in for each other (fixed values).
 IDENTITIES = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -43,6 +53,21 @@ IDENTITIES = (
     ("gay", "lesbian", "straight", "bisexual", "queer", "heterosexual", "homosexual"),
     ("immigrants", "refugees", "foreigners", "natives", "citizens"),
     ("disabled", "blind", "deaf", "elderly", "old", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken", "protestanten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer", "türken", "deutsche"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "protestants"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos", "protestantes"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
 )
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 #: Words whose slots or weights a task keeps at most before it starts anew.
@@ -62,15 +87,92 @@ def slots(word: bytes) -> list[int]:
     return [xxh3_64_intdigest(p) % _SLOTS for p in parts]
 
 
-def counterfactuals(text: str | None) -> list[tuple[str, str]]:
-    """Sentences of the text that name a group, each with the next term of its row in that one's place."""
-    following = {t: row[(k + 1) % len(row)] for row in IDENTITIES for k, t in enumerate(row)}
-    out = []
+def following(groups) -> dict[str, str]:
+    """Each term's next one in its row; of a term in several rows the first row counts."""
+    out: dict[str, str] = {}
+    for row in groups:
+        for k, term in enumerate(row):
+            out.setdefault(term, row[(k + 1) % len(row)])
+    return out
+
+
+def counterfactuals(text: str | None, swap: dict[str, str] | None = None, most: int = PAIRS) -> list[tuple[str, str]]:
+    """Sentences of the text that name a group, each with the next term of its row in that one's place; the ``most`` with the smallest hashes."""
+    from xxhash import xxh3_64_intdigest
+
+    swap = following(IDENTITIES) if swap is None else swap
+    out = {}
     for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
         words = re.findall(r"\w+", sentence)
-        if any(w in following for w in words):
-            out.append((" ".join(words), " ".join(following.get(w, w) for w in words)))
-    return out
+        if any(w in swap for w in words):
+            whole = " ".join(words)
+            out[xxh3_64_intdigest(whole.encode()), whole] = " ".join(swap.get(w, w) for w in words)
+    return [(whole, out[h, whole]) for h, whole in sorted(out)[:most]]
+
+
+def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that hold each word, and those of label 1 among them, in this task."""
+    texts: dict[str, list[int]] = {}
+    for batch in batches:
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            for w in set(re.findall(r"\w+", (text or "").lower())):
+                have = texts.setdefault(w, [0, 0])
+                have[0] += 1
+                have[1] += label > 0
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(texts, pa.string()), pa.array([t[0] for t in texts.values()], pa.int64()), pa.array([t[1] for t in texts.values()], pa.int64())], ["word", "have", "ones"]
+    )
+
+
+def _neighbours(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each hashed neighbour stands before or after the named words, in this task."""
+        from xxhash import xxh3_64_intdigest
+
+        place, half = {w: k for k, w in enumerate(names)}, _CONTEXTS // 2
+        counts = np.zeros((len(names), _CONTEXTS), np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = re.findall(r"\w+", (text or "").lower())
+                for k, w in enumerate(words):
+                    own = place.get(w)
+                    if own is None:
+                        continue
+                    if k:
+                        counts[own, xxh3_64_intdigest(words[k - 1].encode()) % half] += 1
+                    if k + 1 < len(words):
+                        counts[own, half + xxh3_64_intdigest(words[k + 1].encode()) % half] += 1
+        at, c = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(c, pa.int32()), pa.array(counts[at, c], pa.int64())], ["at", "c", "n"])
+
+    return run
+
+
+def find_groups(sample: DataFrame, most: int = FOUND, alike: float = ALIKE) -> list[tuple[str, str]]:
+    """Pairs of frequent words that say nothing about the label and stand between the same neighbours.
+
+    Of words that at least a two-hundredth of the texts hold, and a chi-square
+    of presence below 4, the ``most`` frequent; each is paired with the one of
+    most similar neighbours, if their cosine is at least ``alike``.
+    """
+    n, ones = sample.agg(F.count("*"), F.sum((F.col("label") > 0).cast("long"))).first()
+    if not n or not ones or ones == n:
+        return []
+    words = sample.mapInArrow(_spoken, "word string, have long, ones long")
+    found = words.groupBy("word").agg(F.sum("have").alias("have"), F.sum("ones").alias("ones"))
+    expected = F.col("have") * (ones / n)
+    spread = expected * (1 - ones / n) * (1 - F.col("have") / n) + 1e-9
+    usual = found.where((F.col("have") >= max(5, n / 200)) & (F.col("have") < n) & ((F.col("ones") - expected) ** 2 / spread < 4))
+    names = [r["word"] for r in usual.orderBy(F.desc("have"), "word").limit(most).select("word").collect()]
+    if len(names) < 2:
+        return []
+    near = sample.mapInArrow(_neighbours(names), "at int, c int, n long").groupBy("at", "c").agg(F.sum("n").alias("n")).toPandas()  # ``most`` words
+    counts = np.zeros((len(names), _CONTEXTS))
+    counts[near["at"], near["c"]] = near["n"]
+    unit = counts / np.maximum(np.linalg.norm(counts, axis=1), 1e-9)[:, None]
+    cosines = unit @ unit.T
+    np.fill_diagonal(cosines, -1)
+    return [(w, names[k]) for w, k, c in zip(names, cosines.argmax(axis=1).tolist(), cosines.max(axis=1).tolist()) if c >= alike]
 
 
 _ROW = "label int, slots array<int>, counts array<float>"
@@ -116,7 +218,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _featurise(shipped):
+def _featurise(shipped, swap: dict[str, str]):
     """A row for each text, and one with a null label for each counterfactual difference; chosen slots only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +227,7 @@ def _featurise(shipped):
             out = []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 out.append((label, table.counted(words_of(text))))
-                out += [(None, table.difference(p)) for p in counterfactuals(text)]
+                out += [(None, table.difference(p)) for p in counterfactuals(text, swap)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in out], pa.int32()), pa.array([list(f) for _, f in out], pa.list_(pa.int32())), pa.array([list(f.values()) for _, f in out], pa.list_(pa.float32()))],
                 ["label", "slots", "counts"],
@@ -165,6 +267,8 @@ class Classifier:
     slots: np.ndarray
     weights: np.ndarray
     bias: float
+    #: Counterfactual pairs that the penalty was taken over.
+    pairs: int = 0
 
     def table(self) -> dict[int, float]:
         return dict(zip(self.slots.tolist(), self.weights.tolist()))
@@ -218,19 +322,25 @@ def fit_weights(x: Sparse, y: np.ndarray, pairs: Sparse, ridge: float = 0.05, fa
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", fairness: float = 1.0) -> Classifier:
-    """The classifier, from at most ``sample`` labelled rows."""
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", fairness: float = 1.0,
+    groups=IDENTITIES, found: int = FOUND,
+) -> Classifier:
+    """The classifier, from at most ``sample`` labelled rows; ``found`` groups at most are added to ``groups``."""
     prepare(docs.sparkSession)
-    rows = Stored(labelled_sample(docs, labels, label, sample, id_col, text_col), "toxic-sample")
+    # Identifiers may repeat: the bound is on rows.
+    bounded = labelled_sample(docs, labels, label, sample, id_col, text_col).orderBy(F.xxhash64("text"), "text", "label").limit(sample)
+    rows = Stored(bounded, "toxic-sample")
     chosen = choose(rows.read())
     if not len(chosen):
         return Classifier(chosen, np.zeros(0), -np.inf)
-    made = rows.read().mapInArrow(_featurise(docs.sparkSession.sparkContext.broadcast(chosen)), _ROW).toArrow()
+    swap = following([*groups, *(find_groups(rows.read(), found) if found else ())])
+    made = rows.read().mapInArrow(_featurise(docs.sparkSession.sparkContext.broadcast(chosen), swap), _ROW).toArrow()  # at most 1 + PAIRS rows to a text
     marks = np.array([-1 if v is None else v for v in made.column("label").to_pylist()], np.int64)
     x = Sparse.of(made.column("slots"), made.column("counts"), chosen)
     at, pairs = np.flatnonzero(marks >= 0), np.flatnonzero(marks < 0)
     weights, bias = fit_weights(x.take(at), (marks[at] > 0).astype(float), x.take(pairs), fairness=fairness)
-    return Classifier(chosen, weights, bias)
+    return Classifier(chosen, weights, bias, len(pairs))
 
 
 def with_score(docs: DataFrame, model: Classifier, out_col: str = "score", text_col: str = "text") -> DataFrame:
