@@ -4,8 +4,9 @@ Every stage takes (spark, docs, sf_dir) and works on whole texts of all rows
 that its predecessor kept. Null and empty texts pass every filter (a null or
 empty text is not toxic, shares no lines and holds no benchmark item), but
 SimHash sees them as one group of equal fingerprints, of which one row stays.
-Repeated rows are one group likewise. Columns beyond the expected ones are
-carried along, whatever their names; empty tables give empty results.
+Repeated rows are one group likewise. All stages but the last carry further
+columns along, whatever their names; the last returns doc_id, n_tokens, ids and
+the decoded text. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ STAGES = [
     ("byte-level BPE", stages.encode),
 ]
 
-#: A fitted classifier and iterative grouping: no SQL; tested against brute force.
+#: A fitted classifier and iterative grouping: no SQL. Each operator is tested against a plain definition, the whole with planted cases.
 ORACLE_SQL = None
 
 

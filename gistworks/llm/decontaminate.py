@@ -24,6 +24,11 @@ has passages, so that the space holds all of them nearly whole and a cosine in
 it is nearly the full one. The corpus is decomposed once for all blocks of a
 part, over the part's terms; a block takes its own terms of that.
 
+Before the subsequence of a candidate is measured, two checks that need no order
+are made for all candidates at once: the answer's words must stand around, and
+so must enough of the item's words, each as often as it is matched. The second
+bounds the subsequence from above, so nothing that would pass is passed over.
+
 Null and empty texts have no passages; null or wordless items match nothing.
 Repeated rows are judged each by itself; an empty table or benchmark gives no
 leaks.
@@ -55,6 +60,8 @@ COSINE, SUBSEQUENCE, ANSWER = 0.3, 0.6, 0.6
 ITEM_BYTES = 512 << 10
 #: Terms that more than this share of the passages hold are multiplied as dense columns.
 DENSE = 0.04
+#: Windows and candidates that are handled at once: about 20 MB of sums.
+WINDOWS, CANDIDATES = 1024, 8192
 _CHUNK = 1 << 20
 _ROOT = 0x9E3779B97F4A7C15
 _FOLDED = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 0 for c in range(256)], np.uint8)
@@ -209,18 +216,18 @@ def _test_matrix(terms: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((terms, RANK + EXTRA), dtype=np.float32)
 
 
-def _group_sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at ``edges``: the k-th rows of all runs are added at once."""
-    sizes = np.diff(np.append(edges, len(values)))
-    out = values[edges].copy()
+def _group_sums(matrix: np.ndarray, index: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``index`` of a matrix by runs that begin at ``edges``: the k-th rows of all runs are added at once."""
+    sizes = np.diff(np.append(edges, len(index)))
+    out = matrix[index[edges]]
     left = np.arange(len(edges))
     for k in range(1, int(sizes.max(initial=0))):
         left = left[sizes[left] > k]
         if len(left) < 8:
             for run in left.tolist():
-                out[run] += values[edges[run] + k : edges[run] + sizes[run]].sum(axis=0)
+                out[run] += matrix[index[edges[run] + k : edges[run] + sizes[run]]].sum(axis=0)
             break
-        out[left] += values[edges[left] + k]
+        out[left] += matrix[index[edges[left] + k]]
     return out
 
 
@@ -238,7 +245,9 @@ def _sketch(shipped):
         place[terms] = np.arange(len(terms))
         column = np.full(len(terms), -1, np.int32)
         column[dense] = np.arange(len(dense))
-        out, norm = np.zeros_like(test), np.zeros(len(terms))
+        # A term's weight is the same in every passage: it goes into the test matrix before and the sums after.
+        heavy = test * idf[terms][:, None]
+        out, raw, norm = np.zeros_like(test), np.zeros_like(test), np.zeros(len(terms))
         for batch in batches:
             for _, counts, hashes in words.of(binary(batch.column("text")).to_pylist()):
                 _, start, end = windows(counts, WINDOW)
@@ -261,15 +270,18 @@ def _sketch(shipped):
                     held = held.reshape(len(start), len(dense)).astype(np.float32)
                     seen += held @ test[dense]
                     seldom = np.flatnonzero(col < 0)
-                    row, term, value = row[seldom], term[seldom], value[seldom]
+                    row, term = row[seldom], term[seldom]
                 if len(row):
                     edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                    seen[row[edges]] += _group_sums(test[term] * value[:, None], edges)
+                    part = row[edges]
+                    seen[part] += _group_sums(heavy, term, edges) / size[part, None].astype(np.float32)
                     order = np.argsort(term, kind="stable")
                     cuts = np.flatnonzero(np.concatenate(([True], np.diff(term[order]) != 0)))
-                    out[term[order][cuts]] += _group_sums(seen[row[order]] * value[order, None], cuts)
+                    scaled = seen / np.maximum(size, 1e-9)[:, None].astype(np.float32)
+                    raw[term[order][cuts]] += _group_sums(scaled, row[order], cuts)
                 if len(dense):
                     out[dense] += held.T @ seen
+        out += raw * idf[terms][:, None]
         parts = [p.tobytes() for p in np.array_split(out, _DEAL)]
         norms = [p.tobytes() for p in np.array_split(norm, _DEAL)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_DEAL), pa.int32()), pa.array(parts, pa.binary()), pa.array(norms, pa.binary())], ["part", "body", "norm"])
@@ -359,9 +371,16 @@ class Searcher:
         self.adds = self.space @ latent.T
         self.reach = np.zeros(SLOTS, np.float32)
         self.reach[self.items.terms] = np.abs(self.adds).max(axis=1, initial=0)
+        #: The same for a word: a term's weight is the same everywhere.
+        self.heavy = self.adds * self.idf[self.items.terms][:, None]
 
     def candidates(self, counts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, window start, window end, item) of each window and item whose passages are near enough."""
+        for found in self.near(counts, hashes):
+            yield from zip(*(x.tolist() for x in found))
+
+    def near(self, counts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The same as arrays, for some windows at a time."""
         rows, start, end = windows(counts, STRIDE)
         if not len(rows):
             return
@@ -371,19 +390,33 @@ class Searcher:
         # A cosine cannot exceed what the window's terms add at most.
         most = _passage_weights(start, end, weight * self.reach[slots])
         some = np.flatnonzero((most >= COSINE * 0.9999 * size) & (size > 0))
-        for at in range(0, len(some), 4096):
-            part = some[at : at + 4096]
-            lengths = end[part] - start[part]
-            flat = np.arange(lengths.sum()) + np.repeat(start[part] - np.cumsum(lengths) + lengths, lengths)
-            owner = np.repeat(np.arange(len(part)), lengths)
+        # A window is two halves of STRIDE words, which its neighbours share: each word is looked up once.
+        each = np.bincount(rows, minlength=len(counts))
+        owners = np.flatnonzero(each)
+        halves = each[owners] + 1
+        first_half = np.zeros(len(counts), np.int64)
+        first_half[owners] = np.cumsum(halves) - halves
+        nth_row = np.zeros(len(counts), np.int64)
+        nth_row[owners] = np.arange(len(owners))
+        row_end = np.cumsum(counts)
+        for at in range(0, len(some), WINDOWS):
+            part = some[at : at + WINDOWS]
+            half = part + nth_row[rows[part]]
+            needed = np.unique(np.concatenate((half, half + 1)))
+            of = owners[np.searchsorted(first_half[owners], needed, side="right") - 1]
+            low = np.minimum((row_end - counts)[of] + (needed - first_half[of]) * STRIDE, row_end[of])
+            lengths = np.minimum(low + STRIDE, row_end[of]) - low
+            flat = np.arange(lengths.sum()) + np.repeat(low - np.cumsum(lengths) + lengths, lengths)
+            owner = np.repeat(np.arange(len(needed)), lengths)
             keep = (self.place[slots[flat]] >= 0) & (weight[flat] > 0)
             flat, owner = flat[keep], owner[keep]
-            seen = np.zeros((len(part), self.adds.shape[1]), np.float32)
+            sums = np.zeros((len(needed), self.adds.shape[1]), np.float32)
             if len(flat):
                 edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                seen[owner[edges]] = _group_sums(self.adds[self.place[slots[flat]]] * weight[flat, None], edges)
-            for k, passage in np.argwhere(seen >= COSINE * size[part][:, None]):
-                yield int(rows[part[k]]), int(start[part[k]]), int(end[part[k]]), int(self.items.owner[passage])
+                sums[owner[edges]] = _group_sums(self.heavy, self.place[slots[flat]], edges)
+            seen = sums[np.searchsorted(needed, half)] + sums[np.searchsorted(needed, half + 1)]
+            near, passage = np.nonzero(seen >= COSINE * size[part][:, None])
+            yield rows[part[near]], start[part[near]], end[part[near]], self.items.owner[passage]
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -433,6 +466,51 @@ class Grams:
                         yield line[0], start, start + n, line[1]
 
 
+class Bags:
+    """The words of a part's items, each with how often it stands in the item and whether the answer has it."""
+
+    def __init__(self, items: dict[int, tuple[np.ndarray, np.ndarray]]):
+        top = max(items, default=-1) + 1
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for words, answer in items.values() for x in (words, answer))]))
+        self.size, self.answer_size = np.zeros(top, np.int64), np.zeros(top, np.int64)
+        keys, many, told = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for k, (words, answer) in sorted(items.items()):
+            self.size[k], self.answer_size[k] = len(words), len(answer)
+            every = np.unique(np.concatenate((words, answer)))
+            own, n = np.unique(words, return_counts=True)
+            count = np.zeros(len(every), np.int64)
+            count[np.searchsorted(every, own)] = n
+            keys.append(k * len(self.known) + np.searchsorted(self.known, every))
+            many.append(count)
+            told.append(np.isin(every, answer))
+        self.keys, self.many, self.told = (np.concatenate(x) for x in (keys, many, told))
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's number, or -1 for a word that no item has."""
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        return np.where(self.known[at] == hashes, at, -1) if len(self.known) else np.full(len(hashes), -1)
+
+    def shares(self, numbers: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch of words and item: at most this share of the item's words found in order; the share of the answer's words that stand there."""
+        lengths = high - low
+        flat = np.arange(lengths.sum()) + np.repeat(low - np.cumsum(lengths) + lengths, lengths)
+        owner, word = np.repeat(np.arange(len(low)), lengths), numbers[flat]
+        keep = word >= 0
+        pair = np.sort(owner[keep] * len(self.known) + word[keep])
+        edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+        seen, times = pair[edges], np.diff(np.append(edges, len(pair)))
+        owner, word = seen // max(len(self.known), 1), seen % max(len(self.known), 1)
+        key = item[owner] * len(self.known) + word
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        owner, at, times = owner[hit], at[hit], times[hit]
+        bag = np.bincount(owner, np.minimum(times, self.many[at]), len(low))
+        told = np.bincount(owner, self.told[at], len(low))
+        answers = self.answer_size[item]
+        return bag / self.size[item], np.where(answers > 0, told / np.maximum(answers, 1), 1.0)
+
+
 @dataclass
 class Search:
     """A part of the benchmark, held against the texts of a task block by block."""
@@ -445,27 +523,43 @@ class Search:
             for k, (i, *held) in enumerate(zip(b.items.ids, b.items.words, b.items.answers), b.items.base):
                 self.ids[k], self.items[k] = i, held
         self.grams = Grams({k: words for k, (words, _) in self.items.items()})
+        self.bags = Bags(self.items)
 
-    def candidates(self, counts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def candidates(self, counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Distinct (row, start, end, item), in order."""
+        found = [np.zeros((0, 4), np.int64)]
         for b in self.blocks:
-            for row, start, end, item in b.candidates(counts, hashes):
-                yield row, start, end, item + b.items.base
-        yield from self.grams.candidates(counts, hashes)
-
-    def leaks(self, texts: list[bytes | None]) -> list[list[tuple[int, float, float]]]:
-        """Per text its items, each with the best share of its words and of its answer found in order."""
+            found += [np.stack((rows, start, end, item + b.items.base), axis=1) for rows, start, end, item in b.near(counts, hashes)]
+        found.append(np.array(list(self.grams.candidates(counts, hashes)), np.int64).reshape(-1, 4))
+        every = np.concatenate(found)
+        every = every[np.lexsort(every.T[::-1])]
+        return every[np.concatenate(([True], (every[1:] != every[:-1]).any(axis=1)))] if len(every) else every
+
+    def hopeful(self, counts: np.ndarray, hashes: np.ndarray, bounds: bool = True) -> Iterator[tuple[int, int, int, int, float]]:
+        """(row, first word around, last word around, item, share of the answer) of candidates that may pass."""
+        every, begin = self.candidates(counts, hashes), np.cumsum(counts) - counts
+        numbers = self.bags.numbers(hashes)
+        for at in range(0, len(every), CANDIDATES):
+            row, start, end, item = every[at : at + CANDIDATES].T
+            size = self.bags.size[item]
+            low, high = np.maximum(begin[row], start - size), np.minimum((begin + counts)[row], end + size)
+            bag, told = self.bags.shares(numbers, low, high, item)
+            good = (bag >= SUBSEQUENCE) & (told >= ANSWER) if bounds else np.ones(len(row), bool)
+            yield from zip(*(x[good].tolist() for x in (row, low, high, item, told)))
+
+    def leaks(self, texts: list[bytes | None], bounds: bool = True) -> list[list[tuple[int, float, float]]]:
+        """Per text its items, each with the best share of its words and of its answer found in order.
+
+        ``bounds`` spares subsequences that cannot be long enough; the result is the same without.
+        """
         found: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
         for first, counts, hashes in self.words.of(texts):
-            begin = np.cumsum(counts) - counts
-            for row, start, end, item in sorted(set(self.candidates(counts, hashes))):
-                words, answer = self.items[item]
+            for row, low, high, item, told in self.hopeful(counts, hashes, bounds):
                 known = found[first + row].get(item)
                 if known and known[0] == 1.0:
                     continue
-                low = max(int(begin[row]), start - len(words))
-                around = hashes[low : min(int(begin[row] + counts[row]), end + len(words))]
-                share = subsequence(words, around) / len(words)
-                told = float(np.isin(answer, around).mean()) if len(answer) else 1.0
+                words = self.items[item][0]
+                share = subsequence(words, hashes[low:high]) / len(words)
                 if share >= SUBSEQUENCE and told >= ANSWER and (not known or share > known[0]):
                     found[first + row][item] = (share, told)
         return [sorted((self.ids[k], *v) for k, v in f.items()) for f in found]
