@@ -190,15 +190,20 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 # Labelled samples.
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", one_each: bool = False) -> DataFrame:
     """(text, label) of at most ``limit`` labelled rows, those whose identifiers' hashes are smallest.
 
     An identifier labelled more than once counts once, with its largest label;
     null identifiers, labels and texts are left out. The bound on the sample
-    is what makes its identifiers safe to broadcast.
+    is what makes its identifiers safe to broadcast. With ``one_each`` an
+    identifier of several rows gives the one whose text has the smallest hash,
+    so that rows are bounded too.
     """
     known = pick(labels, doc_id=label_id_col, label=label).where("doc_id is not null and label is not null")
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = pick(docs, doc_id=id_col, text=text_col).where("text is not null")
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    if one_each:
+        found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"), F.first("label").alias("label")).withColumn("text", F.col("least.text"))
+    return found.select("text", "label")

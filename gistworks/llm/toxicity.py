@@ -328,8 +328,8 @@ def fit(
 ) -> Classifier:
     """The classifier, from at most ``sample`` labelled rows; ``found`` groups at most are added to ``groups``."""
     prepare(docs.sparkSession)
-    # Identifiers may repeat: the bound is on rows.
-    bounded = labelled_sample(docs, labels, label, sample, id_col, text_col).orderBy(F.xxhash64("text"), "text", "label").limit(sample)
+    # Identifiers may repeat: the bound is on rows. A task for some dozens of texts.
+    bounded = labelled_sample(docs, labels, label, sample, id_col, text_col, one_each=True).repartition(24, F.xxhash64("text"))
     rows = Stored(bounded, "toxic-sample")
     chosen = choose(rows.read())
     if not len(chosen):
