@@ -482,6 +482,7 @@ def oracle_sql() -> dict[str, str]:
         "corpus_load": "SELECT id, dataset, split, text, summary FROM admitted WHERE dataset = 'arxiv'",
         "corpus_rename": "SELECT id, dataset, split, text, summary FROM pairs",
         "corpus_split": "SELECT id, dataset, split, text, summary FROM pairs WHERE split = 'test'",
+        "corpus_source": "SELECT id, dataset, split, text, summary FROM pairs WHERE dataset IN ('arxiv', 'govreport') AND split = 'test'",
         "runs_scan": "SELECT * FROM scores",
         "predlog_scan": "SELECT folder, position, prediction FROM log_items",
         "predlog_route": """

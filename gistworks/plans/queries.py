@@ -13,7 +13,7 @@ from gistworks.operators import (
 from gistworks.plans import evaluate
 from gistworks.plans.views import Views
 from gistworks.session import scratch_path, ship_package
-from gistworks.sources import corpus, predlog, runs, sinks, store
+from gistworks.sources import corpus, datasource, predlog, runs, sinks, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -78,6 +78,18 @@ def corpus_split(v: Views) -> DataFrame:
     return corpus.get_split(corpus.union_corpora(v.raw_reader()), "test")
 
 
+@query
+def corpus_source(v: Views) -> DataFrame:
+    """Two corpora stored under their own names, one split of them read through the data source."""
+    root = scratch_path(v.spark, "corpora")
+    for name in ("arxiv", "govreport"):
+        spec = corpus.corpus_spec(name)
+        v.raw_reader()(spec).write.partitionBy("split").parquet(f"{root}/{spec.name}/{spec.subset}")
+    datasource.register(v.spark)
+    at = root if ":/" in root else f"file://{root}"
+    return v.spark.read.format("corpus").options(path=at, dataset="arxiv, govreport", split="test").load()
+
+
 @query
 def runs_scan(v: Views) -> DataFrame:
     root = scratch_path(v.spark, "runs")
