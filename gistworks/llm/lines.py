@@ -174,22 +174,27 @@ def aligned_blocks(a: list[int], b: list[int], words: list[int], least: int) ->
     return {*out, *(k for k, x in enumerate(b) if x in alone and words[k] >= least)}
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Positions of ``b`` to delete: its aligned blocks, then those of what is left, until none has ``least`` words."""
+#: Alignments of one pair before the long lines left in common go one by one.
+ROUNDS = 64
+
+
+def common_blocks(a: list[int], b: list[int], words: list[int], least: int, rounds: int = ROUNDS) -> list[int]:
+    """Positions of ``b`` to delete: its aligned blocks, then those of what is left, until none has ``least`` words.
+
+    Every round deletes a block. Long lines that are left in common when none
+    aligns any more (they cross short ones that were aligned in their place), or
+    after ``rounds`` (texts whose lines stand in reverse), are blocks of their own.
+    """
     out: set[int] = set()
     left, there = list(b), set(a)
-    while True:
+    for _ in range(rounds):
         more = aligned_blocks(a, left, words, least)
         if not more:
-            # Long lines may still cross short ones that were aligned in their place.
-            long = [k for k, x in enumerate(left) if words[k] >= least and x in there]
-            own = {left[k] for k in long}
-            more = {long[y] for _, y in patience([x for x in a if x in own], [left[k] for k in long])}
-        if not more:
-            return sorted(out)
+            break
         out |= more
         for k in more:
             left[k] = -(1 << 64) - k  # no line's hash
+    return sorted({*out, *(k for k, x in enumerate(left) if words[k] >= least and x in there)})
 
 
 def _align(least: int):

@@ -51,3 +51,12 @@ def test_short_runs_go_and_single_short_lines_stay():
     found = lines.proposals(hashes, words, 8)
     assert hashes[4] in found and len(found) == 2
     assert lines.proposals(hashes[:2], words[:2], 8) == []
+
+
+def test_reversed_texts_are_bounded_work():
+    a, b = list(range(1, 3001)), list(range(3000, 0, -1))
+    assert lines.common_blocks(a, b, [9] * 3000, 8) == list(range(3000))
+    # Short lines in blocks of two, the blocks in reverse: block by block, as far as the rounds go.
+    pairs = [(2 * k, 2 * k + 1) for k in range(40)]
+    flat, back = [x + 1 for p in pairs for x in p], [x + 1 for p in pairs[::-1] for x in p]
+    assert lines.common_blocks(flat, back, [4] * 80, 8) == list(range(80))
