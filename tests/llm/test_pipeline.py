@@ -22,8 +22,8 @@ def planted():
     bad = []
     for k in range(200, 320):
         text = words(40_000 + k, 60)
-        for _ in range(4):
-            text[draw.randrange(60)] = draw.choice(["vileword", "nastyword", "foulword"])
+        for spot, word in zip(draw.sample(range(60), 2), draw.sample(["vileword", "nastyword", "foulword"], 2)):
+            text[spot] = word
         bad.append((k, " ".join(text)))
     leaked = [(400 + k, f"{prose(70_000 + k, 60)}\n{ITEM}\n{prose(80_000 + k, 60)}") for k in range(3)]
     shared = "\n".join(prose(95_000 + j, 20) for j in range(4))
@@ -57,7 +57,10 @@ def test_planted_cases(spark, folder):
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for i, text in [*clean, sharing[0]]:
         assert kept[i]["text"] == text and kept[i]["ids"] == plain.encode_ordinary(text) and kept[i]["n_tokens"] == len(kept[i]["ids"])
-    assert not {i for i, _ in leaked} & set(kept)
+    # The first document with the item goes; the others lose it as a shared line before, and stay.
+    assert leaked[0][0] not in kept and not any(ITEM in (r["text"] or "") for r in got)
+    for i, text in leaked[1:]:
+        assert kept[i]["text"] == text.replace(ITEM + "\n", "")
     # Labels are learnt from two folds of three; the third is judged too.
     judged = [i for i, _ in bad]
     assert any(zlib.crc32(str(i).encode()) % 3 == 1 for i in judged) and not set(judged) & set(kept)
