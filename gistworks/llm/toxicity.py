@@ -1,8 +1,8 @@
 """Toxicity: a logistic word classifier whose scores hardly change when identity terms are swapped.
 
 A text's features are its distinct words and their beginnings, hashed. The
-features that separate the labels best are chosen and weighed on a bounded
-sample of labelled rows. For sentences of that sample that mention a group,
+features that separate the labels best, for either one, are chosen and weighed on
+a bounded sample of labelled rows. For sentences of that sample that mention a group,
 a copy with another group's term in its place is made, and the square of the
 difference between both scores is penalised; so a neutral mention of a group
 hardly moves the score, whatever texts that group is named in.
@@ -39,6 +39,8 @@ SAMPLE = 12_000
 CHOSEN = 1 << 14
 _SLOTS = 1 << 22
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: The chi-square that a feature must pass: on hardly any texts, and at most.
+LEAST = 6, 25
 #: Sentences of a text that are swapped, at most; words that may be found as groups, and how alike their neighbours must be.
 PAIRS, FOUND, ALIKE = 4, 200, 0.5
 #: Hashed neighbours of a word.
@@ -275,15 +277,20 @@ class Classifier:
 
 
 def choose(sample: DataFrame, most: int = CHOSEN) -> np.ndarray:
-    """The slots whose presence speaks most for label 1, by the chi-square of presence; rare ones are left out."""
+    """The slots whose presence speaks most for either label, by the chi-square of presence; rare ones are left out.
+
+    A word may speak for label 1 or against it. The least chi-square rises with
+    the number of texts, as more of the words reach any given one by chance: a
+    few dozen texts cannot give a high one.
+    """
     n, ones = sample.agg(F.count("*"), F.sum((F.col("label") > 0).cast("long"))).first()
     if not n or not ones or ones == n:
         return np.zeros(0, np.int64)
     found = sample.mapInArrow(_presence, "slot int, have long, ones long").groupBy("slot").agg(F.sum("have").alias("have"), F.sum("ones").alias("ones"))
     expected = F.col("have") * (ones / n)
     spread = expected * (1 - ones / n) * (1 - F.col("have") / n) + 1e-9
-    found = found.where((F.col("have") >= max(5, n / 1500)) & (F.col("ones") > expected))
-    found = found.withColumn("score", (F.col("ones") - expected) ** 2 / spread).where("score > 25")
+    found = found.where(F.col("have") >= max(2, n / 1500))
+    found = found.withColumn("score", (F.col("ones") - expected) ** 2 / spread).where(F.col("score") > min(LEAST[1], LEAST[0] + n / 1000))
     best = found.orderBy(F.desc("score"), "slot").limit(most).select("slot").toPandas()
     return np.sort(best["slot"].to_numpy(np.int64))
 

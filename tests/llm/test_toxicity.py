@@ -94,3 +94,14 @@ def test_rows_of_one_identifier_are_bounded(spark, make_docs):
     docs, labels = labelled(spark, make_docs)
     many = docs.unionByName(make_docs([(5, f"vileword {k}") for k in range(500)]))
     assert toxicity.fit(many, labels, sample=600).pairs <= 600 * toxicity.PAIRS
+
+
+@pytest.mark.parametrize("n, sign, toxic_of", [(24, "vileword", 1), (900, "kindword", 0)])
+def test_few_rows_and_words_against_the_label_rank_too(spark, make_docs, n, sign, toxic_of):
+    """A word that stands in a tenth of the rows tells the label, for it or against it."""
+    texts = {k: " ".join([*words(k, 12), *([sign] if k % 10 == 3 else [])]) for k in range(n)}
+    labels = spark.createDataFrame([(k, toxic_of if k % 10 == 3 else 1 - toxic_of) for k in range(n)], "doc_id long, toxic int")
+    unseen = make_docs([(k, " ".join([*words(5000 + k, 12), *([sign] if k % 2 else [])])) for k in range(20)])
+    scored = toxicity.with_score(unseen, toxicity.fit(make_docs(texts.items()), labels)).collect()
+    with_sign, without = ([r["score"] for r in scored if r["doc_id"] % 2 == k] for k in (1, 0))
+    assert min(with_sign) > max(without) if toxic_of else max(with_sign) < min(without)
