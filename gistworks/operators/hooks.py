@@ -7,6 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from gistworks.functions.batches import frame_parts
+
 
 def _schema(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -31,11 +33,11 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], adds: str | T.StructType
 def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], gives: str | T.StructType, reads: tuple[str, ...]
 ) -> DataFrame:
-    """Replace rows batch by batch; ``fn`` may return more or fewer rows than it got."""
+    """Replace rows batch by batch, each bounded in bytes; ``fn`` may return more or fewer rows than it got."""
     given = _schema(gives)
 
     def run(frames):
-        for frame in frames:
+        for frame in (p for whole in frames for p in frame_parts(whole)):
             result = fn({c: frame[c].tolist() for c in frame.columns})
             yield pd.DataFrame({n: result[n] for n in given.fieldNames()})
 
