@@ -129,3 +129,12 @@ def test_repeated_keys_are_rows_of_their_own(spark):
     assert got == sorted(map(tuple, arrow.collect()), key=repr)
     assert got == sorted([(1, 3, 2, 2, 1), (1, 3, 2, 2, 1), (1, 2, 4, 2, 1), (None, 1, 1, 1, 0), (None, 1, 1, 0, 0)], key=repr)
     assert rouge.rouge_scores(pairs, variants=variants, use_stemmer=False).where("rouge1_f > 1").count() == 0
+
+
+def test_ngrams_stay_in_their_row(spark, plan_of):
+    rows = [(1, "a b a b a b", "b a b a c a b"), (2, "x", "x"), (3, "", "a"), (4, "a " * 3000, "a " * 2000 + "b"), (5, "b a", "a b"), (6, "Ab ab", "AB-ab ab")]
+    pairs = spark.createDataFrame(rows, "id long, prediction string, reference string")
+    counts = rouge.rouge_counts(pairs, variants=("rouge1", "rouge2"), use_stemmer=False)
+    assert "Generate" not in plan_of(counts) and "Aggregate" not in plan_of(counts)
+    got = {r["id"]: (r["pred_tokens"], r["ref_tokens"], r["rouge1"], r["rouge2"]) for r in counts.collect()}
+    assert got == {1: (6, 7, 6, 4), 2: (1, 1, 1, 0), 3: (0, 1, 0, 0), 4: (3000, 2001, 2000, 1999), 5: (2, 2, 2, 0), 6: (2, 3, 2, 1)}
