@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gistworks.functions.runkeys import route_corpus
-from gistworks.session import materialize
+from gistworks.session import materialize, small_files
 
 
 def _json_list(text: str):
@@ -34,13 +34,14 @@ def scan_logs(spark: SparkSession, root: str, pattern: str = "*/*.out") -> DataF
     """
     # File paths arrive percent-encoded; a plus sign stands for itself there.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    read = spark.read.text(f"{root}/{pattern}").select(
-        F.regexp_extract(path, "(?:run=)?([^/]+)/[^/]+$", 1).alias("folder"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seen"),
-        F.col("value"),
-    )
-    lines = materialize(read, "lines")
+    with small_files(spark):
+        read = spark.read.text(f"{root}/{pattern}").select(
+            F.regexp_extract(F.substring_index(path, "/", -2), "(?:run=)?([^/]+)/[^/]+$", 1).alias("folder"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seen"),
+            F.col("value"),
+        )
+        lines = materialize(read, "lines")
     # Rows of a block are numbered in reading order, so its first number is all it takes.
     blocks = lines.groupBy("folder", "block").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("first"))
     in_log = Window.partitionBy("folder")

@@ -1,6 +1,8 @@
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from gistworks.operators.leaderboard import best_checkpoint, leaderboard, rouge_avg, rouge_geo_mean
 from gistworks.sources import predlog, runs, sinks
@@ -93,6 +95,55 @@ def test_routing_and_counts(spark, logs):
     assert {tuple(r) for r in counted} == {("arxiv", 2, 2006), ("pubmed", 1, 6), ("govreport", 1, 1)}
 
 
+def tasks_of(spark, group, run):
+    """What ``run`` gives, and the tasks of all its jobs' stages."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        result = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    status = context.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup(group) for s in status.getJobInfo(job).stageIds}
+    return result, sum(status.getStageInfo(s).numTasks for s in stages)
+
+
+def test_many_small_logs_are_listed_and_read_in_few_tasks(spark, tmp_path):
+    root = str(tmp_path / "logs")
+    contents = spark.range(200).select(F.format_string("run%d-arxiv", "id").alias("folder"), F.lit("a\nb\n").alias("content"))
+    runs.write_folders(contents, root)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes")}
+    scanned, tasks = tasks_of(spark, "small logs", lambda: predlog.scan_logs(spark, root, "*/part-*"))
+    assert scanned.count() == 400 and tasks <= 8 * spark.sparkContext.defaultParallelism
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
+def tree(root):
+    """Lines of each folder that is not hidden."""
+    return {d.name: sorted(x for f in d.glob("part-*") for x in f.read_bytes().splitlines()) for d in Path(root).iterdir() if d.is_dir()}
+
+
+def test_folders_are_those_of_a_partitioned_write(spark, tmp_path):
+    names = ["a b+c", 'x"#%\'*/:=?\\{}[]^~', "tab\there", "1-arxiv", "1-arxiv", "ünï", None, "", "__HIVE_DEFAULT", "run=run", "z" * 200, "\x7f|<>"]
+    data = [(n, None if i == 3 else f"line {i}\nü{i}\n") for i, n in enumerate(names)]
+    df = spark.createDataFrame(data, "folder string, content string").repartition(3)
+    runs.write_folders(df, str(tmp_path / "ours"))
+    plain = df.select(F.col("folder").alias("run"), F.regexp_replace("content", "\n\\z", "").alias("value"))
+    plain.write.partitionBy("run").text(str(tmp_path / "spark"))
+    assert tree(tmp_path / "ours") == tree(tmp_path / "spark")
+    # One file and nothing beside it where a task had one run of a name.
+    assert [f.name.endswith(".txt") for f in (tmp_path / "ours" / "run=a b+c").iterdir()] == [True]
+    with pytest.raises(Exception, match="exists"):
+        runs.write_folders(df, str(tmp_path / "ours"))
+
+
+def test_empty_and_default_names_share_a_folder(spark, tmp_path):
+    data = [(None, "a"), ("__HIVE_DEFAULT_PARTITION__", "b"), ("", "c"), ("A", "d")]
+    runs.write_folders(spark.createDataFrame(data, "folder string, content string").coalesce(1), str(tmp_path / "o"))
+    assert tree(tmp_path / "o") == {"run=__HIVE_DEFAULT_PARTITION__": [b"a", b"b", b"c"], "run=A": [b"d"]}
+
+
 def test_predictions_survive_storage(spark, tmp_path):
     data = [(i, p, run) for run in ("0613", "a/b=c") for i, p in enumerate([*PREDICTIONS, None])]
     df = spark.createDataFrame(data, "id long, prediction string, run_id string")
