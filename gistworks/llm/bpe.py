@@ -6,6 +6,9 @@ shuffled: bucketed by their hash, so each is encoded once for the whole table.
 Their ids return to the blocks and are laid out by position. Decoding joins
 the ids with the table of token bytes.
 
+A block is worked off in sections, so that a worker holds a block's distinct
+pre-tokens and one section's texts, positions or ids, however large the block.
+
 A null text counts as empty and has no ids. Rows are kept as they are: repeated
 rows and null identifiers stay, and an empty table gives an empty result.
 """
@@ -19,9 +22,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gistworks.llm.common import Bucketed, blocks, bucket_count, pack, pack_words, pick, prepare, task_number, unpack, unpack_words
+from gistworks.functions.batches import parts
+from gistworks.llm.common import BLOCK_BYTES, Bucketed, bucket_count, pack, pack_words, pick, prepare, task_number, unpack, unpack_words
+
+#: Bytes of rows that are Python objects at once; a larger row stands alone.
+SECTION_BYTES = 512 << 10
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,38 +65,59 @@ class TokenBytes:
         return self.bytes[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends + lengths, lengths)].tobytes()
 
 
+_CUT = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("start", pa.int64()), ("payload", pa.binary())])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT)], schema=_CUT)
+
+
+def _section(part: pa.RecordBatch, find: Callable[[str], list[str]], known: dict[str, int], kept: list[str]) -> bytes:
+    """The kept columns of a few rows and the codes of their pre-tokens; new ones become known."""
+    codes, counts = [], []
+    for text in part.column("text").to_pylist():
+        found = find(text) if text else []
+        counts.append(len(found))
+        codes.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.uint32, len(found)))
+    rows = part.select(kept)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_batch(rows)
+    return pack(sink.getvalue().to_pybytes(), np.array(counts), np.concatenate(codes))
+
+
+def _words(block: int, known: dict[str, int], buckets: int) -> pa.RecordBatch:
+    """A block's distinct pre-tokens by bucket, and where each code lies in that order."""
+    words = [w.encode() for w in known]
+    home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    order = np.argsort(home, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    out = [("block", block, 0, -1, pack(rank))]
+    edges = np.searchsorted(home[order], np.arange(buckets + 1)).tolist()
+    for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
+        if b > a:
+            out.append(("words", block, bucket, a, pack_words([words[i] for i in order[a:b].tolist()])))
+    return _rows(out)
+
+
 def _cut(pattern: str, buckets: int, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, task = regex.compile(pattern).findall, task_number()
-        for number, table in enumerate(blocks(batches, "text")):
-            known: dict[str, int] = {}
-            codes, counts = [], []
-            for text in (t for chunk in table.column("text").chunks for t in chunk.to_pylist()):
-                found = find(text) if text else []
-                counts.append(len(found))
-                codes.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.uint32, len(found)))
-            words = [w.encode() for w in known]
-            home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(home, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            rows = table.select(kept).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as writer:
-                writer.write_table(rows)
-            every = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            block = (task << 24) + number
-            out = [("block", block, 0, 0, pack(sink.getvalue().to_pybytes(), np.array(counts), every, rank))]
-            edges = np.searchsorted(home[order], np.arange(buckets + 1)).tolist()
-            for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
-                if b > a:
-                    out.append(("words", block, bucket, a, pack_words([words[i] for i in order[a:b].tolist()])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
-                ["kind", "block", "bucket", "start", "payload"],
-            )
+        find, block = regex.compile(pattern).findall, task_number() << 24
+        known: dict[str, int] = {}
+        number = size = 0
+        for batch in batches:
+            for part in parts(batch, SECTION_BYTES):
+                more = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if number and size + more > BLOCK_BYTES:
+                    yield _words(block, known, buckets)
+                    block, known, number, size = block + 1, {}, 0, 0
+                yield _rows([("block", block, 0, number, _section(part, find, known, kept))])
+                number, size = number + 1, size + more
+        if number:
+            yield _words(block, known, buckets)
 
     return run
 
@@ -117,32 +146,42 @@ def _encode(ranks):
 
 
 def _join(ranks, finish, schema: pa.Schema):
+    held = []
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        table = TokenBytes(ranks.value)
-        parts = sorted(zip(right.column("start").to_pylist(), right.column("payload").to_pylist()))
-        pieces = [unpack(p) for _, p in parts]
+        if not held:
+            held.append(TokenBytes(ranks.value))
+        starts, payloads = right.column("start").to_pylist(), right.column("payload")
+        pieces = [unpack(payloads[k].as_py()) for k in sorted(range(len(starts)), key=starts.__getitem__)]
         sizes = np.concatenate([p[0] for p in pieces]) if pieces else np.zeros(0, np.int64)
         flat = np.concatenate([p[1] for p in pieces]) if pieces else np.zeros(0, np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes)))
-        for payload in left.column("payload").to_pylist():
-            raw, counts, codes, rank = unpack(payload)
-            rows = pa.ipc.open_stream(raw).read_all()
-            results, at = [], 0
-            for n in counts.tolist():
-                words = rank[codes[at : at + n]]
-                at += n
-                lengths = sizes[words]
-                ends = np.cumsum(lengths)
-                total = int(ends[-1]) if n else 0
-                ids = flat[np.arange(total) + np.repeat(starts[words] - ends + lengths, lengths)] if total else flat[:0]
-                results.append(finish(ids, table))
-            out.append(pa.Table.from_arrays([*rows.columns, *(pa.array(c, f.type) for c, f in zip(zip(*results), list(schema)[rows.num_columns :]))], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+        del pieces
+        numbers, payloads = left.column("start").to_pylist(), left.column("payload")
+        first, *sections = sorted(range(len(numbers)), key=numbers.__getitem__)
+        (rank,) = unpack(payloads[first].as_py())
+        return pa.concat_tables([_lay(payloads[k].as_py(), rank, sizes, starts, flat, finish, held[0], schema) for k in sections])
 
     return run
 
 
+def _lay(payload: bytes, rank: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray, finish, table: TokenBytes, schema: pa.Schema) -> pa.Table:
+    """A section's rows with what is made of their ids."""
+    raw, counts, codes = unpack(payload)
+    rows = pa.ipc.open_stream(raw).read_all()
+    results, at = [], 0
+    for n in counts.tolist():
+        words = rank[codes[at : at + n]]
+        at += n
+        lengths = sizes[words]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if n else 0
+        ids = flat[np.arange(total) + np.repeat(starts[words] - ends + lengths, lengths)] if total else flat[:0]
+        results.append(finish(ids, table))
+    made = (pa.array(c, f.type) for c, f in zip(zip(*results), list(schema)[rows.num_columns :]))
+    return pa.Table.from_arrays([*rows.columns, *made], schema=schema)
+
+
 def as_digest(ids: np.ndarray, table: TokenBytes) -> tuple:
     return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(table.decode(ids)).hexdigest()
 
@@ -182,7 +221,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     from pyspark.sql.types import StructType
 
     schema = StructType([*texts.select(*kept).schema.fields, *StructType.fromDDL(columns).fields])
-    held = cut.read().where("kind = 'block'").select("block", "payload")
+    held = cut.read().where("kind = 'block'").select("block", "start", "payload")
     return held.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_join(ranks, finish, to_arrow_schema(schema)), schema)
 
 

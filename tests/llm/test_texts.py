@@ -5,9 +5,12 @@ import collections
 import hashlib
 import math
 import re
+import types
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -166,6 +169,33 @@ def test_digest(hard):
     assert got["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+@pytest.mark.parametrize("limit", [600_000, 16 << 20])
+def test_blocks_go_by_sections(monkeypatch, limit):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "task_number", lambda: 2)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", limit, raising=False)
+    texts = [t for _, t in HARD] + [prose(k % 70, 900) for k in range(400)] + [None] * 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    ranks = types.SimpleNamespace(value=bpe.read_ranks(RANKS))
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+    cut = list(bpe._cut(public_tokenizers.PATTERN, 5, ["doc_id"])(iter([batch.slice(0, 100), batch.slice(0, 0), batch.slice(100)])))
+    every = pa.Table.from_batches(cut)
+    words_ = every.filter(pc.equal(every["kind"], "words")).sort_by("bucket").to_batches()
+    coded = pa.Table.from_batches(bpe._encode(ranks)(iter(words_)))
+    held = every.filter(pc.equal(every["kind"], "block")).drop_columns(["kind", "bucket"])
+    join, got, mass = bpe._join(ranks, bpe.as_ids, schema), [], []
+    for block in pc.unique(held["block"]).to_pylist():
+        out = join(held.filter(pc.equal(held["block"], block)), coded.filter(pc.equal(coded["block"], block)))
+        mass += [b["decoded"].nbytes for b in out.to_batches()]
+        got += [tuple(r.values()) for r in out.to_pylist()]
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+    assert got == [(k, plain.encode_ordinary(t or ""), (t or "").encode()) for k, t in enumerate(texts)]
+    # Neither a stored row nor a returned batch takes in a block; only the longest text is larger than a section.
+    assert sum(mass) > 1_500_000 and sum(m > 600_000 for m in mass) == 0 and max(map(len, held["payload"].to_pylist())) < 400_000
+    assert (len(pc.unique(held["block"])) > 1) == (limit == 600_000)
+
+
 # Language model.
 
 
