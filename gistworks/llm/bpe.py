@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gistworks.functions.batches import parts
+from gistworks.functions.batches import hand_back, handing_back, parts
 from gistworks.llm.common import BLOCK_BYTES, Bucketed, bucket_count, pack, pack_words, pick, prepare, task_number, unpack, unpack_words
 
 #: Bytes of rows that are Python objects at once; a larger row stands alone.
@@ -102,6 +102,7 @@ def _words(block: int, known: dict[str, int], buckets: int) -> pa.RecordBatch:
 
 
 def _cut(pattern: str, buckets: int, kept: list[str]):
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -123,6 +124,7 @@ def _cut(pattern: str, buckets: int, kept: list[str]):
 
 
 def _encode(ranks):
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, now, known = merger(ranks.value), None, {}
         for batch in batches:
@@ -148,7 +150,7 @@ def _encode(ranks):
 def _join(ranks, finish, schema: pa.Schema):
     held = []
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def laid(left: pa.Table, right: pa.Table) -> pa.Table:
         if not held:
             held.append(TokenBytes(ranks.value))
         starts, payloads = right.column("start").to_pylist(), right.column("payload")
@@ -162,6 +164,12 @@ def _join(ranks, finish, schema: pa.Schema):
         (rank,) = unpack(payloads[first].as_py())
         return pa.concat_tables([_lay(payloads[k].as_py(), rank, sizes, starts, flat, finish, held[0], schema) for k in sections])
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:  # Spark counts the arguments
+        try:
+            return laid(left, right)
+        finally:
+            hand_back()
+
     return run
 
 

@@ -37,13 +37,14 @@ leaks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gistworks.functions.batches import handing_back, values
 from gistworks.llm.common import binary, pack, pick, prepare, unpack
 
 WINDOW, STRIDE = 24, 12
@@ -85,15 +86,17 @@ class Words:
             self.up = _powers(_ROOT, n)
             self.down = _powers(pow(_ROOT, -1, 1 << 64), n)
 
-    def of(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def of(self, texts: Iterable[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, words by row, hashes) for runs of rows of about a megabyte."""
         first, held, size = 0, [], 0
-        for k, text in enumerate(texts):
+        for text in texts:
             held.append(text or b"")
             size += len(held[-1]) + 1
-            if size >= _CHUNK or k == len(texts) - 1:
+            if size >= _CHUNK:
                 yield (first, *self._hash(held))
-                first, held, size = k + 1, [], 0
+                first, held, size = first + len(held), [], 0
+        if held:
+            yield (first, *self._hash(held))
 
     def _hash(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         folded = _FOLDED[np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8)]
@@ -122,11 +125,12 @@ def windows(counts: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np
     return rows, start, np.minimum(start + WINDOW, (first + counts)[rows])
 
 
+@handing_back
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages that hold each slot, of passages without overlap; one task's counts in a few packed parts."""
     words, total, passages = Words(), np.zeros(SLOTS, np.int64), 0
     for batch in batches:
-        for _, counts, hashes in words.of(binary(batch.column("text")).to_pylist()):
+        for _, counts, hashes in words.of(values(binary(batch.column("text")))):
             _, start, end = windows(counts, WINDOW)
             passages += len(start)
             if len(hashes):
@@ -237,6 +241,7 @@ def _passage_weights(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> n
 
 
 def _sketch(shipped):
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The task's share of A'(A W), and of the squared norm of A by term, in parts of the terms."""
         idf, terms, dense = shipped.value
@@ -249,7 +254,7 @@ def _sketch(shipped):
         heavy = test * idf[terms][:, None]
         out, raw, norm = np.zeros_like(test), np.zeros_like(test), np.zeros(len(terms))
         for batch in batches:
-            for _, counts, hashes in words.of(binary(batch.column("text")).to_pylist()):
+            for _, counts, hashes in words.of(values(binary(batch.column("text")))):
                 _, start, end = windows(counts, WINDOW)
                 if not len(start):
                     continue
@@ -547,13 +552,14 @@ class Search:
             good = (bag >= SUBSEQUENCE) & (told >= ANSWER) if bounds else np.ones(len(row), bool)
             yield from zip(*(x[good].tolist() for x in (row, low, high, item, told)))
 
-    def leaks(self, texts: list[bytes | None], bounds: bool = True) -> list[list[tuple[int, float, float]]]:
+    def leaks(self, texts: Iterable[bytes | None], bounds: bool = True) -> list[list[tuple[int, float, float]]]:
         """Per text its items, each with the best share of its words and of its answer found in order.
 
         ``bounds`` spares subsequences that cannot be long enough; the result is the same without.
         """
-        found: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
+        found: list[dict[int, tuple[float, float]]] = []
         for first, counts, hashes in self.words.of(texts):
+            found += [{} for _ in counts]
             for row, low, high, item, told in self.hopeful(counts, hashes, bounds):
                 known = found[first + row].get(item)
                 if known and known[0] == 1.0:
@@ -570,12 +576,13 @@ _LEAK = "array<struct<item_id: long, common: double, answer: double>>"
 
 def _search(shipped):
     @F.arrow_udf(_LEAK)
+    @handing_back
     def run(texts: pa.Array) -> pa.Array:
         if not hasattr(shipped, "searcher"):
             idf, blocks = shipped.value
             shipped.searcher = Search([Searcher(idf, *b) for b in blocks])
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("common", pa.float64()), ("answer", pa.float64())]))
-        made = shipped.searcher.leaks(binary(texts).to_pylist())
+        made = shipped.searcher.leaks(values(binary(texts)))
         return pa.array([[dict(zip(("item_id", "common", "answer"), x)) for x in row] for row in made], kind)
 
     return run

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gistworks.functions.batches import handing_back, parts, values
 from gistworks.llm.common import Stored, labelled_sample, prepare
 
 #: Labelled rows that the classifier is fitted on, at most.
@@ -112,11 +113,12 @@ def counterfactuals(text: str | None, swap: dict[str, str] | None = None, most:
     return [(whole, out[h, whole]) for h, whole in sorted(out)[:most]]
 
 
+@handing_back
 def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts that hold each word, and those of label 1 among them, in this task."""
     texts: dict[str, list[int]] = {}
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+        for text, label in zip(values(batch.column("text")), batch.column("label").to_pylist()):
             for w in set(re.findall(r"\w+", (text or "").lower())):
                 have = texts.setdefault(w, [0, 0])
                 have[0] += 1
@@ -127,6 +129,7 @@ def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(names: list[str]):
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How often each hashed neighbour stands before or after the named words, in this task."""
         from xxhash import xxh3_64_intdigest
@@ -134,7 +137,7 @@ def _neighbours(names: list[str]):
         place, half = {w: k for k, w in enumerate(names)}, _CONTEXTS // 2
         counts = np.zeros((len(names), _CONTEXTS), np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in values(batch.column("text")):
                 words = re.findall(r"\w+", (text or "").lower())
                 for k, w in enumerate(words):
                     own = place.get(w)
@@ -207,11 +210,12 @@ class Slots:
         return {s: a.get(s, 0.0) - b.get(s, 0.0) for s in a.keys() | b.keys() if a.get(s, 0.0) != b.get(s, 0.0)}
 
 
+@handing_back
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts that have each slot, and those of label 1 among them, in this task."""
     table, have = Slots(), np.zeros((2, _SLOTS), np.int32)
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+        for text, label in zip(values(batch.column("text")), batch.column("label").to_pylist()):
             found = np.fromiter(table.counted(words_of(text)), np.int64)
             have[int(label > 0), found] += 1
     some = np.flatnonzero(have.any(axis=0))
@@ -223,11 +227,12 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _featurise(shipped, swap: dict[str, str]):
     """A row for each text, and one with a null label for each counterfactual difference; chosen slots only."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Slots(shipped.value)
-        for batch in batches:
+        for part in (p for batch in batches for p in parts(batch)):
             out = []
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
                 out.append((label, table.counted(words_of(text))))
                 out += [(None, table.difference(p)) for p in counterfactuals(text, swap)]
             yield pa.RecordBatch.from_arrays(
@@ -357,13 +362,14 @@ def with_score(docs: DataFrame, model: Classifier, out_col: str = "score", text_
     shipped = spark.sparkContext.broadcast(model)  # bounded by CHOSEN
 
     @F.arrow_udf("double")
+    @handing_back
     def run(texts: pa.Array) -> pa.Array:
         known = shipped.value
         if not hasattr(known, "adds"):
             known.adds, known.by_slot = {}, known.table()
         adds, by_slot = known.adds, known.by_slot
         out = []
-        for text in texts.to_pylist():
+        for text in values(texts):
             total = known.bias
             for word in words_of(text):
                 add = adds.get(word)
