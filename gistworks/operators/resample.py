@@ -3,20 +3,29 @@
 Resample b gives a row the weight w, Poisson-distributed with mean 1. The weight
 comes from a pairwise independent hash of the row's key, (a_b * key + c_b) mod a
 prime, so it does not depend on partitioning, order or retries, and any engine
-can make the same. All resamples are summed at once, with partial sums before
-the shuffle: what moves is one row per task, run and resample. Resample 0 has
-weight 1 everywhere and is the plain mean.
+can make the same. All resamples are summed at once in an Arrow pass, rows by
+resamples in a matrix, with partial sums before the shuffle: what moves is one
+row per task, run and resample. Resample 0 has weight 1 everywhere and is the
+plain mean.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from gistworks.session import ship_package
 
 PRIME = 2**31 - 1
+#: Rows whose weights are made at once, so that they stay in a core's cache.
+_BLOCK = 64
+#: Bytes of sums that a task holds before it passes them on.
+_HELD = 32 << 20
 
 
 def _digits(text: str) -> int:
@@ -46,15 +55,85 @@ def key_number(keys: Sequence[str]) -> Column:
     return F.conv(F.substring(F.md5(spelled), 1, 15), 16, 10).cast("long") % PRIME
 
 
+def _weights(keys: np.ndarray, a: np.ndarray, c: np.ndarray, steps: Sequence[int]) -> np.ndarray:
+    """(rows, resamples and the plain one before them): each row's weight."""
+    draw = np.multiply.outer(keys, a)
+    draw += c
+    for _ in range(2):  # 2**31 leaves 1 beside the prime: both halves add up to the same remainder
+        draw = (draw & PRIME) + (draw >> 31)
+    draw[draw >= PRIME] -= PRIME
+    draw = draw.astype(np.int32)
+    drawn = np.zeros(draw.shape, np.uint8)
+    for step in steps:
+        drawn += draw >= step
+    return np.concatenate([np.ones((len(keys), 1)), drawn], axis=1)
+
+
+def _sums(weights: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(values, resamples): weighted sums over the rows; a weight of 0 leaves out infinite values too."""
+    odd = ~np.isfinite(values).all(1)
+    if not odd.any():
+        return values.T @ weights
+    total = values[~odd].T @ weights[~odd]
+    for w, row in zip(weights[odd], values[odd]):
+        total += np.array([np.multiply(w, x, out=np.zeros_like(w), where=w > 0) for x in row])
+    return total
+
+
+def _summed(resamples: int, seed: str, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches (run, key, values): (run, resample, weight, weighted sums), a row for each run and resample that drew any."""
+    a, c = (np.array(x, np.int64) for x in coefficients(resamples, seed))
+    steps = thresholds()
+
+    def rows(held: dict[str, tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for run, (weight, *sums) in held.values():
+            at = np.flatnonzero(weight > 0)
+            columns = [run.take(pa.array(np.zeros(len(at), np.int64))), pa.array(at.astype(np.int32)), pa.array(weight[at].astype(np.int64)), *[pa.array(x[at]) for x in sums]]
+            yield pa.RecordBatch.from_arrays(columns, list(names))
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[pa.Array, np.ndarray]] = {}
+        for batch in batches:
+            values = np.column_stack([np.ones(len(batch)), *[x.to_numpy(zero_copy_only=False) for x in batch.columns[2:]]])
+            whole = np.flatnonzero(~np.isnan(values).any(1))
+            run = batch.column(0).take(pa.array(whole))
+            named = pa.array([repr(r) for r in run.to_pylist()], pa.string()) if pa.types.is_nested(run.type) else run
+            code = named.dictionary_encode("encode").indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            code, values, keys = code[order], values[whole][order], batch.column(1).to_numpy()[whole][order]
+            for at in range(0, len(order), _BLOCK):
+                block = slice(at, at + _BLOCK)
+                weights = _weights(keys[block], a, c, steps)
+                edges = np.flatnonzero(np.diff(code[block], prepend=-1, append=-1))
+                for first, end in zip(edges, edges[1:]):
+                    own = run.take(pa.array(order[at + first : at + first + 1]))
+                    found = _sums(weights[first:end], values[block][first:end])
+                    name = repr(own[0].as_py())
+                    if name in held:
+                        held[name][1][:] += found
+                    else:
+                        held[name] = own, found
+                if len(held) * (resamples + 1) * values.shape[1] * 8 > _HELD:
+                    yield from rows(held)
+                    held = {}
+        yield from rows(held)
+
+    return sum_up
+
+
 def bootstrap_means(scores: DataFrame, values: Sequence[str], run: str, keys: Sequence[str], resamples: int, seed: str) -> DataFrame:
-    """(run, resample, values): each resample's weighted means; those that drew nothing are absent."""
-    a, c = coefficients(resamples, seed)
-    numbered = scores.select(run, *values, key_number(keys).alias("key"))
-    drawn = numbered.select(run, *values, "key", F.posexplode(F.lit([0, *a])).alias("resample", "a"))
-    draw = (F.col("a").cast("long") * F.col("key") + F.get(F.lit([0, *c]), F.col("resample")).cast("long")) % PRIME
-    weight = sum(((F.col("draw") >= t).cast("int") for t in thresholds()), F.lit(0))
-    weighed = drawn.withColumn("draw", draw).withColumn("weight", F.when(F.col("resample") == 0, 1).otherwise(weight)).where("weight > 0")
-    sums = weighed.groupBy(run, "resample").agg(F.sum("weight").alias("weight"), *[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values])
+    """(run, resample, values): each resample's weighted means; those that drew nothing are absent.
+
+    Rows with a null value or NaN are left out here, by the pass that reads them
+    anyway: as a condition, Spark would move it below the scores and have them
+    made twice.
+    """
+    ship_package(scores.sparkSession)
+    numbered = scores.select(run, key_number(keys).alias("key"), *[F.col(v).cast("double").alias(v) for v in values])
+    kinds = [T.StructField(run, numbered.schema[0].dataType), T.StructField("resample", T.IntegerType()), T.StructField("weight", T.LongType())]
+    kinds += [T.StructField(v, T.DoubleType()) for v in values]
+    drawn = numbered.mapInArrow(_summed(resamples, seed, [k.name for k in kinds]), T.StructType(kinds))
+    sums = drawn.groupBy(run, "resample").agg(F.sum("weight").alias("weight"), *[F.sum(v).alias(v) for v in values])
     return sums.select(run, "resample", *[(F.col(v) / F.col("weight")).alias(v) for v in values])
 
 
@@ -71,7 +150,7 @@ def bootstrap_intervals(
     tail = round((1 - level) * 500)
     if not 0 < tail < 500:
         raise ValueError("level must leave at least a thousandth at each end")
-    means = bootstrap_means(scores.dropna(subset=list(values)), values, run, keys, resamples, seed)
+    means = bootstrap_means(scores, values, run, keys, resamples, seed)
     long = means.select(run, "resample", F.inline(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("value")) for v in values])))
     # At most ``resamples`` numbers to a group.
     each = long.groupBy(run, "variant").agg(
