@@ -23,6 +23,7 @@ labels of both kinds every score is 0.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,8 +41,8 @@ SAMPLE = 12_000
 CHOSEN = 1 << 14
 _SLOTS = 1 << 22
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: The chi-square that a feature must pass: on hardly any texts, and at most.
-LEAST = 6, 25
+#: The chi-square that a feature must pass at most; on n texts it is 2 log n, which less than one word in n reaches by chance.
+LEAST = 18
 #: Sentences of a text that are swapped, at most; words that may be found as groups, and how alike their neighbours must be.
 PAIRS, FOUND, ALIKE = 4, 200, 0.5
 #: Hashed neighbours of a word.
@@ -295,7 +296,7 @@ def choose(sample: DataFrame, most: int = CHOSEN) -> np.ndarray:
     expected = F.col("have") * (ones / n)
     spread = expected * (1 - ones / n) * (1 - F.col("have") / n) + 1e-9
     found = found.where(F.col("have") >= max(2, n / 1500))
-    found = found.withColumn("score", (F.col("ones") - expected) ** 2 / spread).where(F.col("score") > min(LEAST[1], LEAST[0] + n / 1000))
+    found = found.withColumn("score", (F.col("ones") - expected) ** 2 / spread).where(F.col("score") > min(LEAST, 2 * math.log(n)))
     best = found.orderBy(F.desc("score"), "slot").limit(most).select("slot").toPandas()
     return np.sort(best["slot"].to_numpy(np.int64))
 
